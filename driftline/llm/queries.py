@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, packing
+from driftline.llm import bpe, packing, simhash
 from driftline.llm.common import table
 
 
@@ -22,13 +22,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_packing": op3_packing, "op7_bpe": op7_bpe}
+    return {"op3_packing": op3_packing, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
