@@ -74,6 +74,7 @@ def _hits(sample: DataFrame, index: dict[str, int]) -> list:
 
         for batch in batches:
             words_, ids_, before_, which_ = [], [], [], []
+            labels = batch.column("toxic")
             for text in batch.column("text"):
                 words = _words(text.as_py())
                 ids, before, which = [], [], []
@@ -92,9 +93,9 @@ def _hits(sample: DataFrame, index: dict[str, int]) -> list:
                 ids_.append(ids)
                 before_.append(before)
                 which_.append(which)
-            yield pa.RecordBatch.from_arrays([pa.array(words_, pa.int64()), pa.array(ids_, pa.list_(pa.int32())), pa.array(before_, pa.list_(pa.int64())), pa.array(which_, pa.list_(pa.int64()))], names=["words", "ids", "before", "which"])
+            yield pa.RecordBatch.from_arrays([labels, pa.array(words_, pa.int64()), pa.array(ids_, pa.list_(pa.int32())), pa.array(before_, pa.list_(pa.int64())), pa.array(which_, pa.list_(pa.int64()))], names=["toxic", "words", "ids", "before", "which"])
 
-    return sample.select("text").mapInArrow(run, "words long, ids array<int>, before array<long>, which array<long>").collect()
+    return sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, ids array<int>, before array<long>, which array<long>").collect()
 
 
 def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
@@ -172,11 +173,19 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     index = {x: k for k, x in enumerate(names)}
     hits = _hits(sample, index)
     # a true entry turns up after many different words; the words of one much-copied text do not
-    seen = np.zeros(len(names))
-    pairs = np.unique(np.concatenate([np.array(r["ids"], dtype=np.int64) << 32 | np.array(r["before"], dtype=np.int64) for r in hits] or [np.zeros(0, dtype=np.int64)]))
-    seen += np.bincount(pairs >> 32, minlength=len(names))
-    times = np.bincount(np.concatenate([np.array(r["ids"], dtype=np.int64) for r in hits] or [np.zeros(0, dtype=np.int64)]), minlength=len(names))
+    ids, before, which, bad = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*((r["ids"], r["before"], r["which"], np.full(len(r["ids"]), r["toxic"])) for r in hits)))
+    ids, before, which, bad = (x.astype(np.int64) for x in (ids, before, which, bad))
+    seen = np.bincount(np.unique(ids << 32 | before) >> 32, minlength=len(names))
+    times = np.bincount(ids, minlength=len(names))
     keep = (seen >= 3) & (seen >= 0.5 * times)
+    # a true pattern holds for several words, and still does without its commonest one
+    is_prefix = np.array([x.endswith("*") for x in names])
+    forms, at, count = np.unique(ids << 32 | which, return_inverse=True, return_counts=True)
+    harm = np.bincount(at, weights=bad, minlength=len(forms))
+    for k in np.nonzero(is_prefix & keep)[0]:
+        own = slice(*np.searchsorted(forms, [k << 32, (k + 1) << 32]))
+        rest = np.delete(np.arange(own.start, own.stop), np.argmax(harm[own]))
+        keep[k] = len(rest) >= 2 and harm[rest].sum() >= purity * count[rest].sum()
     fixed = np.array([x in INSULTS for x in names])
     keep |= fixed & (times == 0)
     # how many different words of a text have an entry, up to SEVERAL
@@ -184,7 +193,6 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     rows = [np.unique(np.array(r["ids"], dtype=np.int64)) for r in hits]
     rows = [r[keep[r]] for r in rows]
     words = np.maximum(1, np.array([r["words"] for r in hits]))
-    is_prefix = np.array([x.endswith("*") for x in names])
     fold = np.array([zlib.crc32(x.encode()) for x in names])
     voters = [~is_prefix & (fold % WORD_FOLDS == k) for k in range(WORD_FOLDS)] + [is_prefix & (fold % PREFIX_FOLDS == k) for k in range(PREFIX_FOLDS)] + [fixed]
     columns = [np.array([v[r].any() for r in rows]) for v in voters]
