@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, packing, simhash, topk, toxicity
+from driftline.llm import bpe, chat, packing, simhash, spotsigs, topk, toxicity
 from driftline.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file())
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -56,7 +60,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat}
+    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat}
 
 
 OP8_SQL = """
