@@ -24,6 +24,7 @@ ANCHORS = frozenset(
     "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour que qui sa se ses son sont sur un une vous "
     "al como con de del el ella en es esta este ha hay la las le lo los más me mi no nos o para pero por que se si sin son su sus un una y ya".split()
 )
+SPARSE = np.uint64(4)
 _WORD = re.compile(r"[^\W_]+")
 _KNOWN: dict[str, int] = {}
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -51,7 +52,8 @@ def _hashes(words: list[str]) -> np.ndarray:
 def signatures(text: str, chain: int = 2, distance: int = 1) -> np.ndarray:
     """Sorted hashes of the text's signatures, ``chain`` content words each, ``distance`` content words apart.
 
-    A text without a complete anchor chain uses every word as an anchor; one without words is hashed whole.
+    Tables, lists and code have few common words, so every SPARSE-th content word, chosen by its hash,
+    is an anchor as well.  A text without a complete anchor chain uses every word as an anchor; one without words is hashed whole.
     """
     words = _WORD.findall(text.lower())
     if not words:
@@ -59,8 +61,8 @@ def signatures(text: str, chain: int = 2, distance: int = 1) -> np.ndarray:
     h = _hashes(words)
     common = np.array([w in ANCHORS for w in words])
     content = np.nonzero(~common)[0]
-    anchors = np.nonzero(common)[0]
-    first = np.searchsorted(content, anchors)
+    anchors = np.nonzero(common | (h % SPARSE == 0))[0]
+    first = np.searchsorted(content, anchors, side="right")
     whole = first + (chain - 1) * distance < len(content)
     anchors, first = anchors[whole], first[whole]
     if len(anchors):
@@ -74,9 +76,8 @@ def signatures(text: str, chain: int = 2, distance: int = 1) -> np.ndarray:
             s = _mixed(s + padded[k + 1 : k + 1 + len(h)] * _MIX[k + 1])
     s.sort()
     new = np.concatenate([[True], s[1:] != s[:-1]])
-    if not new.all():  # number the repeats
-        at = np.arange(len(s))
-        s = _mixed(s + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _MIX[3])
+    at = np.arange(len(s))  # number the repeats
+    s = _mixed(s + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * _MIX[3])
     return np.unique((s >> np.uint64(32)).astype(np.uint32))
 
 
