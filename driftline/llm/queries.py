@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, packing, simhash, spotsigs, topk, toxicity
+from driftline.llm import bpe, chat, lm, packing, simhash, spotsigs, topk, toxicity
 from driftline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.perplexities(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat}
+    return {"op1_lm": op1_lm, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat}
 
 
 OP8_SQL = """
