@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, lm, packing, simhash, spotsigs, topk, toxicity
+from driftline.llm import bpe, chat, lm, packing, simhash, spotsigs, suffix, topk, toxicity
 from driftline.llm.common import table
 
 
@@ -63,8 +63,13 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm": op1_lm, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat}
+    return {"op1_lm": op1_lm, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat, "op10_repeats": op10_repeats}
 
 
 OP8_SQL = """
