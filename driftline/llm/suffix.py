@@ -332,15 +332,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096)
     An empty table gives no rows.  Other columns are not read.  Strings are equal if their 64-bit
     hashes are; among n strings that may repeat, about n * n / 2**65 pairs are confused.
     """
-    if width < GRAM:
-        raise ValueError(f"width must be at least {GRAM}")
-    spark = docs.sparkSession
     rows = _documents(docs)
-    n = partitions_for(spark, rows.count(), docs_per_part)
-    folder = scratch(spark, "repeats")
-    samples, whole, places = Table(folder, "s", "", n), Table(folder, "w", "", n), Table(folder, "p", "da", n)
-    _samples(rows, samples, whole, width)
-    _firsts(rows, samples, whole, places, width)
+    find = _finder(rows, width, docs_per_part)
 
     def run(batches):
         import pyarrow as pa
@@ -352,14 +345,54 @@ def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096)
                 out: list[list] = [[], [], [], []]
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
                     data = text.as_py().encode()
-                    spans = repeated(data, doc, samples, whole, places, width).tolist()
-                    at, kept = 0, []
-                    for s, e in spans:
-                        kept.append(data[at:s])
-                        at = e
-                    kept.append(data[at:])
-                    for col, value in zip(out, (len(data), sum(e - s for s, e in spans), [{"start": s, "length": e - s} for s, e in spans], b"".join(kept))):
+                    spans = find(data, doc)
+                    for col, value in zip(out, (len(data), sum(e - s for s, e in spans), [{"start": s, "length": e - s} for s, e in spans], b"".join(_rest(data, spans)))):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), spans_type, pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary")
+
+
+def _rest(data: bytes, spans: list) -> list[bytes]:
+    """The stretches of a document that the cuts leave."""
+    edges = [0, *(x for span in spans for x in span), len(data)]
+    return [data[a:b] for a, b in zip(edges[::2], edges[1::2])]
+
+
+def _finder(rows: DataFrame, width: int, docs_per_part: int):
+    """Gather the corpus's repeats; a function from (bytes, doc_id) to the document's (start, end) cuts."""
+    if width < GRAM:
+        raise ValueError(f"width must be at least {GRAM}")
+    spark = rows.sparkSession
+    n = partitions_for(spark, rows.count(), docs_per_part)
+    folder = scratch(spark, "repeats")
+    samples, whole, places = Table(folder, "s", "", n), Table(folder, "w", "", n), Table(folder, "p", "da", n)
+    _samples(rows, samples, whole, width)
+    _firsts(rows, samples, whole, places, width)
+    return lambda data, doc: repeated(data, doc, samples, whole, places, width).tolist()
+
+
+def without_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096) -> DataFrame:
+    """``docs(doc_id, text, ...)`` with the repeats cut out of ``text``, all columns and rows kept but emptied ones.
+
+    A character of which a byte is cut goes as a whole.  Rows whose text was cut to nothing go; rows
+    that were empty or null before stay as they are.
+    """
+    find = _finder(_documents(docs), width, docs_per_part)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts, keep = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column(at)):
+                text = text.as_py()
+                data = (text or "").encode()
+                if spans := find(data, doc):
+                    text = "".join(b.decode("utf-8", "ignore") for b in _rest(data, spans))
+                texts.append(text)
+                keep.append(not spans or bool(text))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

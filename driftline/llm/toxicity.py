@@ -203,33 +203,56 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     return {"weights": {x: float(w[k]) for x, k in index.items() if keep[k] and w[k]}, "bias": b, "several": [float(x) for x in w[size + 1 :]]}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score): the classifier's probability for every row of ``docs(doc_id, text, ...)``, in place."""
+def scorer(model: dict):
+    """A function from an Arrow column of texts (nulls: empty) to the classifier's probabilities."""
     weights, bias, several = model["weights"], model["bias"], model["several"]
     words = {x: w for x, w in weights.items() if not x.endswith("*")}
     starts = {n: {x[:-1]: w for x, w in weights.items() if x.endswith("*") and len(x) == n + 1} for n in PREFIXES}
 
+    def one(text: str) -> float:
+        found = set(_words(text))
+        entries = found & words.keys()
+        z = bias + sum(words[x] for x in entries)
+        for n, table in starts.items():
+            here = {w for w in found if len(w) > n and w[:n] in table}
+            z += sum(table[x] for x in {w[:n] for w in here})
+            entries |= here
+        return z + sum(several[1 : len(entries)])
+
+    def probabilities(column) -> np.ndarray:
+        z = np.clip(np.array([one(t.as_py() or "") for t in column], dtype=float), -30, 30)
+        return 1 / (1 + np.exp(-z))
+
+    return probabilities
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score): the classifier's probability for every row of ``docs(doc_id, text, ...)``, in place."""
+    probabilities = scorer(model)
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for text in batch.column(1):
-                found = set(_words(text.as_py()))
-                entries = found & words.keys()
-                z = bias + sum(words[x] for x in entries)
-                for n, table in starts.items():
-                    here = {w for w in found if len(w) > n and w[:n] in table}
-                    z += sum(table[x] for x in {w[:n] for w in here})
-                    entries |= here
-                out.append(z + sum(several[1 : len(entries)]))
-            z = np.clip(np.array(out, dtype=float), -30, 30)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probabilities(batch.column(1)))], names=["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs(text, ...)`` scored below ``threshold``, with all their columns, in place."""
+    probabilities = scorer(model)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array(probabilities(batch.column("text")) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels are never learnt from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
