@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bpe, chat, lm, packing, simhash, spotsigs, suffix, topk, toxicity
+from driftline.llm import bpe, chat, license, lm, packing, simhash, spotsigs, suffix, topk, toxicity
 from driftline.llm.common import table
 
 
@@ -30,6 +30,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files source/lang/doc_id; a document of at most five lines with a licence is its directory's licence file."""
+    known = lambda c: F.coalesce(c, F.lit("unknown"))
+    path = F.concat_ws("/", known("source"), known("lang"), F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text", F.lit(None).cast("boolean").alias("is_licence_file"))
+    return license.scan(files).select(F.col("file_id").alias("doc_id"), "licence", "score", "how", "from_directory")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -69,7 +77,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm": op1_lm, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat, "op10_repeats": op10_repeats}
+    return {"op1_lm": op1_lm, "op2_toxicity": op2_toxicity, "op3_packing": op3_packing, "op4_license": op4_license, "op5_simhash": op5_simhash, "op6_spotsigs": op6_spotsigs, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_chat": op9_chat, "op10_repeats": op10_repeats}
 
 
 OP8_SQL = """
@@ -102,4 +110,4 @@ FROM c GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_topk": OP8_SQL, "op9_chat": OP9_SQL}
+    return {"op4_license": license.oracle(), "op8_topk": OP8_SQL, "op9_chat": OP9_SQL}
