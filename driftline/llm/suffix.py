@@ -27,6 +27,7 @@ from driftline.llm.common import map_array, partitions_for, put_array, scratch,
 from driftline.llm.lm import _by_part, _dealt, _file, _from_planes, _packed, _planes, _range, _unpacked, mix
 
 GRAM = 32
+GROUP = 1 << 20
 SEGMENT = 1 << 22
 FLUSH = 1 << 22
 _SEED = np.random.default_rng(10)
@@ -56,20 +57,35 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
 
 
 class Runs:
-    """The runs of one stretch of a document: sample, first window, number of windows."""
+    """The runs of several documents laid end to end: sample, first window, number of windows, document.
 
-    def __init__(self, raw: np.ndarray, width: int):
+    ``ends`` are the documents' ends in ``raw``; no run has a window that crosses one.
+    """
+
+    def __init__(self, raw: np.ndarray, ends: np.ndarray, width: int):
         self.raw, self.width = raw, width
         h = _VALUES[2][raw]
         for j, size in enumerate((1, 2, 4, 8, 16)):
             h = h[:-size] * _ODD[j] + h[size:]
         self.gram = mix(h)
-        self.least = _sliding(self.gram, width - GRAM + 1, np.minimum)
-        self.first = np.nonzero(np.concatenate([[True], self.least[1:] != self.least[:-1]]))[0]
-        self.windows = np.diff(np.append(self.first, len(self.least)))
-        self.sample = self.least[self.first]
+        least = _sliding(self.gram, width - GRAM + 1, np.minimum)
+        n = len(least)
+        crossing = np.bincount(np.clip(ends - width + 1, 0, n), minlength=n + 1) - np.bincount(np.minimum(ends, n), minlength=n + 1)
+        inside = np.cumsum(crossing[:n]) == 0
+        self.least = np.where(inside, least, np.uint64(0))
+        turn = np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]), [True]])
+        self.first = np.nonzero(turn[:-1] & inside)[0]
+        self.windows = np.nonzero(turn[1:] & inside)[0] + 1 - self.first
+        self.sample = least[self.first]
+        self.doc = np.searchsorted(ends, self.first, side="right")
         self._sums = None
 
+    def drop_last(self) -> int:
+        """Leave out the last run and return its first window."""
+        cut = int(self.first[-1])
+        self.first, self.windows, self.sample, self.doc = self.first[:-1], self.windows[:-1], self.sample[:-1], self.doc[:-1]
+        return cut
+
     def hashes(self, starts: np.ndarray, lengths) -> np.ndarray:
         """Content hashes of stretches, the mix of two polynomials over different byte tables."""
         n = len(self.raw)
@@ -89,27 +105,56 @@ class Runs:
         high = _sliding(np.concatenate([pad, self.least, pad]), reach + 1, np.maximum)
         at = np.nonzero(high == self.gram)[0]
         tied = self.gram[at[1:]][(np.diff(at) <= reach) & (self.gram[at[1:]] == self.gram[at[:-1]])]
-        # a tie may also have another sample between
-        return np.isin(self.sample, tied) | (self.windows > reach + 1) if len(tied) else self.windows > reach + 1
+        long = self.windows > reach + 1
+        return np.isin(self.sample, tied) | long if len(tied) else long
 
 
-def stretches(text: bytes, width: int):
-    """(offset, Runs) of a document in stretches of bounded size that end where a run does."""
-    raw = np.frombuffer(text, dtype=np.uint8)
+def stretches(docs: list, texts, width: int):
+    """(Runs, document of each run as its index in ``docs``, place of each run's first window in it).
+
+    Short documents are laid end to end in groups; one longer than SEGMENT is read in stretches that
+    end where a run does.
+    """
+    held, names, size = [], [], 0
+
+    def group():
+        ends = np.cumsum([len(t) for t in held])
+        runs = Runs(np.frombuffer(b"".join(held), dtype=np.uint8), ends, width)
+        base = np.concatenate([[0], ends[:-1]])
+        return runs, np.array(names)[runs.doc], runs.first - base[runs.doc]
+
+    for k, text in enumerate(texts):
+        text = (text.as_py() or "").encode()
+        if len(text) < width:
+            continue
+        if len(text) > SEGMENT:
+            yield from _long(k, np.frombuffer(text, dtype=np.uint8), width)
+            continue
+        held.append(text)
+        names.append(k)
+        size += len(text)
+        if size >= GROUP:
+            yield group()
+            held, names, size = [], [], 0
+    if held:
+        yield group()
+
+
+def _long(k: int, raw: np.ndarray, width: int):
     at, size = 0, SEGMENT
     while len(raw) - at >= width:
-        runs = Runs(raw[at : at + size], width)
+        part = raw[at : at + size]
+        runs = Runs(part, np.array([len(part)]), width)
+        offset = at
         if at + size < len(raw):
             if len(runs.first) == 1:  # one run is longer than the stretch
                 size *= 2
                 continue
-            cut = runs.first[-1]
-            runs.first, runs.windows, runs.sample = runs.first[:-1], runs.windows[:-1], runs.sample[:-1]
-            yield at, runs
-            at, size = at + int(cut), SEGMENT
+            at += runs.drop_last()
+            size = SEGMENT
         else:
-            yield at, runs
-            return
+            at = len(raw)
+        yield runs, np.full(len(runs.first), k), runs.first + offset
 
 
 class Table:
@@ -177,8 +222,8 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 
-def _order_key(doc):
-    return 2**63 - 1 if doc is None else doc
+def _order_keys(column) -> np.ndarray:
+    return np.array([2**63 - 1 if x is None else x for x in column.to_pylist()], dtype=np.int64)
 
 
 def _samples(rows: DataFrame, samples: Table, whole: Table, width: int) -> None:
@@ -201,14 +246,13 @@ def _samples(rows: DataFrame, samples: Table, whole: Table, width: int) -> None:
 
         least = FLUSH
         for batch in batches:
-            for text in batch.column(1):
-                for _, runs in stretches(text.as_py().encode(), width):
-                    parts.append((runs.sample, runs.contents(), runs.may_repeat(), np.zeros(len(runs.sample), dtype=bool)))
-                    size += len(runs.sample)
-            if size > least:
-                parts = [merged()]
-                size = len(parts[0][0])
-                least = max(FLUSH, 2 * size)
+            for runs, _, _ in stretches([], batch.column(1), width):
+                parts.append((runs.sample, runs.contents(), runs.may_repeat(), np.zeros(len(runs.sample), dtype=bool)))
+                size += len(runs.sample)
+                if size > least:
+                    parts = [merged()]
+                    size = len(parts[0][0])
+                    least = max(FLUSH, 2 * size)
         if not parts:
             return
         s, c, odd, again = merged()
@@ -250,15 +294,15 @@ def _fill(made: DataFrame, n: int, empty) -> None:
             empty(part)
 
 
-def _units(runs: Runs, samples: Table, whole: Table):
-    """(hash, first window, windows) of all units that may repeat: whole runs, or the windows of runs taken apart."""
-    apart = samples.find(runs.sample)[0]
-    again = whole.find(runs.sample)[0]
-    first, count = runs.first[apart], runs.windows[apart]
-    single = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(first) else np.zeros(0, dtype=np.int64)
-    starts = np.concatenate([runs.first[again], single]).astype(np.int64)
-    windows = np.concatenate([runs.windows[again], np.ones(len(single), dtype=np.int64)])
-    return runs.hashes(starts, windows + (runs.width - 1)), starts, windows
+def _units(runs: Runs, docs: np.ndarray, places: np.ndarray, samples: Table, whole: Table):
+    """(hash, document, place, windows) of all units that may repeat: whole runs, or the windows of runs taken apart."""
+    apart, again = (np.nonzero(t.find(runs.sample)[0])[0] for t in (samples, whole))
+    count = runs.windows[apart]
+    run = np.concatenate([again, np.repeat(apart, count)])
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    step = np.concatenate([np.zeros(len(again), dtype=np.int64), step])
+    windows = np.concatenate([runs.windows[again], np.ones(count.sum(), dtype=np.int64)])
+    return runs.hashes(runs.first[run] + step, windows + (runs.width - 1)), docs[run], places[run] + step, windows
 
 
 def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width: int) -> None:
@@ -269,10 +313,10 @@ def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width:
 
         found = Places()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for at, runs in stretches(text.as_py().encode(), width):
-                    keys, starts, _ = _units(runs, samples, whole)
-                    found.add(keys, np.full(len(keys), _order_key(doc), dtype=np.int64), starts + at)
+            names = _order_keys(batch.column("doc_id"))
+            for runs, docs, places_ in stretches(names, batch.column("text"), width):
+                keys, docs, places_, _ = _units(runs, docs, places_, samples, whole)
+                found.add(keys, names[docs], places_)
         keys, docs, at, several = found.merge()
         edges = np.searchsorted(_range(keys, n), np.arange(n + 1))
         for lo in range(0, n, 64):
@@ -299,24 +343,30 @@ def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width:
     _fill(made, n, lambda part: places.write(part, none.astype(np.uint64), none, none))
 
 
-def repeated(text: bytes, doc, samples: Table, whole: Table, places: Table, width: int) -> np.ndarray:
-    """(start, end) of the maximal stretches of a document that repeat earlier strings."""
-    starts, ends = [], []
-    key = _order_key(doc)
-    for at, runs in stretches(text, width):
-        keys, first, windows = _units(runs, samples, whole)
-        hit, (docs, places_) = places.find(keys)
-        later = hit & ((docs < key) | ((docs == key) & (places_ < first + at)))
-        starts.append(first[later] + at)
-        ends.append(first[later] + at + windows[later] + (width - 1))
-    if not starts or not sum(map(len, starts)):
-        return np.zeros((0, 2), dtype=np.int64)
-    s, e = np.concatenate(starts), np.concatenate(ends)
-    order = np.argsort(s, kind="stable")
-    s, e = s[order], np.maximum.accumulate(e[order])
-    new = np.concatenate([[True], s[1:] > e[:-1]])
-    first = np.nonzero(new)[0]
-    return np.column_stack([s[first], e[np.append(first[1:], len(s)) - 1]])
+def repeated(column, texts, samples: Table, whole: Table, places: Table, width: int) -> list[list]:
+    """For each document of a batch the (start, end) of its maximal stretches that repeat earlier strings."""
+    names = _order_keys(column)
+    starts = [np.zeros((2, 0), dtype=np.int64)]
+    lengths = [np.zeros(0, dtype=np.int64)]
+    for runs, docs, at in stretches(names, texts, width):
+        keys, docs, at, windows = _units(runs, docs, at, samples, whole)
+        hit, (first_doc, first_at) = places.find(keys)
+        later = hit & ((first_doc < names[docs]) | ((first_doc == names[docs]) & (first_at < at)))
+        starts.append(np.stack([docs[later], at[later]]))
+        lengths.append(windows[later] + (width - 1))
+    (docs, s), length = np.concatenate(starts, axis=1), np.concatenate(lengths)
+    order = np.lexsort((s, docs))
+    docs, s, length = docs[order], s[order], length[order]
+    out: list[list] = [[] for _ in range(len(names))]
+    if not len(s):
+        return out
+    far = int((s + length).max()) + 2  # keeps documents apart on one axis
+    e = np.maximum.accumulate(docs * far + s + length)
+    first = np.nonzero(np.concatenate([[True], docs[1:] * far + s[1:] > e[:-1]]))[0]
+    last = np.append(first[1:], len(s)) - 1
+    for d, a, b in zip(docs[first].tolist(), s[first].tolist(), (e[last] - docs[last] * far).tolist()):
+        out[d].append((a, b))
+    return out
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096) -> DataFrame:
@@ -343,9 +393,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096)
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
                 out: list[list] = [[], [], [], []]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1)):
+                for spans, text in zip(find(part.column(0), part.column(1)), part.column(1)):
                     data = text.as_py().encode()
-                    spans = find(data, doc)
                     for col, value in zip(out, (len(data), sum(e - s for s, e in spans), [{"start": s, "length": e - s} for s, e in spans], b"".join(_rest(data, spans)))):
                         col.append(value)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), spans_type, pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
@@ -360,7 +409,7 @@ def _rest(data: bytes, spans: list) -> list[bytes]:
 
 
 def _finder(rows: DataFrame, width: int, docs_per_part: int):
-    """Gather the corpus's repeats; a function from (bytes, doc_id) to the document's (start, end) cuts."""
+    """Gather the corpus's repeats; a function from columns of doc_id and text to each document's (start, end) cuts."""
     if width < GRAM:
         raise ValueError(f"width must be at least {GRAM}")
     spark = rows.sparkSession
@@ -369,7 +418,7 @@ def _finder(rows: DataFrame, width: int, docs_per_part: int):
     samples, whole, places = Table(folder, "s", "", n), Table(folder, "w", "", n), Table(folder, "p", "da", n)
     _samples(rows, samples, whole, width)
     _firsts(rows, samples, whole, places, width)
-    return lambda data, doc: repeated(data, doc, samples, whole, places, width).tolist()
+    return lambda docs, texts: repeated(docs, texts, samples, whole, places, width)
 
 
 def without_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096) -> DataFrame:
@@ -386,11 +435,10 @@ def without_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, keep = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column(at)):
+            for spans, text in zip(find(batch.column("doc_id"), batch.column(at)), batch.column(at)):
                 text = text.as_py()
-                data = (text or "").encode()
-                if spans := find(data, doc):
-                    text = "".join(b.decode("utf-8", "ignore") for b in _rest(data, spans))
+                if spans:
+                    text = "".join(b.decode("utf-8", "ignore") for b in _rest(text.encode(), spans))
                 texts.append(text)
                 keep.append(not spans or bool(text))
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
