@@ -1 +1 @@
-
+"""Window and scalar expressions used by all operators."""

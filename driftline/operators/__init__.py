@@ -1 +1 @@
-
+"""Change-point operators over series tables."""

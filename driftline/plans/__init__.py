@@ -1 +1 @@
-
+"""The registered queries and their DuckDB texts."""

@@ -1 +1 @@
-
+"""Stateful streaming detectors."""
