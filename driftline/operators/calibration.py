@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.windows import at_least, clip, previous
@@ -38,9 +38,12 @@ def autocorrelation(hist: DataFrame, lags: int = 2) -> DataFrame:
 def quantile_edges(hist: DataFrame) -> DataFrame:
     """edges: the 19 twentieths, made strictly rising."""
     q = hist.groupBy("id").agg(F.percentile("x", F.array(*map(F.lit, EDGES))).alias("q"))
-    raised = F.transform("q", lambda e, j: e + j * F.lit(1e-12))
-    highest = F.transform(raised, lambda e, j: F.array_max(F.slice(raised, F.lit(1), j + 1)))
-    return q.select("id", highest.alias("edges"))
+    return q.select("id", _rising("q").alias("edges"))
+
+
+def _rising(edges: str) -> Column:
+    """Sorted edges with a step of 1e-12 each, so that none equals the next."""
+    return F.transform(edges, lambda e, j: e + j * F.lit(1e-12))
 
 
 def difference_stats(hist: DataFrame) -> DataFrame:
@@ -95,8 +98,25 @@ def last_value(hist: DataFrame) -> DataFrame:
     return hist.groupBy("id").agg(F.max_by("x", "t").alias("x_last"))
 
 
-def full(series_history: DataFrame) -> DataFrame:
-    """All scalar calibration columns of a series in one row."""
-    cal = moments(series_history)
-    out = cal.join(autocorrelation(series_history), "id").join(difference_stats(series_history), "id").join(quantile_edges(series_history), "id").join(last_value(series_history), "id")
+def full(hist: DataFrame) -> DataFrame:
+    """The scalar calibration columns of a series in one row, from one exchange.
+
+    Means and deviations are window aggregates on the partitioning that the group-by needs too, so
+    nothing is joined or shuffled again.
+    """
+    whole = Window.partitionBy("id")
+    rows = hist.withColumns({"mu": F.avg("x").over(whole), "sd": at_least(F.coalesce(F.stddev_samp("x").over(whole), F.lit(0.0)), 1e-9), "_1": previous("x"), "_2": previous("x", 2)})
+    rows = rows.withColumns({"_d": F.col("x") - F.col("mu"), "_z": (F.col("x") - F.col("mu")) / F.col("sd"), "_f": F.col("x") - F.col("_1")})
+    rows = rows.withColumns({"_p1": F.col("_d") * (F.col("_1") - F.col("mu")), "_p2": F.col("_d") * (F.col("_2") - F.col("mu"))})
+    sums = rows.groupBy("id").agg(
+        F.count("*").alias("n_hist"), F.max("mu").alias("mu"), F.max("sd").alias("sd"), F.median("x").alias("med"), F.avg(F.col("_z") ** 3).alias("_s"), F.avg(F.col("_z") ** 4).alias("_k"),
+        F.sum(F.col("_d") ** 2).alias("_ss"), F.sum("_p1").alias("_p1"), F.sum("_p2").alias("_p2"), F.var_pop("_f").alias("_v"), F.avg(F.abs("_f")).alias("_a"),
+        F.percentile("x", F.array(*map(F.lit, EDGES))).alias("_q"), F.max_by("x", "t").alias("x_last"),
+    )
+    n = F.col("n_hist")
+    acf = lambda k: F.when((F.col("_ss") > 1e-12) & (n > k + 1), F.col(f"_p{k}") / F.col("_ss")).otherwise(0.0)
+    out = sums.select(
+        "id", "n_hist", "mu", "sd", "med", F.when(n > 2, F.col("_s")).otherwise(0.0).alias("skew"), F.when(n > 3, F.col("_k") - 3).otherwise(0.0).alias("kurt"),
+        acf(1).alias("acf1_h"), acf(2).alias("acf2_h"), at_least(F.coalesce("_v", F.lit(1.0)), 1e-9).alias("dvar_h"), at_least(F.coalesce("_a", F.lit(1.0)), 1e-9).alias("dabs_h"), _rising("_q").alias("edges"), "x_last",
+    )
     return out.withColumn("phi", clip("acf1_h", -0.95, 0.95))

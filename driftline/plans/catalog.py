@@ -34,9 +34,9 @@ def series_query(name: str, build: Callable[[DataFrame], DataFrame], keys: list[
     add(name, lambda spark, d: rounding(build(src.series_q(spark, d)), keys, cols, digits), oracle)
 
 
-def online_query(name: str, build: Callable[[DataFrame], DataFrame], cols: list[str], oracle_select: str | None, ctes: str = CAL) -> None:
+def online_query(name: str, build: Callable[[DataFrame], DataFrame], cols: list[str], oracle_select: str | None, ctes: str = CAL, digits: int = 6) -> None:
     """A query whose input is the prepared online rows."""
-    series_query(name, lambda s: build(features.prepared(s)), ["id", "t"], cols, rounded(oracle_select, "id, t", cols, ctes) if oracle_select else None)
+    series_query(name, lambda s: build(features.prepared(s)), ["id", "t"], cols, rounded(oracle_select, "id, t", cols, ctes, digits) if oracle_select else None, digits)
 
 
 # ---- metric, labels, splits
@@ -119,7 +119,7 @@ online_query(
     CASE WHEN n > 2 THEN avg(abs(d)) OVER {CUM} / dabs_h ELSE 1 END AS dabs_ratio_cum FROM (SELECT *, x - lag(x) OVER ({W}) AS d FROM z)""",
 )
 _ks, _l1, _chi = sql.shape_columns(CUM, "n")
-online_query("cum_histogram_ks_l1_chi2", features.cumulative_shape, ["ks_stat", "ecdf_l1", "chi2_cum"], f"SELECT id, t, {_ks} AS ks_stat, {_l1} AS ecdf_l1, {_chi} AS chi2_cum FROM b", f"{CAL}, {sql.BINS}")
+online_query("cum_histogram_ks_l1_chi2", features.cumulative_shape, ["ks_stat", "ecdf_l1", "chi2_cum"], f"SELECT id, t, {_ks} AS ks_stat, {_l1} AS ecdf_l1, {_chi} AS chi2_cum FROM b", f"{CAL}, {sql.BINS}", 10)
 _bank = ", ".join(sql.cusum_ctes("z", k, f"k{k_}", "z") for k, k_ in ((0.25, "025"), (0.5, "05"), (1.0, "10")))
 online_query(
     "cusum_bank", features.cusum_bank, [f"cusum_absmax_{k}{s}" for k in ("k025", "k05", "k10") for s in ("", "_n")],
@@ -146,15 +146,15 @@ for _w in WINDOWS:
     ORACLES[f"win_moments_{_w}"] = sql.window_moments(_w)
 online_query("win_acf", features.window_acf, [f"w{w}_acf1" for w in WINDOWS], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', w)} AS w{w}_acf1" for w in WINDOWS) + f" FROM {LAGGED}")
 for _w in (25, 100):
-    online_query(f"win_hist_ks_l1_{_w}", partial(features.window_shape, widths=(_w,)), [f"w{_w}_ks", f"w{_w}_l1", f"w{_w}_chi2"], None)
+    online_query(f"win_hist_ks_l1_{_w}", partial(features.window_shape, widths=(_w,)), [f"w{_w}_ks", f"w{_w}_l1", f"w{_w}_chi2"], None, digits=10)
     ORACLES[f"win_hist_ks_l1_{_w}"] = f"WITH {CAL}, {sql.BINS} " + sql.window_shape(_w).split(f"{CAL}, {sql.BINS}")[1]
 
 
-def null_query(name: str, build, arrays: list[str], oracle: str) -> None:
+def null_query(name: str, build, arrays: list[str], oracle: str, digits: int = 6) -> None:
     def query(spark: SparkSession, d: str) -> DataFrame:
         rows = build(src.history(src.series_q(spark, d)))
         each = rows.select("id", F.posexplode(F.arrays_zip(*arrays)).alias("k", "v"))
-        return each.select("id", (F.col("k") + 1).alias("k"), *[(F.round(f"v.{a}", 6) + F.lit(0.0)).alias(a) for a in arrays])
+        return each.select("id", (F.col("k") + 1).alias("k"), *[(F.round(f"v.{a}", digits) + F.lit(0.0)).alias(a) for a in arrays])
 
     add(name, query, oracle)
 
@@ -162,7 +162,7 @@ def null_query(name: str, build, arrays: list[str], oracle: str) -> None:
 _names = lambda *s: [f"null_{x}_{y}" for x in s for y in ("loc", "scale")]
 for _n, _s in (("mean", "mz"), ("lv", "lv"), ("acf", "acf")):
     null_query(f"null_{_n}_table", lambda h: features.null_moments(h, calibration.full(h)), _names(_s), f"WITH {CAL}, {sql.HZ}, nm AS ({sql.NULL_MOMENTS}) " + sql.unrolled("nm", _names(_s)))
-null_query("null_ks_table", lambda h: features.null_shape(h, calibration.full(h)), _names("ks", "l1"), f"WITH {CAL}, {sql.HB}, ns AS ({sql.NULL_SHAPE}) " + sql.unrolled("ns", _names("ks", "l1")))
+null_query("null_ks_table", lambda h: features.null_shape(h, calibration.full(h)), _names("ks", "l1"), f"WITH {CAL}, {sql.HB}, ns AS ({sql.NULL_SHAPE}) " + sql.unrolled("ns", _names("ks", "l1"), 10), 10)
 
 
 def nulls_of(s: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -321,8 +321,8 @@ add("hmm_posterior", lambda spark, d: rounding(detectors.hmm_posterior(features.
 add("wavelet_bands", lambda spark, d: (lambda w: rounding(w, ["id", "t"], [c for c in w.columns if c not in ("id", "t")]))(detectors.wavelet_bands(src.series_q(spark, d))))
 add("student_log_density", lambda spark, d: rounding(detectors.student_log_density(features.prepared(src.series_q(spark, d))), ["id", "t"], ["log_t"]))
 add(
-    "score_ewma_postproc", lambda spark, d: rounding(detectors.postprocess(src.scores_e(spark, d)), ["id", "t"], ["run_max", "ewma", "half_max"], 5),
-    f"WITH {SCORES}, p AS (SELECT *, max(score) OVER {CUM} AS run_max FROM sc), l AS (SELECT id, unnest(range(0, len(zs))) AS t, list_transform(range(1, len(zs) + 1), lambda k: list_reduce(zs[1:k], lambda a, b: 0.7 * a + 0.3 * b)) AS e FROM (SELECT id, list(score ORDER BY t) AS zs FROM sc GROUP BY id)) SELECT p.id, p.t, round(run_max, 5) AS run_max, round(e[p.t + 1], 5) AS ewma, round(0.5 * score + 0.5 * run_max, 5) AS half_max FROM p JOIN l USING (id, t)",
+    "score_ewma_postproc", lambda spark, d: rounding(detectors.postprocess(src.scores_e(spark, d).withColumn("score", F.col("score") / 7)), ["id", "t"], ["run_max", "ewma", "half_max"], 5),
+    f"WITH {SCORES}, sv AS (SELECT id, t, score / 7 AS score FROM sc), p AS (SELECT *, max(score) OVER {CUM} AS run_max FROM sv), l AS (SELECT id, unnest(range(0, len(zs))) AS t, list_transform(range(1, len(zs) + 1), lambda k: list_reduce(zs[1:k], lambda a, b: 0.7 * a + 0.3 * b)) AS e FROM (SELECT id, list(score ORDER BY t) AS zs FROM sv GROUP BY id)) SELECT p.id, p.t, round(run_max, 5) AS run_max, round(e[p.t + 1], 5) AS ewma, round(0.5 * score + 0.5 * run_max, 5) AS half_max FROM p JOIN l USING (id, t)",
 )
 
 # ---- cohorts

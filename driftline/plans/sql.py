@@ -107,7 +107,7 @@ def shape_columns(over: str, n: str) -> tuple[str, str, str]:
 def window_shape(width: int) -> str:
     ks, l1, chi = shape_columns(win(width), f"least(n, {width})")
     cols = {f"w{width}_ks": ks, f"w{width}_l1": f"({l1}) / 19", f"w{width}_chi2": chi}
-    return rounded("SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + " FROM b", "id, t", list(cols), f"{CAL}, {BINS}")
+    return rounded("SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in cols.items()) + " FROM b", "id, t", list(cols), f"{CAL}, {BINS}", 10)
 
 
 def interp(col: str, width: int) -> str:
@@ -180,9 +180,9 @@ NULL_SHAPE = nulls("hb", {
 })
 
 
-def unrolled(relation: str, arrays: list[str]) -> str:
+def unrolled(relation: str, arrays: list[str], digits: int = 6) -> str:
     """Arrays over the grid as one row a scale."""
-    return f"SELECT id, CAST(k AS INTEGER) AS k, {', '.join(f'round({a}[k], 6) AS {a}' for a in arrays)} FROM {relation}, (SELECT unnest(range(1, {len(GRID) + 1})) AS k)"
+    return f"SELECT id, CAST(k AS INTEGER) AS k, {', '.join(f'round({a}[k], {digits}) + 0.0::DOUBLE AS {a}' for a in arrays)} FROM {relation}, (SELECT unnest(range(1, {len(GRID) + 1})) AS k)"
 
 
 def calibrated(widths=WINDOWS) -> tuple[str, list[str]]:
