@@ -113,7 +113,7 @@ def in_order(docs: DataFrame, per_block: int = 4096) -> DataFrame:
     goes = F.when(F.col("to").isNotNull(), F.concat(places, F.array(F.struct(F.col("to").alias("block"), F.lit(True).alias("guest"))))).otherwise(places)
     rows = rows.join(F.broadcast(guests.withColumnRenamed("block", "to")), "key", "left")  # one row per block
     rows = rows.select("doc_id", "text", "key", F.inline(goes))
-    return rows.repartition(blocks, "block").sortWithinPartitions("block", "guest", F.desc("key"), "text").select("doc_id", "text", "block", "guest")
+    return rows.repartitionById(blocks, "block").sortWithinPartitions("block", "guest", F.desc("key"), "text").select("doc_id", "text", "block", "guest")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
