@@ -184,7 +184,7 @@ def _by_part(batches):
 
 
 def _dealt(rows: DataFrame, n: int) -> DataFrame:
-    return rows.repartition(n, "part").sortWithinPartitions("part")
+    return rows.repartitionById(n, "part").sortWithinPartitions("part")
 
 
 def discounts(n: list[int]) -> np.ndarray:
