@@ -74,13 +74,16 @@ def hmm_posterior(df: DataFrame, hazards=HAZARDS, mixture=None) -> DataFrame:
     log_lr = F.log(at_least(mixture_ratio(F.col("z"), mixture or atoms(16)), 1e-300))
     rows = df.select("id", "t", log_lr.alias("l")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "l"))).alias("r"))
 
-    def step(acc, e, h):
-        add = F.greatest(acc["o"], F.lit(math.log(h))) + F.log1p(F.exp(-F.abs(acc["o"] - math.log(h))))
-        odds = clip(e["l"] + add - math.log(1 - h), -50.0, 50.0)
-        return F.struct(odds.alias("o"), F.concat(acc["p"], F.array(1 / (1 + F.exp(-odds)))).alias("p"))
+    def fold(h):
+        def step(acc, e):
+            add = F.greatest(acc["o"], F.lit(math.log(h))) + F.log1p(F.exp(-F.abs(acc["o"] - math.log(h))))
+            odds = clip(e["l"] + add - math.log(1 - h), -50.0, 50.0)
+            return F.struct(odds.alias("o"), F.concat(acc["p"], F.array(1 / (1 + F.exp(-odds)))).alias("p"))
+
+        return F.aggregate("r", empty, step)["p"]
 
     empty = F.struct(F.lit(-50.0).alias("o"), F.array().cast("array<double>").alias("p"))
-    folded = [F.aggregate("r", empty, lambda a, e, h=h: step(a, e, h))["p"] for h in hazards]
+    folded = [fold(h) for h in hazards]
     rows = rows.select("id", F.posexplode(F.arrays_zip(F.transform("r", lambda e: e["t"]).alias("t"), *[f.alias(f"p{k}") for k, f in enumerate(folded)])).alias("i", "v"))
     mean = sum((F.col(f"v.p{k}") for k in range(1, len(hazards))), F.col("v.p0")) / float(len(hazards))
     return rows.select("id", F.col("v.t").alias("t"), mean.alias("posterior"))
