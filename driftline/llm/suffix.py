@@ -76,14 +76,15 @@ class Runs:
         turn = np.concatenate([[True], (least[1:] != least[:-1]) | (inside[1:] != inside[:-1]), [True]])
         self.first = np.nonzero(turn[:-1] & inside)[0]
         self.windows = np.nonzero(turn[1:] & inside)[0] + 1 - self.first
-        self.sample = least[self.first]
+        self.low = least[self.first]
+        self.sample = mix(self.low + _ODD[6])  # least hashes are small; mixed again they fill all ranges alike
         self.doc = np.searchsorted(ends, self.first, side="right")
         self._sums = None
 
     def drop_last(self) -> int:
         """Leave out the last run and return its first window."""
         cut = int(self.first[-1])
-        self.first, self.windows, self.sample, self.doc = self.first[:-1], self.windows[:-1], self.sample[:-1], self.doc[:-1]
+        self.first, self.windows, self.low, self.sample, self.doc = (x[:-1] for x in (self.first, self.windows, self.low, self.sample, self.doc))
         return cut
 
     def hashes(self, starts: np.ndarray, lengths) -> np.ndarray:
@@ -106,7 +107,7 @@ class Runs:
         at = np.nonzero(high == self.gram)[0]
         tied = self.gram[at[1:]][(np.diff(at) <= reach) & (self.gram[at[1:]] == self.gram[at[:-1]])]
         long = self.windows > reach + 1
-        return np.isin(self.sample, tied) | long if len(tied) else long
+        return np.isin(self.low, tied) | long if len(tied) else long
 
 
 def stretches(docs: list, texts, width: int):
