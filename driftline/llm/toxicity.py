@@ -98,18 +98,19 @@ def _hits(sample: DataFrame, index: dict[str, int]) -> list:
     return sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, ids array<int>, before array<long>, which array<long>").collect()
 
 
-def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
+def label_model(votes: np.ndarray, rounds: int = 60, same: float = 0.9) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden class for 0/1 ``votes`` (texts x voters), and what was estimated.
 
-    EM for the prior and each voter's firing rate in either class.  Afterwards the correlations of the
-    voters' residuals within the classes give each voter the weight 1 / (1 + sum of the others'
-    absolute correlations), and EM runs again with these weights.
+    EM for the prior and each voter's firing rate in either class.  Voters that correlate above
+    ``same`` are one voter repeated, which would otherwise become the class itself: they share a weight
+    of 1 from the start.  After a first EM, the correlations of the voters' residuals within the classes
+    lower each voter's weight to 1 / (1 + the sum of its absolute correlations), and EM runs again.
     """
     n, m = votes.shape
-    weight = np.ones(m)
-    p = np.clip(votes.mean(axis=1) * 2, 0.02, 0.98)
-    corr = np.eye(m)
+    every = _correlations(votes - votes.mean(axis=0))
+    weight = start = 1 / np.maximum(1, (every > same).sum(axis=0))
     for turn in range(2):
+        p = np.clip(2 * votes @ weight / weight.sum(), 0.02, 0.98)
         for _ in range(rounds):
             prior = np.clip(p.mean(), 1e-3, 0.5)
             on = (votes.T @ p + 1) / (p.sum() + 2)
@@ -117,15 +118,17 @@ def label_model(votes: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, dict]:
             on = np.maximum(on, off)
             gain = np.log(prior / (1 - prior)) + (votes * (weight * np.log(on / off)) + (1 - votes) * (weight * np.log((1 - on) / (1 - off)))).sum(axis=1)
             p = 1 / (1 + np.exp(-np.clip(gain, -30, 30)))
-        if turn:
-            break
-        residual = votes - (p[:, None] * on + (1 - p)[:, None] * off)
-        spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
-        corr = (residual.T @ residual) / n / np.outer(spread, spread)
-        weight = 1 / (1 + np.abs(corr).sum(axis=0) - np.abs(np.diag(corr)))
+        corr = _correlations(votes - (p[:, None] * on + (1 - p)[:, None] * off))
+        if not turn:
+            weight = np.minimum(start, 1 / (1 + np.abs(corr).sum(axis=0) - np.abs(np.diag(corr))))
     return p, {"prior": float(p.mean()), "fires_toxic": on, "fires_clean": off, "correlations": corr, "weights": weight}
 
 
+def _correlations(residual: np.ndarray) -> np.ndarray:
+    spread = np.sqrt((residual**2).mean(axis=0)) + 1e-9
+    return residual.T @ residual / len(residual) / np.outer(spread, spread)
+
+
 def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: int = 300, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic weights and bias by accelerated gradient descent; each row lists its present features."""
     n = len(rows)
