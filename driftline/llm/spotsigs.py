@@ -167,3 +167,91 @@ def compare_edited(docs: DataFrame, chain: int = 2, distance: int = 1, flush: in
         yield table()
 
     return in_order(docs).mapInArrow(run, SCHEMA)
+
+
+#: Sets of one cell that are compared in one task at most; larger cells are cut into blocks and every pair of blocks is compared.
+BLOCK = 512
+
+
+def _linked(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs of sets at least ``threshold`` alike that span their components; sizes rule out most."""
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for at, a in enumerate(order):
+        for b in order[at + 1 :]:
+            if len(sets[a]) < threshold * len(sets[b]):
+                break  # all later ones are longer still
+            x, y = find(a), find(b)
+            if x != y and likeness(sets[a], sets[b], threshold) >= threshold:
+                root[max(x, y)] = min(x, y)
+                out.append((a, b))
+    return out
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, chain: int = 2, distance: int = 1) -> DataFrame:
+    """(doc_id, class_id) of ``docs(doc_id, text, ...)``: documents joined by likeness of at least ``threshold``, closed transitively.
+
+    Equal signature sets are merged first.  Sets are partitioned by length into bands in which sizes
+    differ by at most the threshold's factor; alike sets share one of their first signatures and lie in
+    one band or two neighbouring ones.  Sets that meet there are compared by pruned Jaccard.
+
+    class_id is the class's smallest doc_id.  Null and empty texts have the empty set and form one class.
+    Rows with null or repeated ids are kept; an empty table gives no rows; other columns are not read.
+    """
+    from driftline.llm.common import partitions_for, spool
+    from driftline.llm.graph import components
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+
+    def mark(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [signatures(t.as_py(), chain, distance).astype(np.int64).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "sigs"])
+
+    marked = spool(rows.mapInArrow(mark, "doc_id long, sigs array<long>").withColumn("node", F.xxhash64("sigs")), "spots")
+    sets = spool(marked.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("sigs").alias("sigs")), "sets")
+    n = F.size("sigs")
+    band = F.floor(F.log(n.cast("double")) / F.lit(-float(np.log(threshold)))).cast("int")
+    prefix = F.slice("sigs", F.lit(1), (n - F.ceil(n * F.lit(threshold) - F.lit(1e-9)) + 1).cast("int"))
+    placed = sets.filter(n > 0).select("node", band.alias("own"), F.explode(prefix).alias("sig"))
+    placed = placed.select("node", "sig", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
+    counts = placed.groupBy("sig", "band").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = placed.join(counts, ["sig", "band"]).withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    cells = cells.withColumn("mine", F.pmod(F.xxhash64("node", "sig"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("node", F.xxhash64("sig", "band").alias("cell"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    cells = cells.join(sets.select("node", "sigs"), "node")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def edges(rows):
+            nodes = sorted({r[0]: r[1] for r in rows}.items())
+            found = _linked([np.array(s, dtype=np.int64) for _, s in nodes], threshold)
+            return [(nodes[a][0], nodes[b][0]) for a, b in found]
+
+        now, held, out = None, [], []
+        for batch in batches:
+            for node, cell, i, j, sigs in zip(*(batch.column(c).to_pylist() for c in ("node", "cell", "i", "j", "sigs"))):
+                if (cell, i, j) != now:
+                    out += edges(held)
+                    now, held = (cell, i, j), []
+                held.append((node, sigs))
+        out += edges(held)
+        u, v = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    parts = partitions_for(docs.sparkSession, 1, 1)
+    links = cells.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(compare, "u long, v long")
+    classes = sets.select("node", "first").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = classes.groupBy("root").agg(F.min("first").alias("class_id"))
+    return marked.select("doc_id", "node").join(classes.join(least, "root").select("node", "class_id"), "node").select("doc_id", "class_id")

@@ -298,6 +298,30 @@ def test_signatures_of_equal_and_unlike_texts():
     assert spotsigs.likeness(spotsigs.signatures(a)[:2], spotsigs.signatures(a), 0.9) == 0  # sizes alone decide
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_similarity_classes_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "su", "te") for b in ("ra", "no", "vi", "ple", "dor", "st")] + ["the", "of", "and", "to"]
+    base = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        w = rng.choice(base).split()
+        for _ in range(rng.randrange(0, 6)):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w[: len(w) - rng.randrange(0, 12)])))
+    rows += [(60, ""), (61, None), (None, rows[0][1]), (62, "!!!")]
+    sets = [set(spotsigs.signatures(t or "").tolist()) for _, t in rows]
+    alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    root = classes(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if alike(sets[a], sets[b]) >= 0.8])
+    least = {}
+    for r, (i, _) in zip(root, rows):
+        if i is not None:
+            least[r] = min(i, least.get(r, i))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id) for r in spotsigs.near_duplicates(documents(spark, rows)).collect())
+    assert got == sorted((-1 if i is None else i, least[r]) for r, (i, _) in zip(root, rows)) and 3 < len(set(root)) < 40
+
+
 # ---- BPE
 
 
