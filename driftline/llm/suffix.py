@@ -29,7 +29,7 @@ from driftline.llm.lm import _by_part, _dealt, _file, _from_planes, _packed, _pl
 GRAM = 32
 GROUP = 1 << 20
 SEGMENT = 1 << 22
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 _SEED = np.random.default_rng(10)
 _VALUES = _SEED.integers(0, 2**64, (3, 256), dtype=np.uint64)
 _ODD = [np.uint64(int(x) | 1) for x in _SEED.integers(0, 2**63, 8)]
