@@ -175,12 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     names = sorted({r["feature"] for r in strong} | set(INSULTS))
     index = {x: k for k, x in enumerate(names)}
     hits = _hits(sample, index)
-    # a true entry turns up after many different words; the words of one much-copied text do not
+    # a true entry turns up after many different words of toxic texts; the words of one much-copied text do not
     ids, before, which, bad = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*((r["ids"], r["before"], r["which"], np.full(len(r["ids"]), r["toxic"])) for r in hits)))
     ids, before, which, bad = (x.astype(np.int64) for x in (ids, before, which, bad))
-    seen = np.bincount(np.unique(ids << 32 | before) >> 32, minlength=len(names))
     times = np.bincount(ids, minlength=len(names))
-    keep = (seen >= 3) & (seen >= 0.5 * times)
+    harmful, harmless = (np.bincount(np.unique((ids << 32 | before)[bad == k]) >> 32, minlength=len(names)) for k in (1, 0))
+    keep = (harmful >= 3) & (harmful >= 0.5 * np.bincount(ids[bad == 1], minlength=len(names))) & (harmful >= purity * (harmful + harmless))
     # a true pattern holds for several words, and still does without its commonest one
     is_prefix = np.array([x.endswith("*") for x in names])
     forms, at, count = np.unique(ids << 32 | which, return_inverse=True, return_counts=True)
