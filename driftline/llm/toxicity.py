@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     sample = spool(sample.select("text", "toxic"), "labelled")
     counts = spool(_counts(sample).filter("toxic >= 3"), "features")
     total, toxic, tried = sample.agg(F.count("*"), F.sum("toxic")).first() + counts.agg(F.count("*")).first()
-    base = {"weights": dict.fromkeys(INSULTS, 2.5), "bias": -4.0, "several": [0.0] * SEVERAL}
+    base = {"weights": dict.fromkeys(INSULTS, 2.5), "bias": -4.0, "again": 0.0, "several": [0.0] * SEVERAL}
     if not tried:
         return base
     # so much likelier than by chance that, of all features tried, hardly one passes by luck
@@ -193,33 +193,47 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     keep |= fixed & (times == 0)
     # how many different words of a text have an entry, up to SEVERAL
     several = [len({x for i, x in zip(r["ids"], r["which"]) if keep[i]}) for r in hits]
+    again = [_occurrences(r, keep) > 1 for r in hits]
     rows = [np.unique(np.array(r["ids"], dtype=np.int64)) for r in hits]
     rows = [r[keep[r]] for r in rows]
     words = np.maximum(1, np.array([r["words"] for r in hits]))
     fold = np.array([zlib.crc32(x.encode()) for x in names])
     voters = [~is_prefix & (fold % WORD_FOLDS == k) for k in range(WORD_FOLDS)] + [is_prefix & (fold % PREFIX_FOLDS == k) for k in range(PREFIX_FOLDS)] + [fixed]
     columns = [np.array([v[r].any() for r in rows]) for v in voters]
-    columns += [np.array(several) >= 2, np.array(several) >= 3, np.array(several) / words >= 0.01]
+    columns += [np.array(again), np.array(several) >= 2, np.array(several) >= 3, np.array(several) / words >= 0.01]
     posterior, _ = label_model(np.column_stack(columns).astype(float))
+    # beside the entries: an entry stands there again; there are two, three, four different ones
     size = len(names)
-    w, b = fit_linear([np.concatenate([r, np.arange(size + 2, size + 1 + min(k, SEVERAL))]) for r, k in zip(rows, several)], size + 1 + SEVERAL, posterior)
-    return {"weights": {x: float(w[k]) for x, k in index.items() if keep[k] and w[k]}, "bias": b, "several": [float(x) for x in w[size + 1 :]]}
+    w, b = fit_linear([np.concatenate([r, [size] * a, np.arange(size + 2, size + 1 + min(k, SEVERAL))]).astype(np.int64) for r, a, k in zip(rows, again, several)], size + 1 + SEVERAL, posterior)
+    return {"weights": {x: float(w[k]) for x, k in index.items() if keep[k] and w[k]}, "bias": b, "again": float(w[size]), "several": [float(x) for x in w[size + 1 :]]}
+
+
+def _occurrences(row, keep: np.ndarray) -> int:
+    """How many words of a text have an entry, repeats included; a word's entries count once."""
+    times: dict[int, Counter] = {}
+    for i, x in zip(row["ids"], row["which"]):
+        if keep[i]:
+            times.setdefault(x, Counter())[i] += 1
+    return sum(max(c.values()) for c in times.values())
 
 
 def scorer(model: dict):
     """A function from an Arrow column of texts (nulls: empty) to the classifier's probabilities."""
-    weights, bias, several = model["weights"], model["bias"], model["several"]
+    weights, bias, again, several = (model[k] for k in ("weights", "bias", "again", "several"))
     words = {x: w for x, w in weights.items() if not x.endswith("*")}
     starts = {n: {x[:-1]: w for x, w in weights.items() if x.endswith("*") and len(x) == n + 1} for n in PREFIXES}
 
     def one(text: str) -> float:
-        found = set(_words(text))
+        every = _words(text)
+        found = set(every)
         entries = found & words.keys()
         z = bias + sum(words[x] for x in entries)
         for n, table in starts.items():
             here = {w for w in found if len(w) > n and w[:n] in table}
             z += sum(table[x] for x in {w[:n] for w in here})
             entries |= here
+        if entries and sum(w in entries for w in every) > 1:
+            z += again
         return z + sum(several[1 : len(entries)])
 
     def probabilities(column) -> np.ndarray:
