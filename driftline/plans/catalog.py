@@ -13,6 +13,7 @@ from driftline.operators.features import WINDOWS
 from driftline.plans import sql
 from driftline.plans.sql import CAL, CUM, LAGGED, SCORES, SERIES, W, rounded, win
 from driftline.sources import series as src
+from driftline.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -386,6 +387,21 @@ for _k, _f in (("gbt_member", models.boosted), ("logistic_member", models.logist
 add("synthetic_series", lambda spark, d: synthesis.generate(spark, 50))
 
 
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The online detector as a streaming query over the event file."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream's plain path has to be a folder
+    rows = rows.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("bigint").cast("double").alias("x"))
+    return rounding(online.run_available(online.detect(rows, src.EVENT_HISTORY)), ["id", "t"], ["score"])
+
+
+EVENTS = """ev AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS time, CAST(round(value * 100) AS DOUBLE) AS x FROM events
+), eh AS (SELECT id, avg(x) AS mu, greatest(stddev_samp(x), 1e-9) AS sd FROM ev WHERE time <= 32 GROUP BY id), ez AS (SELECT id, time - 33 AS t, time - 32 AS n, (x - mu) / sd AS z FROM ev JOIN eh USING (id) WHERE time > 32)"""
+_stream = f"WITH {EVENTS}, {sql.cusum_ctes('z', 0.5, 'k05', 'ez')} SELECT id, t, round(1 - exp(-m / sqrt(n)), 6) + 0.0::DOUBLE AS score FROM k05"
+add("stream_cusum_scores", stream_scores, _stream)
+add("batch_cusum_scores", lambda spark, d: rounding(online.detect_batch(src.series_e(spark, d)), ["id", "t"], ["score"]), _stream)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Calibrate, score by a two-sided CUSUM and evaluate by TS-AUC."""
     scores = detector_scores(spark, d).join(labelled(spark, d).select("id", "t", F.col("target").alias("y")), ["id", "t"])

@@ -47,6 +47,19 @@ def detect(stream: DataFrame, history: int = 32, k: float = 0.5) -> DataFrame:
     return stream.groupBy("id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def run_available(scores: DataFrame) -> DataFrame:
+    """Run a streaming query over all that its source has now, and read its output table."""
+    import tempfile
+    import uuid
+
+    spark = scores.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="driftline-")
+    folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    query = scores.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(scores.schema).parquet(f"{folder}/out")
+
+
 def detect_batch(series: DataFrame, k: float = 0.5) -> DataFrame:
     """The same scores of a series table by window functions."""
     from driftline.operators import calibration, features
