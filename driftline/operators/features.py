@@ -139,6 +139,11 @@ def cumulative_shape(df: DataFrame) -> DataFrame:
     return df.withColumns({"ks_stat": ks, "ecdf_l1": l1, "chi2_cum": chi2}).drop(*(f"b{j}" for j in range(19)), "bin")
 
 
+def _with(df: DataFrame, per_series: DataFrame | None) -> DataFrame:
+    """Rows beside their series' table; without one they carry its columns already."""
+    return df if per_series is None else df.join(per_series, "id")
+
+
 def fill(width: int) -> Column:
     return F.least(F.col("n"), F.lit(width))
 
@@ -244,9 +249,9 @@ def interpolated(table: str, width: int) -> Column:
     return F.get(table, low) * (1 - f) + F.get(table, low + 1) * f
 
 
-def calibrated_windows(df: DataFrame, nulls: DataFrame, widths=WINDOWS) -> DataFrame:
+def calibrated_windows(df: DataFrame, nulls: DataFrame | None, widths=WINDOWS) -> DataFrame:
     """w{W}_nmz, _nlv, _nacf, _nks, _nl1: window statistics in units of their null; nmz is scaled only.  0 below a fill of 5."""
-    df = window_moments(df.join(nulls, "id"), widths, ("mean_z", "logvar"))
+    df = window_moments(_with(df, nulls), widths, ("mean_z", "logvar"))
     df = window_shape(window_acf(df, widths), widths)
     for w in widths:
         ready = fill(w) >= 5
@@ -310,9 +315,9 @@ def null_stream(hist: DataFrame, cal: DataFrame, stream: str) -> DataFrame:
     )
 
 
-def derived_windows(df: DataFrame, nulls: DataFrame, stream: str, widths=(50, 200)) -> DataFrame:
+def derived_windows(df: DataFrame, nulls: DataFrame | None, stream: str, widths=(50, 200)) -> DataFrame:
     """{stream}_nmz_w{W}, {stream}_nacf_w{W}, their scans and running maxima."""
-    df = derived_streams(df.join(nulls, "id"))
+    df = derived_streams(_with(df, nulls))
     df = window_acf(df, widths, (1,), stream, "_acf_w{w}")
     df = with_running(df, _sum=F.col(stream))
     for w in widths:
@@ -336,9 +341,9 @@ def null_shape_moments(hist: DataFrame, cal: DataFrame) -> DataFrame:
     return sums.select("id", table("sk", "a", None, 0).alias("null_skew_loc"), table("sk", "s", 1e-3, 6).alias("null_skew_scale"), table("ku", "a", None, 0).alias("null_kurt_loc"), table("ku", "s", 1e-3, 24).alias("null_kurt_scale"))
 
 
-def shape_moment_windows(df: DataFrame, nulls: DataFrame, widths=(100, 200, 400, 800)) -> DataFrame:
+def shape_moment_windows(df: DataFrame, nulls: DataFrame | None, widths=(100, 200, 400, 800)) -> DataFrame:
     """hm{W}_nskew and hm{W}_nkurt in units of their null (0 below a fill of 8), scans and running maxima."""
-    df = window_moments(df.join(nulls, "id"), widths, ("skew", "kurt"))
+    df = window_moments(_with(df, nulls), widths, ("skew", "kurt"))
     for w in widths:
         unit = lambda s: F.when(fill(w) >= 8, (F.col(f"w{w}_{s}") - interpolated(f"null_{s}_loc", w)) / interpolated(f"null_{s}_scale", w)).otherwise(0.0)  # noqa: B023, E731
         df = df.withColumns({f"hm{w}_nskew": unit("skew"), f"hm{w}_nkurt": unit("kurt")})
@@ -379,9 +384,9 @@ def pit_windows(df: DataFrame, widths=(120, 480)) -> DataFrame:
     return df.withColumns({"xc_pit_mean_z": mean, "xc_pit_logvar": logvar, "xc_pit_skew": skew, "xc_pit_below": F.col("_bl") / F.col("n") - 0.5})
 
 
-def turning_difference(df: DataFrame, rates: DataFrame) -> DataFrame:
+def turning_difference(df: DataFrame, rates: DataFrame | None) -> DataFrame:
     """zcr_d: the running share of sign changes among nonzero differences, less the history's.  It never forgets."""
-    df = df.join(rates, "id").withColumn("_s", F.signum(F.col("x") - previous("x"))).withColumn("_s", F.when(F.col("_s") != 0, F.col("_s")))
+    df = _with(df, rates).withColumn("_s", F.signum(F.col("x") - previous("x"))).withColumn("_s", F.when(F.col("_s") != 0, F.col("_s")))
     df = df.withColumn("_b", F.last("_s", ignorenulls=True).over(so_far())).withColumn("_b", previous("_b"))
     pair = F.col("_s").isNotNull() & F.col("_b").isNotNull()
     df = with_running(df, _n=F.when(pair, 1.0).otherwise(0.0), _k=F.when(pair & (F.col("_s") != F.col("_b")), 1.0).otherwise(0.0))

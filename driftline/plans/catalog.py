@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from driftline.operators import blend, calibration, detectors, features, metric, models, nets, normalise, synthesis, twosample
 from driftline.operators.features import WINDOWS
 from driftline.plans import sql
+from driftline.plans.bank import feature_bank
 from driftline.plans.sql import CAL, CUM, LAGGED, SCORES, SERIES, W, rounded, win
 from driftline.sources import series as src
 from driftline.streaming import online
@@ -387,6 +388,9 @@ for _k, _f in (("gbt_member", models.boosted), ("logistic_member", models.logist
 add("synthetic_series", lambda spark, d: synthesis.generate(spark, 50))
 
 
+add("feature_bank", lambda spark, d: feature_bank(src.series_q(spark, d)))
+
+
 def stream_scores(spark: SparkSession, d: str) -> DataFrame:
     """The online detector as a streaming query over the event file."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema

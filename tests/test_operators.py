@@ -304,3 +304,18 @@ def test_nested_series(table, data):
     got = {r.id: r for r in src.nested(table).collect()}
     h, o = parts(data, 0)
     assert got[0].x_hist == list(h) and got[0].x_online == list(o)
+
+
+def test_bank_holds_the_blocks(table):
+    from driftline.plans.bank import feature_bank
+
+    bank = feature_bank(table).toPandas().sort_values(["id", "t"], ignore_index=True)
+    assert len(bank.columns) > 180 and len(bank) == 106 and np.isfinite(bank.drop(columns=["id", "t"]).to_numpy(dtype=float)).all()
+    h = src.history(table)
+    cal = calibration.full(h)
+    rows = features.prepared(table, cal)
+    windows = features.calibrated_windows(rows, features.null_moments(h, cal).join(features.null_shape(h, cal), "id"), (25,))
+    for block, names in ((features.cusum_bank(rows), ["cusum_absmax_k10"]), (features.prewhitened(rows), ["pw_ewma_z", "pw_acf1"]), (windows, ["w25_nmz", "w25_nks"]), (features.cumulative_acf(rows), ["online_acf2"])):
+        own = block.toPandas().sort_values(["id", "t"], ignore_index=True)
+        for c in names:
+            assert np.allclose(bank[c], own[c])
