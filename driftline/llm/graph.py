@@ -29,17 +29,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hooked.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hooked.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, to a node that has none."""
+    down = edges.groupBy("u").agg(F.count("*").alias("n"))
+    if not down.filter("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(u, v)`` that is not its own root; root is the component's smallest node.
 
     Self-links and repeated links do no harm; null ends are dropped; no edges give no rows.
     """
-    now = spool(edges.select("u", "v").filter("u != v").distinct(), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    now = spool(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
+    while not _are_stars(now):
         now = spool(_small_star(_large_star(now)).filter("u != v").distinct(), "stars")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
