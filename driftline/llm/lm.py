@@ -93,7 +93,7 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(texts)), counts)
 
 
-def groups(column, keys=None):
+def groups(column):
     """Texts of an Arrow column in groups of about GROUP_BYTES; (first row, texts) each."""
     held, size, first = [], 0, 0
     for k, text in enumerate(column):

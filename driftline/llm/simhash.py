@@ -14,7 +14,6 @@ from math import comb
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.llm.common import partitions_for, spool, whole_text
 from driftline.llm.graph import components
