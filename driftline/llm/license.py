@@ -1,18 +1,22 @@
 """Licence scans with DataFrame functions only.
 
-Lines with a licence term are compared with templates by sparse TF-IDF cosine; each distinct line is
-scored once.  A file has the licence of its best line.  Licence files speak for their directory, and
+Lines with a licence term are compared with one-sentence templates by sparse TF-IDF cosine, and
+paragraphs, leading comments and whole texts with the licences' usual headers, SPDX tags and full
+texts; each distinct one is scored once.  A file has the licence of its best match.  Licence files speak for their directory, and
 a file without a licence of its own inherits that of the nearest ancestor directory, found by a join
 of the file's ancestor paths with the licensed directories.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed texts: usual notices of common licences.
@@ -36,8 +40,25 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+_GNU = "This {what} is free software{sep} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation{sep2} either version {v} of the License, or (at your option) any later version."
+_WARRANTY = "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details. You should have received a copy of the GNU {kind}General Public License along with this {what}. If not, see https://www.gnu.org/licenses/."
+#: (licence, kind, version, what) of the GNU notices.
+_GNU_KINDS = (("GPL-2.0", "", "2", "program"), ("GPL-3.0", "", "3", "program"), ("AGPL-3.0", "Affero ", "3", "program"), ("LGPL-2.1", "Lesser ", "2.1", "library"), ("LGPL-3.0", "Lesser ", "3", "library"))
+#: Notices that take a paragraph or more at the head of a file.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", 'Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    *((name, _GNU.format(what=what, kind=kind, v=v, sep=":", sep2=",") + more.format(what=what, kind=kind)) for name, kind, v, what in _GNU_KINDS for more in ("", " " + _WARRANTY)),
+)
+#: Tags besides the licences' own names.
+TAGS = tuple((f"{n}", f"{n}-{k}") for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for k in ("only", "or-later"))
 #: Lines without any of these are not compared.
 TERMS = r"(?i)licen[cs]|copyright|spdx|permission|redistribution|public domain"
+#: Lines of a leading comment, and blank ones.
+COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--|\.\.|dnl\b|REM\b)"
 TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 
@@ -78,11 +99,67 @@ def score_lines(lines: DataFrame, threshold: float) -> DataFrame:
     return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
+@cache
+def block_templates() -> tuple[tuple[str, str], ...]:
+    """(licence, text) of what paragraphs, headers and whole files are compared with."""
+    full = tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licences").glob("*.txt")))
+    names = sorted({n for n, _ in TEMPLATES + HEADERS + full})
+    tags = tuple((n, f"SPDX-License-Identifier: {tag}") for n, tag in (*((n, n) for n in names), *TAGS))
+    return HEADERS + full + tags
+
+
+@cache
+def _block_weights() -> tuple[str, float]:
+    """JSON of (token, idf, templates, unit weights), and the idf of tokens that no template has."""
+    bags = [Counter(re.findall(TOKEN, text.lower())) for _, text in block_templates()]
+    seen = Counter(t for bag in bags for t in bag)
+    idf = {t: math.log((1 + len(bags)) / (1 + n)) + 1 for t, n in seen.items()}
+    rows = {t: {"token": t, "idf": i, "k": [], "w": []} for t, i in idf.items()}
+    for k, bag in enumerate(bags):
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in bag.items()))
+        for t, n in bag.items():
+            rows[t]["k"].append(k)
+            rows[t]["w"].append(round(n * idf[t] / norm, 12))
+    return json.dumps([rows[t] for t in sorted(rows)]), math.log(1 + len(bags)) + 1
+
+
+def blocks(text: Column) -> Column:
+    """A text's paragraphs (cut at lines without letters or digits), its leading comment and the whole of it, as far as they hold a term."""
+    lines = F.split(text, "\n")
+    code = F.array_position(F.transform(lines, lambda x: ~x.rlike(COMMENT)), True).cast("int")
+    head = F.when(code == 0, text).otherwise(F.array_join(F.slice(lines, F.lit(1), F.greatest(code - 1, F.lit(0))), "\n"))
+    for opens, closes in (("/*", "*/"), ("<!--", "-->"), ('"""', '"""')):
+        start = F.ltrim(text)
+        head = F.when(start.startswith(opens), F.substring_index(F.substr(start, F.lit(len(opens) + 1)), closes, 1)).otherwise(head)
+    every = F.concat(F.split(text, r"\n[^a-zA-Z0-9\n]*\n"), F.array(head, text))
+    return F.filter(F.array_distinct(every), lambda x: x.rlike(TERMS))
+
+
+def score_blocks(found: DataFrame, threshold: float) -> DataFrame:
+    """(key, licence, score): the best template of each block of ``found(key, block)`` at ``threshold`` or above."""
+    table, unseen = _block_weights()
+    schema = "array<struct<token string, idf double, k array<int>, w array<double>>>"
+    vectors = found.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), schema)))
+    counts = found.select("key", F.explode(F.regexp_extract_all(F.lower("block"), F.lit(TOKEN), F.lit(0))).alias("token")).groupBy("key", "token").agg(F.count("*").alias("n"))
+    # fixed: some two thousand tokens
+    part = counts.join(F.broadcast(vectors), "token", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(unseen)))
+    known = F.col("idf").isNotNull()
+    square = F.col("x") * F.col("x")
+    bags = part.groupBy("key").agg(F.sqrt(F.sum(square)).alias("norm"), F.sum(F.when(known, square).otherwise(0.0)).alias("most"), F.collect_list(F.when(known, F.struct("x", "k", "w"))).alias("bag"))
+    # no cosine exceeds the share of the tokens that templates have
+    near = bags.filter(F.sqrt("most") >= (threshold - 1e-6) * F.col("norm")).select("key", "norm", F.inline("bag"))
+    dots = near.select("key", "norm", "x", F.inline(F.arrays_zip("k", "w"))).groupBy("key", "norm", "k").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    names = F.array(*[F.lit(n) for n, _ in block_templates()])
+    scored = dots.select("key", F.get(names, F.col("k")).alias("licence"), F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    best = scored.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    return best.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+
+
 def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Licences of ``files(file_id, path, text, is_licence_file, ...)``.
 
     Returns file_id, path, licence, score, how (header, inherited or none) and from_directory (of an
-    inherited licence).  Among a file's lines the best score wins, then the licence's name; among a
+    inherited licence).  Among a file's lines, paragraphs, leading comment and whole text the best score wins, then the licence's name; among a
     directory's licence files likewise.
 
     ``is_licence_file`` may be null: then a file speaks for its directory if it has a licence and at
@@ -93,7 +170,10 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     files = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"), "is_licence_file")
     lines = files.filter(F.col("text").rlike(TERMS)).select("file_id", "path", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(TERMS))
     best = score_lines(lines.select("line").distinct(), threshold)
-    own = lines.join(best, "line").groupBy("file_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    parts = files.filter(F.col("text").rlike(TERMS)).select("file_id", "path", F.explode(blocks(F.col("text"))).alias("block")).withColumn("key", F.sha2("block", 256))
+    whole = score_blocks(parts.groupBy("key").agg(F.any_value("block").alias("block")), threshold)
+    matches = lines.join(best, "line").drop("line").unionByName(parts.drop("block").join(whole, "key").drop("key"))
+    own = matches.groupBy("file_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
     marked = files.select("file_id", "path", F.coalesce("is_licence_file", F.size(F.split("text", "\n")) <= 5).alias("speaks"))
     steps = F.split("path", "/")
     known = marked.join(own.withColumnRenamed("file_id", "o").withColumnRenamed("path", "p"), F.col("file_id").eqNullSafe(F.col("o")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("o", "p")

@@ -194,6 +194,45 @@ def test_licence_inheritance_takes_the_nearest_ancestor(spark):
     assert got == {1: ("MIT", "header", None), 2: ("Apache-2.0", "header", None), 3: ("Apache-2.0", "inherited", "a/b"), 4: ("MIT", "inherited", "a"), 5: (None, "none", None), 6: ("CC-BY-NC-4.0", "header", None), 7: (None, "none", None), 8: ("Apache-2.0", "inherited", "a/b")}
 
 
+def test_wrapped_headers_tags_and_full_texts_have_their_licence(spark):
+    from pathlib import Path
+
+    gpl = """
+This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+    hashed = lambda t: "#!/usr/bin/env python\n# x.py - a tool\n" + "".join(f"# {x}".rstrip() + "\n" for x in t.split("\n"))
+    starred = lambda t: "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in t.split("\n")) + " */\n"
+    bare = lambda t: "/*\n" + t + "*/\n"
+    text = lambda n: (Path(license.__file__).parent / "licences" / f"{n}.txt").read_text()
+    code = "def f(x):\n    return x + 1\n\n" * 40
+    want, rows = {}, []
+
+    def put(licence, body):
+        want[len(rows)] = licence
+        rows.append((len(rows), f"d{len(rows)}/f", body, None))
+
+    for licence, header in (("GPL-3.0", gpl), ("GPL-2.0", gpl.replace("version 3", "version 2")), ("AGPL-3.0", gpl.replace("GNU General", "GNU Affero General")), ("MIT", text("MIT")), ("BSD-2-Clause", text("BSD-2-Clause")), ("BSD-3-Clause", text("BSD-3-Clause")), ("ISC", text("ISC"))):
+        for style in (hashed, starred, bare):
+            put(licence, style("Copyright (C) 2019 Some One\n\n" + header) + code)
+    for tag, licence in (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0")):
+        put(licence, f"// SPDX-License-Identifier: {tag}\n" + code)
+    for licence in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "Apache-2.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "MIT"):
+        put(licence, "Copyright 2020 Some Two\n\n" + text(licence))
+    put("GPL-2.0", text("GPL-2.0").split("How to Apply These Terms")[0])
+    put(None, "// SPDX-License-Identifier: Unheard-9\n" + code)
+    put(None, "The permission to enter was given by the mayor, and the copyright of the song stayed with its singer.\n\n" * 5)
+    got = {r.file_id: r.licence for r in license.scan(spark.createDataFrame(rows, "file_id long, path string, text string, is_licence_file boolean")).collect()}
+    assert got == want
+
+
 # ---- SimHash
 
 
