@@ -7,6 +7,8 @@ their width; feed them z-scores or integers, as sums of large values lose digits
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,23 @@ def reflected(total: str) -> Column:
     return F.col(total) - F.least(F.lit(0.0), running_min(total))
 
 
+def smoothed(c, alpha: float) -> Column:
+    """EWMA seeded with the first value, e = q e + alpha x, over rows numbered by t from 0.
+
+    The closed form, q^t times the running sum of alpha x q^-t, overflows, so it restarts every B rows
+    with q^B about 1e-100 and carries the sum of the block before on.  Older blocks weigh less than
+    1e-100, far below a double's last digit.
+    """
+    q = 1 - alpha
+    size = max(1, int(-100 * math.log(10) / math.log(q)))
+    block, at = F.floor(F.col("t") / size), F.col("t") % size
+    part = F.when(F.col("t") == 0, c).otherwise(alpha * c * F.pow(F.lit(1 / q), at))
+    rows = Window.partitionBy("id").orderBy(block)
+    own = F.sum(part).over(Window.partitionBy("id", block).orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum(part * F.lit(q) ** size).over(rows.rangeBetween(-1, -1))
+    return F.pow(F.lit(q), at) * (own + F.coalesce(before, F.lit(0.0)))
+
+
 def at_least(c, floor: float) -> Column:
     return F.greatest(c, F.lit(floor))
 

@@ -123,12 +123,10 @@ def hazard_probability(df: DataFrame, hazard: str = "h") -> DataFrame:
 
 
 def postprocess(scores: DataFrame, alpha: float = 0.3) -> DataFrame:
-    """run_max, ewma and half_max of a score per series; the EWMA is a fold over the series' array."""
-    from driftline.functions.windows import running_max
+    """run_max, ewma and half_max of a score per series."""
+    from driftline.functions.windows import running_max, smoothed
 
-    q = 1 - alpha
-    rows = scores.withColumns({"run_max": running_max("score"), "_s": F.when(F.col("t") == 0, F.col("score")).otherwise(alpha * F.col("score") * F.pow(F.lit(1 / q), F.col("t")))})
-    rows = rows.withColumn("ewma", F.pow(F.lit(q), F.col("t")) * running("_s")).drop("_s")
+    rows = scores.withColumns({"run_max": running_max("score"), "ewma": smoothed(F.col("score"), alpha)})
     return rows.withColumn("half_max", 0.5 * F.col("score") + 0.5 * F.col("run_max"))
 
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftline.functions.windows import at_least, clip, previous, reflected, running, running_max, running_min, safe_log, so_far, trailing, with_running
+from driftline.functions.windows import at_least, clip, previous, reflected, running, running_max, running_min, safe_log, smoothed, so_far, trailing, with_running
 from driftline.operators import calibration
 from driftline.operators.calibration import EDGES, GRID
 from driftline.sources.series import history, online
@@ -52,10 +52,9 @@ def time_features(df: DataFrame) -> DataFrame:
 
 
 def ewma(df: DataFrame, alpha: float, name: str, c: str = "z") -> DataFrame:
-    """EWMA z-score by the closed form: q^t times the running sum of alpha x q^-i, seeded with the first value."""
+    """EWMA z-score, seeded with the first value."""
     q = 1 - alpha
-    part = F.when(F.col("t") == 0, F.col(c)).otherwise(F.lit(alpha) * F.col(c) * F.pow(F.lit(1 / q), F.col("t")))
-    value = F.pow(F.lit(q), F.col("t")) * running(part)
+    value = smoothed(F.col(c), alpha)
     effective = (1 - F.pow(F.lit(q), F.col("n"))) / alpha
     return df.withColumn(name, value * F.sqrt(at_least(effective, 1.0)))
 

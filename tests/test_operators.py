@@ -319,3 +319,14 @@ def test_bank_holds_the_blocks(table):
         own = block.toPandas().sort_values(["id", "t"], ignore_index=True)
         for c in names:
             assert np.allclose(bank[c], own[c])
+
+
+def test_ewma_of_long_series_does_not_overflow(spark):
+    x = np.random.default_rng(5).normal(size=16000)
+    df = spark.createDataFrame(pd.DataFrame({"id": 1, "t": np.arange(len(x)), "n": np.arange(len(x)) + 1, "z": x, "score": x}))
+    for alpha in (0.05, 0.1, 0.2, 0.3):
+        want = pd.Series(x).ewm(alpha=alpha, adjust=False).mean().values
+        got = detectors.postprocess(df, alpha).orderBy("t").toPandas()
+        assert np.allclose(got.ewma, want, rtol=0, atol=1e-12)
+        scale = np.sqrt(np.maximum((1 - (1 - alpha) ** (np.arange(len(x)) + 1)) / alpha, 1))
+        assert np.allclose(features.ewma(df, alpha, "w").orderBy("t").toPandas().w, want * scale, rtol=0, atol=1e-11)
