@@ -319,7 +319,7 @@ r AS (SELECT id, CAST(-1 AS BIGINT) AS t, k, -50.0::DOUBLE AS o FROM (SELECT DIS
   UNION ALL SELECT lr.id, lr.t, lr.k, greatest(r.o, 0) + ln(1 + exp(-abs(r.o))) + lr.l FROM r JOIN lr ON lr.id = r.id AND lr.k = r.k AND lr.t = r.t + 1)
 SELECT id, t, round(max(o) + ln(sum(exp(o - mx))) - ln(14), 6) AS log_sr FROM (SELECT *, max(o) OVER (PARTITION BY id, t) AS mx FROM r WHERE t >= 0) GROUP BY id, t"""
 add("shiryaev_roberts", lambda spark, d: rounding(detectors.shiryaev_roberts(features.prepared(src.series_q(spark, d))), ["id", "t"], ["log_sr"]), SR)
-add("hmm_posterior", lambda spark, d: rounding(detectors.hmm_posterior(features.prepared(src.series_q(spark, d))), ["id", "t"], ["posterior"]))
+add("hmm_posterior", lambda spark, d: rounding(detectors.hmm_posterior(features.prepared(src.series_q(spark, d)), mixture=detectors.atoms()), ["id", "t"], ["posterior"]))
 add("wavelet_bands", lambda spark, d: (lambda w: rounding(w, ["id", "t"], [c for c in w.columns if c not in ("id", "t")]))(detectors.wavelet_bands(src.series_q(spark, d))))
 add("student_log_density", lambda spark, d: rounding(detectors.student_log_density(features.prepared(src.series_q(spark, d))), ["id", "t"], ["log_t"]))
 add(

@@ -330,3 +330,18 @@ def test_ewma_of_long_series_does_not_overflow(spark):
         assert np.allclose(got.ewma, want, rtol=0, atol=1e-12)
         scale = np.sqrt(np.maximum((1 - (1 - alpha) ** (np.arange(len(x)) + 1)) / alpha, 1))
         assert np.allclose(features.ewma(df, alpha, "w").orderBy("t").toPandas().w, want * scale, rtol=0, atol=1e-11)
+
+
+def test_the_posterior_query_takes_all_48_atoms(spark):
+    from driftline.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = features.prepared(src.series_q(spark, d)).filter("id = 1").orderBy("t").select("z").toPandas().z
+    got = catalog.QUERIES["hmm_posterior"](spark, d).filter("id = 1").orderBy("t").toPandas().posterior
+    mix = detectors.atoms()
+    odds, post = [0.0] * 3, []
+    for v in rows:
+        lr = np.mean([math.exp(-a_v / 2 - (v - m) ** 2 / (2 * math.exp(a_v)) + v * v / 2) for m, a_v in mix])
+        odds = [lr * (o + h) / (1 - h) for o, h in zip(odds, detectors.HAZARDS)]
+        post.append(np.mean([o / (1 + o) for o in odds]))
+    assert len(mix) == 48 and len(post) > 100 and np.allclose(got, post, atol=1e-5)
