@@ -147,7 +147,7 @@ for _w in WINDOWS:
     online_query(f"win_moments_{_w}", partial(features.window_moments, widths=(_w,)), [f"w{_w}_{c}" for c in ("mean_z", "logvar", "skew", "kurt")], None)
     ORACLES[f"win_moments_{_w}"] = sql.window_moments(_w)
 online_query("win_acf", features.window_acf, [f"w{w}_acf1" for w in WINDOWS], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', w)} AS w{w}_acf1" for w in WINDOWS) + f" FROM {LAGGED}")
-for _w in (25, 100):
+for _w in WINDOWS:
     online_query(f"win_hist_ks_l1_{_w}", partial(features.window_shape, widths=(_w,)), [f"w{_w}_ks", f"w{_w}_l1", f"w{_w}_chi2"], None, digits=10)
     ORACLES[f"win_hist_ks_l1_{_w}"] = f"WITH {CAL}, {sql.BINS} " + sql.window_shape(_w).split(f"{CAL}, {sql.BINS}")[1]
 
@@ -184,6 +184,11 @@ _picks = {s: "greatest(0, " + ", ".join((f"abs(w{w}_{s})" if s in ("nmz", "nlv",
 _scans = lambda s: features.scans(features.calibrated_windows(*nulls_of(s), _small), _small)
 series_query("scan_max", _scans, ["id", "t"], [f"scan_{s}" for s in _picks], rounded("SELECT id, t, " + ", ".join(f"{e} AS scan_{s}" for s, e in _picks.items()) + " FROM cw", "id, t", [f"scan_{s}" for s in _picks], _cw))
 series_query("scan_running_max", _scans, ["id", "t"], [f"rm_scan_{s}" for s in _picks], rounded("SELECT id, t, " + ", ".join(f"max({e}) OVER {CUM} AS rm_scan_{s}" for s, e in _picks.items()) + " FROM cw", "id, t", [f"rm_scan_{s}" for s in _picks], _cw))
+# the same over every window, where DuckDB is too slow
+_every = lambda s: features.calibrated_windows(*nulls_of(s))
+series_query("calibrated_windows_all", _every, ["id", "t"], sql.calibrated()[1])
+series_query("scan_max_all", lambda s: features.scans(_every(s)), ["id", "t"], [f"scan_{s}" for s in _picks])
+series_query("scan_running_max_all", lambda s: features.scans(_every(s)), ["id", "t"], [f"rm_scan_{s}" for s in _picks])
 
 # ---- prewhitened, derived, shape-moment, long-run-variance, distribution-free blocks
 
@@ -223,6 +228,7 @@ series_query(
     "hm_skew_kurt", lambda s: (lambda h: (lambda cal: features.shape_moment_windows(features.prepared(s, cal), features.null_shape_moments(h, cal), _hm))(calibration.full(h)))(src.history(s)), ["id", "t"], [*_hcols, *_hscan],
     rounded("SELECT id, t, " + ", ".join([*_hcols, *(f"{e} AS {c}" for c, e in _hscan.items())]) + " FROM (SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _hcols.items()) + " FROM (SELECT z.* EXCLUDE (skew, kurt), nh.* EXCLUDE (id) FROM z JOIN nh USING (id)))", "id, t", [*_hcols, *_hscan], f"{CAL}, nh AS ({_hnull})", 5), 5,
 )
+series_query("hm_skew_kurt_all", lambda s: (lambda h: (lambda cal: features.shape_moment_windows(features.prepared(s, cal), features.null_shape_moments(h, cal)))(calibration.full(h)))(src.history(s)), ["id", "t"], [*(f"hm{w}_n{k}" for w in (100, 200, 400, 800) for k in ("skew", "kurt")), *_hscan], digits=5)
 _lrv = ["cum_mean_z_lrv", "ph_mean_lrv", "log_lrv", "cusum_absmax_k05_lrv"]
 series_query(
     "lrv_scaled", lambda s: (lambda h: (lambda cal: features.lrv_scaled(features.prepared(s, cal), calibration.long_run_variance(h, cal)))(calibration.full(h)))(src.history(s)), ["id", "t"], _lrv,
@@ -239,11 +245,13 @@ for _w, _p in ((120, "xw120_pit"), (None, "xc_pit")):
     if _w:
         _pcols |= {f"{_p}_tail_lo": _ready(f"avg(CASE WHEN u < -0.25 THEN 1.0::DOUBLE ELSE 0 END) OVER {_o} - 0.25"), f"{_p}_tail_hi": _ready(f"avg(CASE WHEN u > 0.25 THEN 1.0::DOUBLE ELSE 0 END) OVER {_o} - 0.25")}
 series_query("pit_knots_windows", lambda s: features.pit_windows(features.with_pit(features.prepared(s), calibration.knots(src.history(s))), (120,)), ["id", "t"], list(_pcols), rounded("SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _pcols.items()) + " FROM pt", "id, t", list(_pcols), f"{CAL}, {KNOTS}, {PIT}", 5), 5)
+series_query("pit_knots_windows_all", lambda s: features.pit_windows(features.with_pit(features.prepared(s), calibration.knots(src.history(s)))), ["id", "t"], [*_pcols, *(c.replace("xw120", "xw480") for c in _pcols if "xw120" in c)], digits=5)
 series_query(
     "pit_midrank_stream", features.midrank_stream, ["id", "t"], ["pit", "pit_c", "surprise"],
     rounded("SELECT id, t, p AS pit, 2 * p - 1 AS pit_c, -ln(2 * least(p, 1 - p) + 1 / nh) AS surprise FROM (SELECT id, t, nh, least(greatest((le + lt) / 2.0::DOUBLE / nh, 0.5 / nh), 1 - 0.5 / nh) AS p FROM (SELECT o.id, o.t, count(*)::DOUBLE AS nh, count(*) FILTER (h.x <= o.x) AS le, count(*) FILTER (h.x < o.x) AS lt FROM onl o JOIN hist h USING (id) GROUP BY o.id, o.t))", "id, t", ["pit", "pit_c", "surprise"], SERIES),
 )
 online_query("multilag_acf", lambda df: features.window_acf(df, (120,), (1, 2, 3, 4, 5)), [f"w120_acf{k}" for k in range(1, 6)], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', 120, k)} AS w120_acf{k}" for k in range(1, 6)) + f" FROM {LAGGED}")
+online_query("multilag_acf_all", lambda df: features.window_acf(df, (120, 480), (1, 2, 3, 4, 5)), [f"w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', w, k)} AS w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)) + f" FROM {LAGGED}")
 TURNS = f"""SELECT id, t, CASE WHEN sum(pair) OVER {CUM} > 0 THEN sum(pair * turn) OVER {CUM} / (sum(pair) OVER {CUM}) - zcr_h ELSE 0 END AS zcr_d FROM (
   SELECT id, t, CASE WHEN s <> 0 AND b IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS pair, CASE WHEN s <> b THEN 1 ELSE 0 END AS turn FROM (
     SELECT id, t, s, last_value(nullif(s, 0) IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT id, t, sign(x - lag(x) OVER ({W})) AS s FROM z))) JOIN tr USING (id)"""

@@ -41,3 +41,20 @@ def test_only_one_exchange_between_scan_and_windows(spark):
     """Calibration and windows share the series' partitioning: no more shuffles than scans and one join side each."""
     plan = entry.queries()["cusum_bank"](spark, D)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 4
+
+
+def test_scans_take_the_maximum_over_every_window(spark):
+    from driftline.operators.features import WINDOWS
+
+    get = lambda n: entry.queries()[n](spark, D).toPandas().set_index(["id", "t"]).sort_index()
+    windows, scans, narrow = get("calibrated_windows_all"), get("scan_max_all"), get("scan_max")
+    for s in ("nmz", "nlv", "nacf", "nks", "nl1"):
+        each = windows[[f"w{w}_{s}" for w in WINDOWS]]
+        most = (each if s in ("nks", "nl1") else each.abs()).max(axis=1).clip(lower=0)
+        assert (most - scans[f"scan_{s}"]).abs().max() < 1e-5 and (scans[f"scan_{s}"] > narrow[f"scan_{s}"]).any()
+
+
+@pytest.mark.parametrize("name, widths", [("hm_skew_kurt_all", (100, 200, 400, 800)), ("pit_knots_windows_all", (120, 480)), ("multilag_acf_all", (120, 480))])
+def test_window_queries_have_every_window(spark, name, widths):
+    columns = entry.queries()[name](spark, D).columns
+    assert all(any(f"{w}_" in c for c in columns) for w in widths)
