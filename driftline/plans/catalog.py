@@ -321,6 +321,8 @@ add("hazard_cumprob", lambda spark, d: rounding(detectors.hazard_probability(fea
 KDE = """hk AS (SELECT id, greatest(-8, least(8, z)) AS z FROM cz), ka AS (SELECT id, zs, len(zs) AS m, greatest(0.05, 1.06 * sp * len(zs) ** -0.2) AS bw FROM (SELECT id, list(z ORDER BY z) AS zs, stddev_pop(z) AS sp FROM hk GROUP BY id)
 ), kt AS (SELECT id, bw, unnest(CASE WHEN m > 64 THEN list_transform(range(0, 64), lambda k: zs[1 + CAST(floor(k * (m - 1) / 63.0::DOUBLE) AS BIGINT)]) ELSE zs END) AS a FROM ka)"""
 series_query("kde_logp", lambda s: detectors.kernel_density(features.prepared(s), src.history(s)), ["id", "t"], ["kde_logp", "kde_cum", "kde_trail"], rounded(f"SELECT id, t, l AS kde_logp, avg(l) OVER {CUM} AS kde_cum, avg(l) OVER {win(128)} AS kde_trail FROM (SELECT z.id, z.t, mx + ln(sum(exp(g - mx))) - ln(count(*) * any_value(bw) * sqrt(2 * pi())) AS l FROM (SELECT *, max(g) OVER (PARTITION BY id, t) AS mx FROM (SELECT z.id, z.t, -0.5 * ((greatest(-8, least(8, z)) - a) / bw) ** 2 AS g, bw FROM z JOIN kt USING (id))) z GROUP BY id, t, mx)", "id, t", ["kde_logp", "kde_cum", "kde_trail"], f"{CAL}, {KDE}"))
+KDE512 = KDE.replace("m > 64", "m > 512").replace("range(0, 64)", "range(0, 512)").replace("/ 63.0", "/ 511.0")
+series_query("kde_logp_512", lambda s: detectors.kernel_density(features.prepared(s), src.history(s), most=512), ["id", "t"], ["kde_logp", "kde_cum", "kde_trail"], rounded(f"SELECT id, t, l AS kde_logp, avg(l) OVER {CUM} AS kde_cum, avg(l) OVER {win(128)} AS kde_trail FROM (SELECT z.id, z.t, mx + ln(sum(exp(g - mx))) - ln(count(*) * any_value(bw) * sqrt(2 * pi())) AS l FROM (SELECT *, max(g) OVER (PARTITION BY id, t) AS mx FROM (SELECT z.id, z.t, -0.5 * ((greatest(-8, least(8, z)) - a) / bw) ** 2 AS g, bw FROM z JOIN kt USING (id))) z GROUP BY id, t, mx)", "id, t", ["kde_logp", "kde_cum", "kde_trail"], f"{CAL}, {KDE512}"))
 _alts = ", ".join(f"({k}, {a}::DOUBLE, {r}::DOUBLE)" for k, (a, r) in enumerate(detectors.ALTERNATIVES))
 SR = f"""WITH RECURSIVE {CAL}, al(k, dl, rh) AS (VALUES {_alts}), lr AS MATERIALIZED (SELECT id, t, k, -ln(rh) - (z - dl) ** 2 / (2 * rh * rh) + z * z / 2 AS l FROM z, al),
 r AS (SELECT id, CAST(-1 AS BIGINT) AS t, k, -50.0::DOUBLE AS o FROM (SELECT DISTINCT id, k FROM lr)

@@ -345,3 +345,16 @@ def test_the_posterior_query_takes_all_48_atoms(spark):
         odds = [lr * (o + h) / (1 - h) for o, h in zip(odds, detectors.HAZARDS)]
         post.append(np.mean([o / (1 + o) for o in odds]))
     assert len(mix) == 48 and len(post) > 100 and np.allclose(got, post, atol=1e-5)
+
+
+def test_the_kernel_density_query_takes_the_whole_history(spark):
+    from driftline.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    rows = src.series_q(spark, d).filter("id = 1").orderBy("time").toPandas()
+    h, o = rows.x[rows.period == 1].values.astype(float), rows.x[rows.period == 2].values.astype(float)
+    z, v = np.clip((h - h.mean()) / h.std(ddof=1), -8, 8), np.clip((o - h.mean()) / h.std(ddof=1), -8, 8)
+    bw = max(0.05, 1.06 * z.std() * len(z) ** -0.2)
+    want = np.log(np.exp(-0.5 * ((v[:, None] - z[None]) / bw) ** 2).sum(axis=1) / (len(z) * bw * math.sqrt(2 * math.pi)))
+    got = catalog.QUERIES["kde_logp_512"](spark, d).filter("id = 1").orderBy("t").toPandas().kde_logp
+    assert 64 < len(h) <= 512 and np.allclose(got, want, atol=2e-6)
