@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,18 +39,38 @@ def logistic(train: DataFrame, rows: DataFrame, columns: list[str], l2: float =
     return _scored(model, scaler.transform(assembled(rows, columns)))
 
 
-def pairwise(train: DataFrame, rows: DataFrame, columns: list[str], buckets: int = 8) -> DataFrame:
-    """A ranking member: logistic regression on differences of broken and unbroken rows of one step.
+def out_of_fold(fit, rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
+    """(id, t, p) of all rows, each series scored by the model that is fitted on the other folds."""
+    fold = F.pmod("id", F.lit(folds))
+    parts = [fit(rows.filter(fold != k), rows.filter(fold == k), columns) for k in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def pairs_of(train: DataFrame, columns: list[str], buckets: int = 8) -> DataFrame:
+    """Differences of broken and unbroken rows of one step.
 
-    Rows of a step pair up by a hashed slot and the class's row number in it, one partner each, so
-    pairs grow with the rows and not with their square.
+    Rows of a step pair up by a hashed slot and the class's row number in it; the larger class takes the
+    smaller one's rows in turn, so pairs grow with the rows and not with their square.  Where a slot holds
+    one class only, the step is one slot.
     """
     from pyspark.sql import Window
 
-    slot = train.withColumn("slot", F.pmod(F.xxhash64("id", "t"), F.lit(buckets)))
-    slot = slot.withColumn("k", F.row_number().over(Window.partitionBy("t", "slot", "target").orderBy("id")))
+    hashed = train.withColumn("slot", F.pmod(F.xxhash64("id", "t"), F.lit(buckets)))
+    slots = Window.partitionBy("t", "slot")
+    one = hashed.withColumn("_one", F.min("target").over(slots) == F.max("target").over(slots))
+    slot = one.withColumn("slot", F.when(F.max("_one").over(Window.partitionBy("t")), F.lit(-1)).otherwise(F.col("slot")))
+    slot = slot.withColumn("k", F.row_number().over(Window.partitionBy("t", "slot", "target").orderBy("id")) - 1)
+    slot = slot.withColumns({f"n{c}": F.count_if(F.col("target") == c).over(slots) for c in (0, 1)}).filter("n0 > 0 and n1 > 0")
+    slot = slot.withColumn("least", F.least("n0", "n1")).withColumn("m", F.col("k") % F.col("least"))
     pos, neg = slot.filter("target = 1"), slot.filter("target = 0")
-    pairs = pos.alias("p").join(neg.alias("n"), ["t", "slot", "k"]).select(*[(F.col(f"p.{c}") - F.col(f"n.{c}")).alias(c) for c in columns])
+    # one side of each pair is a row of the smaller class, whose k and m are the same
+    pairs = pos.alias("p").join(neg.alias("n"), ["t", "slot", "m"])
+    return pairs.select(*[(F.col(f"p.{c}") - F.col(f"n.{c}")).alias(c) for c in columns])
+
+
+def pairwise(train: DataFrame, rows: DataFrame, columns: list[str], buckets: int = 8) -> DataFrame:
+    """A ranking member: logistic regression on differences of broken and unbroken rows of one step."""
+    pairs = pairs_of(train, columns, buckets)
     both = pairs.withColumn("target", F.lit(1)).unionByName(pairs.select(*[(-F.col(c)).alias(c) for c in columns]).withColumn("target", F.lit(0)))
     model = LogisticRegression(labelCol="target", regParam=1e-3, fitIntercept=False).fit(assembled(both, columns))
     return _scored(model, assembled(rows, columns))

@@ -394,7 +394,7 @@ def training_rows(spark: SparkSession, d: str) -> DataFrame:
 for _k in ("gru", "lstm", "cnn", "attention"):
     add(f"{_k}_forward", lambda spark, d, k=_k: rounding(nets.forward(training_rows(spark, d), k, FEATURES, nets.random_weights(k, len(FEATURES))), ["id", "t"], ["logit"]))
 for _k, _f in (("gbt_member", models.boosted), ("logistic_member", models.logistic), ("forest_member", models.forest), ("pairwise_member", models.pairwise)):
-    add(_k, lambda spark, d, f=_f: (lambda rows: f(rows.filter("id % 5 != 0"), rows.filter("id % 5 = 0"), FEATURES))(training_rows(spark, d)))
+    add(_k, lambda spark, d, f=_f: models.out_of_fold(f, training_rows(spark, d), FEATURES))
 add("synthetic_series", lambda spark, d: synthesis.generate(spark, 50))
 
 

@@ -358,3 +358,30 @@ def test_the_kernel_density_query_takes_the_whole_history(spark):
     want = np.log(np.exp(-0.5 * ((v[:, None] - z[None]) / bw) ** 2).sum(axis=1) / (len(z) * bw * math.sqrt(2 * math.pi)))
     got = catalog.QUERIES["kde_logp_512"](spark, d).filter("id = 1").orderBy("t").toPandas().kde_logp
     assert 64 < len(h) <= 512 and np.allclose(got, want, atol=2e-6)
+
+
+def test_every_series_is_scored_out_of_fold(spark):
+    from driftline.operators import models
+
+    rows = spark.createDataFrame([(i, 0, float(i), i % 2) for i in range(20)], "id long, t long, a double, target int")
+    seen = []
+
+    def fit(train, held, columns):
+        seen.append(({r.id for r in train.collect()}, {r.id for r in held.collect()}))
+        return held.select("id", "t", F.lit(0.5).alias("p"))
+
+    assert sorted(r.id for r in models.out_of_fold(fit, rows, ["a"]).collect()) == list(range(20))
+    assert len(seen) == 5 and all(not a & b and len(a | b) == 20 for a, b in seen)
+
+
+def test_every_row_of_a_step_with_both_classes_is_paired(spark):
+    from driftline.operators import models
+
+    rows = [(i, t, float(2**i), int(i < n)) for t, n in ((0, 2), (1, 9), (2, 0), (3, 5)) for i in range(11)]
+    df = spark.createDataFrame(rows, "id long, t long, a double, target int")
+    for t, n in ((0, 2), (1, 9), (2, 0), (3, 5)):
+        for buckets in (1, 8):
+            got = models.pairs_of(df.filter(F.col("t") == t), ["a"], buckets).collect()
+            diffs = {2.0**p - 2.0**q: (p, q) for p in range(n) for q in range(n, 11)}
+            used = {i for r in got for i in diffs[r.a]}
+            assert len(got) == (max(n, 11 - n) if n else 0) and used == (set(range(11)) if n else set())
