@@ -1,12 +1,13 @@
-"""External induced suffix sorting of one shard, with common prefixes.
+"""Induced suffix sorting of one shard, with common prefixes.
 
 Suffixes are sorted by inducing: the sampled ones (an S-type suffix after an L-type one) are sorted by
 their names, in a recursion on the shorter text of names; from their order a first scan induces all
 L-type suffixes and a second all S-type ones.  Both scans run on priority queues that spill sorted runs
 to disk; their entries carry the suffix and its common prefix with the entry queued before it.  The
-text is a memory-mapped file, so memory holds the queues' buffers only.
+text is a memory-mapped file.  Memory holds the queues' buffers, and besides them the sampled suffixes,
+their names and the arrays of types, which grow with the shard.
 
-At several microseconds a byte this is too slow for a whole corpus (README), which
+At some 140 microseconds a byte this is too slow for a whole corpus (README), which
 :mod:`driftline.llm.suffix` handles; here it is the order itself, for shards.
 """
 
