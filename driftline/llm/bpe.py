@@ -2,17 +2,24 @@
 
 The encoder reads a text in windows and emits a token once no later text can change it; the decoder
 turns ids into text with a byte-to-text state machine that holds at most three pending bytes.  Both
-keep constant memory whatever the text's length.
-
-Two facts make emission safe.  Pre-tokens are found by a pattern in which every match but the last
-of a window stays as it is when text follows.  Inside a pre-token longer than a window, merges run in
-rank order, so what follows a cut reaches back only through a chain of merges of rising rank:
-:func:`sufficient_lookahead` bounds the chain's length for the given merge list, and tokens that end
-that far before the cut are final.
+keep constant memory whatever the text's length: what waits is a window, or of a pre-token longer
+than that (a run of letters, digits, signs or white space) the bytes the merge list's lookahead needs.
+
+Three facts make emission safe.  A pre-token stands once two characters follow it in what has been read
+(a contraction takes two after its apostrophe, a run of white space one).  Inside a pre-token longer
+than a window, merges run in rank order, so what follows a cut reaches back only through a chain of
+merges of rising rank: :func:`sufficient_lookahead` bounds the chain's length for the given merge
+list, and tokens that end that far before the cut are final.  A control string ends the text before
+it, and as many last characters as may begin one are held back.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+import struct
+import sys
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +30,12 @@ from driftline.llm.common import whole_text
 from driftline.llm.vocabulary import Vocabulary, library, load
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
+#: Characters an encoder reads at a time.
+WINDOW = 1 << 10
+#: Bytes of a pre-token longer than a window that are merged at a time, besides the lookahead.
+STRETCH = 1 << 13
+#: Bytes of a pre-token up to which its pairs are searched rather than kept in a heap.
+SHORT = 64
 
 
 def sufficient_lookahead(vocabulary: Vocabulary) -> int:
@@ -43,107 +56,211 @@ def sufficient_lookahead(vocabulary: Vocabulary) -> int:
     return reach
 
 
-class Encoder:
-    """Text in, ids out: ``feed`` as often as needed, then ``close``."""
+def merged(vocabulary: Vocabulary, piece: bytes) -> list[int]:
+    """Ids of a pre-token: the pair of lowest rank merges first, the leftmost of equals.
 
-    def __init__(self, path: str, window: int = 1 << 14):
+    In a long one neighbours are linked and pairs lie in a heap; a pair whose ends changed meanwhile is passed over.
+    """
+    ids = [vocabulary.byte_ids[b] for b in piece]
+    if len(ids) <= SHORT:
+        return _merged_short(vocabulary, ids)
+    merges, n = vocabulary.merges, len(ids)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(merges[pair], k, pair) for k, pair in enumerate(zip(ids, ids[1:])) if pair in merges]
+    heapq.heapify(heap)
+    while heap:
+        (_, made), k, (a, b) = heapq.heappop(heap)
+        nxt = after[k]
+        if ids[k] != a or nxt >= n or ids[nxt] != b:
+            continue
+        ids[k], ids[nxt] = made, -1
+        after[k] = far = after[nxt]
+        if far < n:
+            before[far] = k
+            if (pair := (made, ids[far])) in merges:
+                heapq.heappush(heap, (merges[pair], k, pair))
+        if (last := before[k]) >= 0 and (pair := (ids[last], made)) in merges:
+            heapq.heappush(heap, (merges[pair], last, pair))
+    return [i for i in ids if i >= 0]
+
+
+def _merged_short(vocabulary: Vocabulary, ids: list[int]) -> list[int]:
+    """The same over a short list, in which the lowest rank is searched anew each time."""
+    rank, made_by, none = vocabulary.ranks.get, vocabulary.made, len(vocabulary.made)
+    ranks = [rank(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+    while ranks and (least := min(ranks)) < none:
+        k = ranks.index(least)
+        made = ids[k] = made_by[least]
+        del ids[k + 1], ranks[k]
+        if k < len(ranks):
+            ranks[k] = rank(made << 32 | ids[k + 1], none)
+        if k:
+            ranks[k - 1] = rank(ids[k - 1] << 32 | made, none)
+    return ids
+
+
+class _Pieces(dict):
+    """Packed ids of pre-tokens seen; emptied when it has grown to ``most`` entries."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 1 << 18):
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = merged(self.vocabulary, piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.most:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = packed
+        return packed
+
+
+@lru_cache(maxsize=1)
+def _unassigned() -> np.ndarray:
+    """Whether this Python's Unicode tables know a code point; libraries of other ages may class the others differently."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
+class Splitter:
+    """Pre-tokens of a text, as the tokenizers library cuts them."""
+
+    def __init__(self, path: str):
         import public_tokenizers
         import regex
-        import tiktoken
-
-        vocabulary = load(path)
-        merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
-        self.merge_text, self.merge_piece = merge.encode_ordinary, merge._encode_single_piece
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.size = [len(b) for b in vocabulary.bytes]
-        self.reach = sufficient_lookahead(vocabulary)
+
+        pattern = public_tokenizers.PATTERN
+        self.any = regex.compile(pattern).findall
+        self.ascii = re.compile(pattern.replace(r"\s\p{L}\p{N}", r"\sA-Za-z0-9").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"), re.ASCII).findall
+        self.library = library(path).pre_tokenizer
+        self.run = regex.compile(r"\s*").match
+
+    def __call__(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii(text)
+        if _unassigned()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].any():
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+        return self.any(text)
+
+
+class Encoder:
+    """Text in, ids out: ``feed`` as often as needed, then ``close``."""
+
+    def __init__(self, path: str, window: int = WINDOW):
+        self.vocabulary = load(path)
+        self.split = Splitter(path)
+        self.pieces = _Pieces(self.vocabulary)
+        self.size = [len(b) for b in self.vocabulary.bytes]
+        self.reach = sufficient_lookahead(self.vocabulary)
+        self.stretch = max(STRETCH if window >= WINDOW else window, 1) + self.reach
+        self.special = self.vocabulary.special
         self.window = max(16, window)  # longer than a contraction, so a piece that fills it is a run of one kind
         self.waiting = ""
-        self.inside = b""  # the unmerged rest of a pre-token that is longer than a window
+        self.inside = None  # the unmerged bytes of a pre-token that is longer than a window
+        self.kind = ""
+
+    def merge_piece(self, piece: bytes) -> list[int]:
+        return merged(self.vocabulary, piece)
 
     def feed(self, text: str) -> list[int]:
-        out: list[int] = []
-        for k in range(0, len(text), self.window):
-            self.waiting += text[k : k + self.window]
-            while len(self.waiting) >= self.window:
-                if not self._step(out):
-                    break
-        return out
+        return np.frombuffer(self.feed_packed(text), dtype="<u4").tolist()
 
     def close(self) -> list[int]:
-        out: list[int] = []
-        text, self.waiting = self.waiting, ""
-        if self.inside:
-            m = self.pattern.match(self.kind + text)
-            out += self._finish(text[: m.end() - 1])
-            text = text[m.end() - 1 :]
-        return out + self.merge_text(text)
-
-    def _step(self, out: list[int]) -> bool:
-        """Emit what is stable; False if more text is needed."""
-        text = self.waiting
-        if self.inside:
-            m = self.pattern.match(self.kind + text)
-            n = m.end() - 1
-            if n < len(text):
-                out += self._finish(text[:n])
-                self.waiting = text[n:]
-                return n > 0 or len(self.waiting) >= self.window
-            self.inside += text.encode()
-            self.waiting = ""
-            self._drain(out)
-            return True
-        cut = self._boundary(text)
-        if cut:
-            out += self.merge_text(text[:cut])
-            self.waiting = text[cut:]
-            return True
-        if text[-1].isspace():  # a run of white space ends differently before a word
-            return False
-        m = self.pattern.match(text)
-        if m.end() < len(text):
-            return False
-        self.kind = next(c for c in "x1!" if self.pattern.match(c + text[-1]).end() == 2)  # stands for the run that goes on
-        self.inside, self.waiting = text.encode(), ""
-        self._drain(out)
-        return True
-
-    def _boundary(self, text: str) -> int:
-        """A place before which later text moves no pre-token: a single space between words, if there is one.
-
-        Else the last match's start that no white space precedes (a run of it ends differently at a
-        cut), before the last two characters, in which a contraction may still arise.
-        """
-        at = len(text) - 1
-        while (at := text.rfind(" ", 1, at)) > 0:
-            if not text[at - 1].isspace() and not text[at + 1].isspace():
-                return at
-        last = 0
-        for m in self.pattern.finditer(text):
-            if m.start() > len(text) - 3 and last:
-                break
-            if m.start() and not text[m.start() - 1].isspace():
-                last = m.start()
-                if last > len(text) - 3:
-                    break
-        return last
+        return np.frombuffer(self.close_packed(), dtype="<u4").tolist()
 
-    def _drain(self, out: list[int]) -> None:
+    def feed_packed(self, text: str) -> bytes:
+        """As ``feed``; ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        for k in range(0, len(text), self.window):
+            self.waiting += text[k : k + self.window]
+            self._controls(out)
+            held = self._begun()
+            usable = self.waiting[: len(self.waiting) - held]
+            if len(usable) >= self.window:
+                self.waiting = self._read(usable, out) + self.waiting[len(usable) :]
+        return b"".join(out)
+
+    def close_packed(self) -> bytes:
+        out: list[bytes] = []
+        self._controls(out)
+        text, self.waiting = self.waiting, ""
+        self._end(text, out)
+        return b"".join(out)
+
+    def _controls(self, out: list[bytes]) -> None:
+        """Read up to and with every control string that has arrived whole."""
+        while found := [(at, -len(s), s) for s in self.special if (at := self.waiting.find(s)) >= 0]:
+            at, _, s = min(found)
+            self._end(self.waiting[:at], out)
+            out.append(np.array([self.special[s]], dtype="<u4").tobytes())
+            self.waiting = self.waiting[at + len(s) :]
+
+    def _begun(self) -> int:
+        """How many last characters may begin a control string."""
+        return max((k for s in self.special for k in range(1, min(len(s), len(self.waiting) + 1)) if s.startswith(self.waiting[-k:])), default=0)
+
+    def _read(self, text: str, out: list[bytes]) -> str:
+        """Emit what is stable whatever follows ``text``; returns what must wait."""
+        while len(text) >= self.window:
+            if self.inside is not None:
+                text = self._continue(text, out, False)
+                continue
+            pieces = self.split(text)
+            held = 0
+            while pieces and held < 2:
+                held += len(pieces.pop())
+            if pieces:
+                out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+                return text[len(text) - held :]
+            first = self.split(text)[0]
+            if self.split.run(first).end() == len(first):
+                self.kind = " "
+                keep = len(first) - 1  # a run of white space leaves its last character to a word after it
+            else:
+                self.kind = next(c for c in "x1!" if len(self.split(c + first[-1])) == 1)
+                keep = len(first)
+            self.inside = first[:keep].encode()
+            text = text[keep:]
+        if self.inside is not None:
+            text = self._continue(text, out, False)
+        return text
+
+    def _continue(self, text: str, out: list[bytes], final: bool) -> str:
+        """Read what still belongs to the long pre-token; returns the text after it, or what must wait."""
+        if self.kind == " ":
+            run = self.split.run(text).end()
+            goes_on = run == len(text)
+            n = run if goes_on and final else max(0, run - 1)
+        else:
+            n = len(self.split(self.kind + text)[0]) - 1
+            goes_on = n == len(text)
+        for k in range(0, n, self.window):
+            self.inside += text[k : min(n, k + self.window)].encode()
+            if len(self.inside) >= self.stretch:
+                self._drain(out)
+        if final or not goes_on:
+            out.append(np.array(self.merge_piece(self.inside), dtype="<u4").tobytes())
+            self.inside = None
+        return text[n:]
+
+    def _end(self, text: str, out: list[bytes]) -> None:
+        """Read the rest of a text that ends here."""
+        if self.inside is not None:
+            text = self._continue(text, out, True)
+        out.append(b"".join(map(self.pieces.__getitem__, self.split(text))))
+
+    def _drain(self, out: list[bytes]) -> None:
         """Emit the tokens of a long piece that end ``reach`` bytes before what has been read of it."""
-        ids = self.merge_piece(self.inside)
         left = len(self.inside) - self.reach
-        used = 0
-        for i in ids:
+        used, ids = 0, []
+        for i in self.merge_piece(self.inside):
             if used + self.size[i] > left:
                 break
             used += self.size[i]
-            out.append(i)
+            ids.append(i)
+        out.append(np.array(ids, dtype="<u4").tobytes())
         self.inside = self.inside[used:]
 
-    def _finish(self, text: str) -> list[int]:
-        piece, self.inside = self.inside + text.encode(), b""
-        return self.merge_piece(piece)
-
 
 class Decoder:
     """Ids in, text out.  States: the bytes of an unfinished character, three at most."""
@@ -154,7 +271,7 @@ class Decoder:
 
     def feed(self, ids) -> str:
         token = self.token
-        data = self.pending + b"".join([token[i] for i in ids])
+        data = self.pending + b"".join([token[i] for i in (ids.tolist() if isinstance(ids, np.ndarray) else ids)])
         keep = self._unfinished(data)
         self.pending = data[len(data) - keep :]
         return data[: len(data) - keep].decode("utf-8", "replace")
@@ -177,19 +294,18 @@ class Decoder:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[Encoder, Decoder, tuple[str, ...]]:
-    return Encoder(path), Decoder(path), tuple(load(path).special)
+def _worker(path: str) -> tuple[Encoder, Decoder]:
+    return Encoder(path), Decoder(path)
+
+
+def encode_packed(path: str, text: str) -> bytes:
+    """All ids of a text as little-endian unsigned 32-bit integers.  A control string of the file keeps its own id, as in the tokenizers library."""
+    encoder = _worker(path)[0]
+    return encoder.feed_packed(text) + encoder.close_packed()
 
 
-def encode_text(path: str, text: str, step: int = 1 << 20) -> list[int]:
-    """All ids of a text.  A control string of the file keeps its own id, as in the tokenizers library."""
-    encoder, _, special = _worker(path)
-    if any(s in text for s in special):
-        return library(path).encode(text, add_special_tokens=False).ids
-    out: list[int] = []
-    for k in range(0, len(text), step):
-        out += encoder.feed(text[k : k + step])
-    return out + encoder.close()
+def encode_text(path: str, text: str) -> list[int]:
+    return np.frombuffer(encode_packed(path, text), dtype="<u4").tolist()
 
 
 def decode_ids(path: str, ids, step: int = 1 << 16) -> str:
@@ -202,7 +318,7 @@ def round_trip(docs: DataFrame, tokenizer: str, flush: int = 1 << 23) -> DataFra
     """Encode and decode every text of ``docs(doc_id, text, ...)``.
 
     Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded.  A null text counts as
-    empty and gives no ids; a text may be of any length; rows with a null or repeated doc_id are
+    empty and gives no ids; a text may be of any length and hold runs of any length; rows with a null or repeated doc_id are
     treated one by one; an empty table gives an empty table.  Other columns are not read.  There is
     no shuffle: rows stay in the partition they are read in.
     """
@@ -219,8 +335,8 @@ def round_trip(docs: DataFrame, tokenizer: str, flush: int = 1 << 23) -> DataFra
             cols: list[list] = [[], [], [], []]
             held = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode_text(tokenizer, text.as_py())
-                data = np.array(ids, dtype="<u4").tobytes()
+                data = encode_packed(tokenizer, text.as_py())
+                ids = np.frombuffer(data, dtype="<u4")
                 for col, value in zip(cols, (doc, len(ids), data, decode_ids(tokenizer, ids))):
                     col.append(value)
                 held += len(data)

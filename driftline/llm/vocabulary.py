@@ -30,10 +30,13 @@ class Vocabulary:
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.merges = {(self.ids[to_bytes(a)], self.ids[to_bytes(b)]): (rank, self.ids[to_bytes(a + b)]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {a << 32 | b: rank for (a, b), (rank, _) in self.merges.items()}
+        self.made = [made for _, made in self.merges.values()]  # by rank
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes = [b""] * size
         for b, i in self.ids.items():
             self.bytes[i] = b
+        self.byte_ids = [self.ids[bytes([b])] for b in range(256)]
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
         self.longest = max(map(len, self.ids))
@@ -45,22 +48,25 @@ def load(path: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str, longest: int = 1 << 17):
     """A function from text to an array of unsigned 32-bit ids, as the tokenizers library gives them.
 
-    tiktoken does the merging (ids are merge ranks in such a file); a text with a control string
-    goes to the tokenizers library itself.
+    tiktoken does the merging (ids are merge ranks in such a file).  Texts with a control string, and texts
+    of more than ``longest`` characters, on whose runs its pattern could exhaust the stack, are read by
+    the streaming encoder.
     """
     import public_tokenizers
     import tiktoken
 
+    from driftline.llm.bpe import encode_packed
+
     vocabulary = load(path)
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ids, special_tokens={})
     special = tuple(vocabulary.special)
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(library(path).encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if len(text) > longest or any(s in text for s in special):
+            return np.frombuffer(encode_packed(path, text), dtype="<u4")
         return np.array(fast.encode_ordinary(text), dtype="<u4")
 
     return encode
