@@ -1,7 +1,7 @@
 """Sequence packing: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt at random (a seeded hash of the id) into groups of bounded size; each group is
-packed by itself, so no task holds more than one group and no step sees the whole corpus.
+Documents are dealt at random (a seeded hash) into groups of bounded size; each group is packed by
+itself, so no task holds more than one group and no step sees the whole corpus.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import whole_text
+from driftline.llm.common import partitions_for, whole_text
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Documents a partition is dealt, and rows a batch holds.
+PART_DOCS, FLUSH = 4096, 4096
 
 
 class CapacityTree:
@@ -123,33 +125,74 @@ def pack(docs: DataFrame, tokenizer: str, room: int = 1024, end_id: int = 0, gro
     Returns one row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id and offset (the piece's place there).  A document's ids end with ``end_id``.
 
+    A row's group is a seeded hash of its doc_id, its length and its place in the partition it is read in,
+    so repeated rows and null ids spread over all groups too.  A task holds one document and the remainders
+    of one group, fewer than ``room`` ids each: full stretches are written as they come.
+
     A null text is an empty one (its only id is ``end_id``).  Rows with a null doc_id, or with the same
     doc_id as another, are packed like any other row.  Very long texts are cut into several sequences.
     No documents give no rows.  Other columns, whatever their names, are not read.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    count = docs.count()
+    groups = max(1, -(-count // group_docs))
+    parts = partitions_for(docs.sparkSession, count, PART_DOCS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text")), F.lit(groups)))
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.length("text"), F.monotonically_increasing_id()), F.lit(groups)))
+    rows = rows.repartitionById(parts, F.pmod("group", F.lit(parts)).cast("int")).sortWithinPartitions("group", "doc_id", "text")
 
-    def run(group):
+    def run(batches):
         import pyarrow as pa
 
         from driftline.llm.vocabulary import encoder
 
         encode = encoder(tokenizer)
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        part = group.column("part")[0].as_py()
-        names = group.column("doc_id").to_pylist()
         end = np.array([end_id], dtype="<u4")
-        ids = [np.concatenate([encode(t.as_py()), end]) for t in group.column("text")]
-        cols: list[list] = [[] for _ in range(7)]
-        for k, sequence in enumerate(plan([len(x) for x in ids], room)):
-            at = 0
-            for d, s, n in sequence:
-                for col, value in zip(cols, (names[d], s, n, ids[d][s : s + n].tobytes(), len(ids[d]), (part << 32) + k, at)):
-                    col.append(value)
-                at += n
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-    return rows.groupBy("part").applyInArrow(run, SCHEMA)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        out: list[list] = [[] for _ in kinds]
+        now, sequences, rest = None, 0, []
+
+        def put(*row):
+            for col, value in zip(out, row):
+                col.append(value)
+
+        def close():
+            """Pack the remainders (doc_id, start, ids, all tokens) of the group."""
+            nonlocal sequences, rest
+            for sequence in plan([len(ids) for _, _, ids, _ in rest], room):
+                at = 0
+                for d, s, n in sequence:
+                    doc, start, ids, total = rest[d]
+                    put(doc, start + s, n, ids[s : s + n].tobytes(), total, (now << 32) + sequences, at)
+                    at += n
+                sequences += 1
+            sequences, rest = 0, []
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
+
+        for batch in batches:
+            for doc, text, group in zip(batch.column(0), batch.column(1), batch.column(2)):
+                doc, group = doc.as_py(), group.as_py()
+                if group != now:
+                    if rest or sequences:
+                        close()
+                    now = group
+                ids = np.concatenate([encode(text.as_py()), end])
+                full = len(ids) // room * room
+                for s in range(0, full, room):
+                    put(doc, s, room, ids[s : s + room].tobytes(), len(ids), (now << 32) + sequences, 0)
+                    sequences += 1
+                    if len(out[0]) >= FLUSH:
+                        yield table()
+                        out = [[] for _ in kinds]
+                if full < len(ids):
+                    rest.append((doc, full, ids[full:], len(ids)))
+                if len(out[0]) >= FLUSH:
+                    yield table()
+                    out = [[] for _ in kinds]
+        if rest:
+            close()
+        yield table()
+
+    return rows.mapInArrow(run, SCHEMA)
