@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import io
 import os
 import tempfile
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a single machine) is a temporary folder made and set.
+    Only where that is unset and Spark runs in this one process (tests) is a temporary folder made and set;
+    on a cluster executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -76,22 +80,31 @@ def put(path: str, data) -> None:
     fs.move(part, p)
 
 
-_FETCHED: dict[str, str] = {}
+def exists(path: str) -> bool:
+    fs, p = _filesystem(path)
+    if fs is None:
+        return os.path.exists(p)
+    return fs.get_file_info(p).type.name != "NotFound"
 
 
 def local_path(path: str) -> str:
-    """A path that can be memory-mapped: the file itself, or this worker's copy of a remote one."""
+    """A path that can be memory-mapped: the file itself, or this machine's copy of a remote one.
+
+    Workers of a machine share a copy: it is made under a name that follows from the path and shows up
+    whole.  The worker that made it deletes it at its end; others keep what they have mapped, or copy again.
+    """
     fs, p = _filesystem(path)
     if fs is None:
         return p
-    if path not in _FETCHED:
-        fd, copy = tempfile.mkstemp(prefix="driftline-")
-        with fs.open_input_stream(p) as src, os.fdopen(fd, "wb") as dst:
+    copy = os.path.join(tempfile.gettempdir(), "driftline-" + hashlib.sha256(path.encode()).hexdigest())
+    if not os.path.exists(copy):
+        part = f"{copy}.{uuid.uuid4().hex}"
+        with fs.open_input_stream(p) as src, open(part, "wb") as dst:
             while block := src.read(1 << 24):
                 dst.write(block)
+        os.replace(part, copy)
         atexit.register(lambda: os.path.exists(copy) and os.unlink(copy))
-        _FETCHED[path] = copy
-    return _FETCHED[path]
+    return copy
 
 
 def put_array(path: str, array) -> None:

@@ -3,10 +3,11 @@
 Three passes over the corpus, each one map over whole texts:
 
 1. words: every task sums the counts of its words; hash ranges are merged and written as sorted
-   arrays.  A word's id is its rank.
+   arrays.  A word's id is its rank.  A second hash tells whether two words share the first.
 2. bigrams: every task sums its pairs of ids; ranges of the mixed pair are merged and written, and
    each range passes on how many followers a word has (by count 1, 2, 3 and more) and how many
-   different words come before it, which is summed per word and written beside the words.
+   different words come before it, to the ranges of those words only, where it is summed per word and
+   written beside the words.
 3. scores: workers memory-map the arrays they need and look sorted queries up in them.
 
 Nothing but one row of totals per range reaches the driver.  The order is two: at three, the arrays
@@ -19,37 +20,26 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import map_array, partitions_for, put_array, scratch, whole_text
+from driftline.llm.common import exists, map_array, partitions_for, put_array, remove, scratch, whole_text
 
 GROUP_BYTES = 1 << 21
 FLUSH = 1 << 22
+#: Keys a map task holds at most before it sends what it has.
+SPILL = 1 << 23
 END = np.uint64(0x5EED0FE0D0C5)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 _U32 = np.uint64(32)
 
 
 def _tables():
-    rng = np.random.default_rng(20)
-    value = rng.integers(0, 2**64, 256, dtype=np.uint64)
-    value[ord("A") : ord("Z") + 1] = value[ord("a") : ord("z") + 1]
+    lower = np.arange(256, dtype=np.uint8)
+    lower[ord("A") : ord("Z") + 1] += 32
     space = np.zeros(256, dtype=bool)
     space[list(_SPACES)] = True
-    return value, space
+    return lower, space
 
 
-_VALUE, _SPACE = _tables()
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def _powers(n: int):
-    if len(_POWERS[0]) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 2**64))
-        for k, b in enumerate((_BASE, inverse)):
-            x = np.full(n, b, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+_LOWER, _SPACE = _tables()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -68,29 +58,62 @@ def unmix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U32)
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of ``data``, A-Z lower-cased."""
-    raw = np.frombuffer(data, dtype=np.uint8)
+def different_words(data: bytes, seed: int = 0) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The different words of ``data``, A-Z lower-cased: sorted hashes and bytes; which one stands where, and each word's start.
+
+    Words are told apart by their bytes (Arrow's dictionary encoding); each different one is hashed with XXH64.
+    """
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
     gap = np.concatenate([[True], _SPACE[raw], [True]])
     edge = gap[1:] != gap[:-1]
     starts, ends = np.nonzero(edge & gap[:-1])[0], np.nonzero(edge & gap[1:])[0]
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), starts
-    power, inverse = _powers(len(raw))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_VALUE[raw] * power, dtype=np.uint64)])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), starts
+        return np.zeros(0, dtype=np.uint64), [], starts, starts
+    words = raw[~gap[1:-1]]  # the words' bytes without the gaps
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(words)]).dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    h = np.fromiter((xxh64_intdigest(w, seed) for w in distinct), dtype=np.uint64, count=len(distinct))
+    order = np.argsort(h, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return h[order], [distinct[k] for k in order.tolist()], place[coded.indices.to_numpy()], starts
+
+
+def word_hashes(data: bytes, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, start) of every word of ``data``, A-Z lower-cased."""
+    h, _, which, starts = different_words(data, seed)
+    return h[which], starts
+
+
+class Tokens:
+    """The tokens of several texts in order; each text ends with END.
+
+    ``distinct`` are the sorted hashes of the different tokens and ``counts`` how often they occur;
+    ``at`` is each token's place among them and ``doc`` its text.
+    """
+
+    def __init__(self, texts: list[bytes], seed: int = 0):
+        sizes = np.array([len(t) + 1 for t in texts])
+        h, self.words, which, starts = different_words(b"\n".join(texts), seed)
+        doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
+        length = np.bincount(doc, minlength=len(texts)) + 1
+        self.end = int(np.searchsorted(h, END))
+        self.distinct = np.insert(h, self.end, END)
+        self.counts = np.insert(np.bincount(which, minlength=len(h)), self.end, len(texts))
+        self.at = np.full(length.sum(), self.end, dtype=np.int64)
+        self.at[np.arange(len(which)) + doc] = which + (which >= self.end)
+        self.doc = np.repeat(np.arange(len(texts)), length)
 
+    def checks(self, seed: int) -> np.ndarray:
+        """A second hash of each different token, by which equal first hashes of unlike words are found out."""
+        from xxhash import xxh64_intdigest
 
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of every token of several texts in order; each text ends with END."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    h, starts = word_hashes(b"\n".join(texts))
-    doc = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    counts = np.bincount(doc, minlength=len(texts)) + 1
-    out = np.full(counts.sum(), END, dtype=np.uint64)
-    out[np.arange(len(h)) + doc] = h
-    return out, np.repeat(np.arange(len(texts)), counts)
+        h = np.fromiter((xxh64_intdigest(w, seed) for w in self.words), dtype=np.uint64, count=len(self.words))
+        return np.insert(h, self.end, 0)
 
 
 def groups(column):
@@ -107,35 +130,50 @@ def groups(column):
 
 
 class Counter:
-    """Counts of 64-bit keys, kept as sorted arrays that are merged now and then."""
+    """Counts of 64-bit keys, kept as sorted arrays that are merged now and then.
+
+    Keys may come with check values; equal keys with unlike ones are kept apart.
+    """
 
     def __init__(self):
         self.parts, self.size = [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None, checks: np.ndarray | None = None) -> None:
         if counts is None:
             keys = np.sort(keys)
-        self.parts.append(_summed(keys, counts))
+        self.parts.append(_summed(keys, counts, checks))
         self.size += len(self.parts[-1][0])
         if self.size > FLUSH and len(self.parts) > 8:
-            self.merge()
+            self._merge()
+
+    def full(self) -> bool:
+        return self.size > SPILL
 
-    def merge(self):
-        if not self.parts:
-            return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    def take(self) -> tuple:
+        """Keys, counts and, if there are any, checks; the counter is empty afterwards."""
+        self._merge()
+        out = self.parts[0] if self.parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        self.parts, self.size = [], 0
+        return out
+
+    def _merge(self) -> None:
         if len(self.parts) > 1:
-            keys, counts = (np.concatenate(x) for x in zip(*self.parts))
-            at = np.argsort(keys, kind="stable")
-            self.parts = [_summed(keys[at], counts[at])]
+            columns = [np.concatenate(x) for x in zip(*self.parts)]
+            at = np.argsort(columns[0], kind="stable")
+            self.parts = [_summed(*(c[at] for c in columns))]
             self.size = len(self.parts[0][0])
-        return self.parts[0]
 
 
-def _summed(keys, counts):
+def _summed(keys, counts, checks=None):
+    """Sorted keys once each, with the sums of their counts."""
     if not len(keys):
-        return keys, np.zeros(0, dtype=np.int64)
-    new = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    return keys[new], np.diff(np.append(new, len(keys))) if counts is None else np.add.reduceat(counts, new)
+        return (keys, np.zeros(0, dtype=np.int64)) + (() if checks is None else (checks,))
+    turn = keys[1:] != keys[:-1]
+    if checks is not None:
+        turn = turn | (checks[1:] != checks[:-1])
+    new = np.nonzero(np.concatenate([[True], turn]))[0]
+    sums = np.diff(np.append(new, len(keys))) if counts is None else np.add.reduceat(counts, new)
+    return (keys[new], sums) + (() if checks is None else (checks[new],))
 
 
 def _packed(keys: np.ndarray) -> bytes:
@@ -151,6 +189,10 @@ def _planes(counts: np.ndarray) -> bytes:
     return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
+def _words64(values: np.ndarray) -> bytes:
+    return values.tobytes()
+
+
 def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view("<i8").ravel().astype(np.int64)
 
@@ -160,13 +202,15 @@ def _range(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> _U32) * np.uint64(n) >> _U32).astype(np.int64)
 
 
-def _emit(keys, counts, ranges, n, names):
+def _emit(ranges, n, names, *columns):
+    """Batches of a row per range that has keys; each column is (array, how it is packed)."""
     import pyarrow as pa
 
     edges = np.searchsorted(ranges, np.arange(n + 1))
-    for lo in range(0, n, 64):  # bounded batches
-        some = [(r, edges[r], edges[r + 1]) for r in range(lo, min(n, lo + 64)) if edges[r] < edges[r + 1]]
-        yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in some], pa.int32()), pa.array([_packed(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([_planes(counts[a:b]) for _, a, b in some], pa.binary())], names=names)
+    some = np.nonzero(edges[1:] > edges[:-1])[0]
+    for lo in range(0, len(some), 64):  # bounded batches
+        part = some[lo : lo + 64].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *(pa.array([pack(c[edges[r] : edges[r + 1]]) for r in part], pa.binary()) for c, pack in columns)], names=names)
 
 
 def _by_part(batches):
@@ -232,7 +276,7 @@ class Words:
 
 
 class Bigrams:
-    """The memory-mapped pair counts.  Counts from 255 on stand apart, so that most take a byte."""
+    """The memory-mapped pair counts.  Counts from 255 on stand apart, so that most take a byte; a range without pairs has no files."""
 
     def __init__(self, folder: str, parts: int):
         self.folder, self.parts, self.open = folder, parts, {}
@@ -243,10 +287,11 @@ class Bigrams:
         edges = np.searchsorted(_range(h, self.parts), np.arange(self.parts + 1))
         for part in np.nonzero(edges[1:] > edges[:-1])[0].tolist():
             if part not in self.open:
-                self.open[part] = [map_array(_file(self.folder, k, part)) for k in ("bh", "bc", "bi", "bl")]
-            keys, small, at_large, large = self.open[part]
-            if not len(keys):
+                there = exists(_file(self.folder, "bh", part))
+                self.open[part] = [map_array(_file(self.folder, k, part)) for k in ("bh", "bc", "bi", "bl")] if there else None
+            if self.open[part] is None:
                 continue
+            keys, small, at_large, large = self.open[part]
             q = slice(edges[part], edges[part + 1])
             at = np.minimum(np.searchsorted(keys, h[q]), len(keys) - 1)
             got = np.where(keys[at] == h[q], small[at], 0).astype(np.int64)
@@ -268,82 +313,112 @@ def _pairs(ids: np.ndarray, doc: np.ndarray, start: int) -> np.ndarray:
     return np.where(first, start, np.concatenate([[start], ids[:-1]]))
 
 
-def fit(texts: DataFrame, docs_per_part: int = 4096) -> dict:
-    """Count ``texts(text)`` and write the model; returns where it is and its totals."""
+def fit(texts: DataFrame, docs_per_part: int = 8192) -> dict:
+    """Count ``texts(text)`` and write the model; returns where it is and its totals.
+
+    Two words whose hashes are equal are found out by their check values, and the count starts again with another seed.
+    """
     spark = texts.sparkSession
-    folder = scratch(spark, "lm")
     documents = texts.count()
     n = partitions_for(spark, documents, docs_per_part)
+    for seed in range(0, 16, 2):
+        folder = scratch(spark, "lm")
+        offsets, tokens, clashes = _fit_words(texts, folder, n, seed)
+        if not clashes:
+            break
+        remove(folder)
+    else:
+        raise ValueError("words with equal 64-bit hashes under every seed tried")
+    v = offsets[-1]
+    model = {"folder": folder, "parts": n, "offsets": offsets, "words": v, "tokens": tokens, "documents": documents, "seed": seed}
+    if v >= 2**32 - 1:
+        raise ValueError("pairs of ids are packed in 64 bits: at most 2**32 - 2 distinct words")
+    if not v:
+        return model | {"d1": discounts([0] * 4), "d2": discounts([0] * 4), "pairs": 0, "rest": 1.0}
+    return model | _fit_bigrams(texts, folder, n, offsets, seed, documents)
+
+
+def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[list[int], int, int]:
+    """Write each range's words and counts; the ranges' first ids, the tokens and the hashes that two words share."""
+    names = ["part", "keys", "counts", "checks"]
 
-    def words(batches):
+    def count(batches):
         counter = Counter()
+
+        def send():
+            keys, counts, *checks = counter.take()
+            return _emit(_range(keys, n), n, names, (keys, _packed), (counts, _planes), (checks[0] if checks else keys, _words64))
+
         for batch in batches:
             for _, group in groups(batch.column(0)):
-                counter.add(sequences(group)[0])
-        keys, counts = counter.merge()
-        yield from _emit(keys, counts, _range(keys, n), n, ["part", "keys", "counts"])
+                found = Tokens(group, seed)
+                counter.add(found.distinct, found.counts, found.checks(seed + 1))
+                if counter.full():
+                    yield from send()
+        yield from send()
 
-    def write_words(batches):
+    def write(batches):
         import pyarrow as pa
 
         for part, blobs in _by_part(batches):
             counter = Counter()
-            for keys, counts in blobs:
-                counter.add(_unpacked(keys), _from_planes(counts))
-            keys, counts = counter.merge()
+            for keys, counts, checks in blobs:
+                counter.add(_unpacked(keys), _from_planes(counts), np.frombuffer(checks, dtype=np.uint64))
+            keys, counts, _ = counter.take()
             put_array(_file(folder, "wh", part), keys)
             put_array(_file(folder, "wc", part), counts)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (len(keys), pa.int64()), (int(counts.sum()), pa.int64()))], names=["part", "distinct", "tokens"])
+            clashes = int((keys[1:] == keys[:-1]).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (len(keys), pa.int64()), (int(counts.sum()), pa.int64()), (clashes, pa.int64()))], names=["part", "distinct", "tokens", "clashes"])
 
-    found = _dealt(texts.mapInArrow(words, "part int, keys binary, counts binary"), n).mapInArrow(write_words, "part int, distinct long, tokens long").collect()  # a row a range
+    found = _dealt(texts.mapInArrow(count, "part int, keys binary, counts binary, checks binary"), n).mapInArrow(write, "part int, distinct long, tokens long, clashes long").collect()  # a row a range
     distinct = np.zeros(n, dtype=np.int64)
     for r in found:
         distinct[r["part"]] = r["distinct"]
-    offsets = [0, *np.cumsum(distinct).tolist()]
-    v, tokens = offsets[-1], sum(r["tokens"] for r in found)
-    model = {"folder": folder, "parts": n, "offsets": offsets, "words": v, "tokens": tokens, "documents": documents}
-    if v >= 2**32 - 1:
-        raise ValueError("pairs of ids are packed in 64 bits: at most 2**32 - 2 distinct words")
-    if not v:
-        return model | {"d1": discounts([0] * 4), "d2": discounts([0] * 4), "pairs": 0, "rest": 1.0}
+    return [0, *np.cumsum(distinct).tolist()], sum(r["tokens"] for r in found), sum(r["clashes"] for r in found)
+
+
+def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed: int, documents: int) -> dict:
+    """Write each range's pairs and each word's facts; returns discounts and totals."""
+    v = offsets[-1]
+    names = ["part", "keys", "counts"]
 
-    def bigrams(batches):
+    def count(batches):
         vocabulary, counter = Words(folder, offsets, False), Counter()
+
+        def send():
+            keys, counts = counter.take()
+            return _emit(_range(keys, n), n, names, (keys, _packed), (counts, _planes))
+
         for batch in batches:
             for _, group in groups(batch.column(0)):
-                h, doc = sequences(group)
-                distinct, at = np.unique(h, return_inverse=True)
-                ids = vocabulary.find(distinct)[0][at]
-                counter.add(mix(_pairs(ids, doc, v).astype(np.uint64) << _U32 | ids.astype(np.uint64)))
-        keys, counts = counter.merge()
-        yield from _emit(keys, counts, _range(keys, n), n, ["part", "keys", "counts"])
+                found = Tokens(group, seed)
+                ids = vocabulary.find(found.distinct)[0][found.at]
+                counter.add(mix(_pairs(ids, found.doc, v).astype(np.uint64) << _U32 | ids.astype(np.uint64)))
+                if counter.full():
+                    yield from send()
+        yield from send()
 
     ends = np.array(offsets[1:])
-    facts_schema = "part int, before binary, followers binary, after binary, preceded binary, n1 long, n2 long, n3 long, n4 long, pairs long"
-    names = [f.split()[0] for f in facts_schema.split(", ")]
+    facts_names = ["part", "before", "followers"]
 
-    def write_bigrams(batches):
+    def write(batches):
+        """Write a range's pairs; send on how often a word stands first (by count 1, 2, 3 and more) and last (0) in a pair."""
         import pyarrow as pa
 
         for part, blobs in _by_part(batches):
             counter = Counter()
             for keys, counts in blobs:
                 counter.add(_unpacked(keys), _from_planes(counts))
-            keys, counts = counter.merge()
+            keys, counts = counter.take()
             _write_bigrams(folder, part, keys, counts)
             pair = unmix(keys)
             context, word = (pair >> _U32).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            at = np.lexsort((np.minimum(counts, 3), context))
-            before, followers = _summed(context[at] * 4 + np.minimum(counts[at], 3), None)
-            after, preceded = _summed(np.sort(word), None)
-            of = lambda ids: np.minimum(np.searchsorted(ends, ids, side="right"), n - 1)  # noqa: E731  a document's start counts with the last range
-            e1, e2 = (np.searchsorted(of(x), np.arange(n + 1)) for x in (before // 4, after))
-            totals = [int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)]
-            for lo in range(0, n, 64):
-                some = range(lo, min(n, lo + 64))
-                blobs_ = [[_packed(before[e1[t] : e1[t + 1]].astype(np.uint64)) for t in some], [_planes(followers[e1[t] : e1[t + 1]]) for t in some], [_packed(after[e2[t] : e2[t + 1]].astype(np.uint64)) for t in some], [_planes(preceded[e2[t] : e2[t + 1]]) for t in some]]
-                sums = [[x if t == 0 else 0 for t in some] for x in totals]
-                yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs_), *(pa.array(s, pa.int64()) for s in sums)], names=names)
+            facts, sums = _summed(np.sort(np.concatenate([context * 4 + np.minimum(counts, 3), word * 4])).astype(np.uint64), None)
+            # a document's start counts with the last range; ranges without facts get no row
+            to = np.minimum(np.searchsorted(ends, (facts // np.uint64(4)).astype(np.int64), side="right"), n - 1)
+            yield from _emit(to, n, facts_names, (facts, _packed), (sums, _planes))
+            total = np.array([len(keys), *((counts == k).sum() for k in (1, 2, 3, 4))], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([n - 1], pa.int32()), pa.array([b""], pa.binary()), pa.array([_planes(total)], pa.binary())], names=facts_names)  # without keys: the totals
 
     def write_facts(batches):
         import pyarrow as pa
@@ -351,22 +426,24 @@ def fit(texts: DataFrame, docs_per_part: int = 4096) -> dict:
         for part, rows in _by_part(batches):
             low = offsets[part]
             size = offsets[part + 1] - low + (part == n - 1)
-            facts = np.zeros((size, 4), dtype=np.int64)
-            for before, followers, after, preceded, *_ in rows:
+            facts, totals = np.zeros((size, 4), dtype=np.int64), np.zeros(5, dtype=np.int64)
+            for before, followers in rows:
+                if not before:
+                    totals += _from_planes(followers)
+                    continue
                 key = _unpacked(before).astype(np.int64)
-                facts[key // 4 - low, key % 4 - 1] += _from_planes(followers)  # keys are distinct within a blob
-                facts[_unpacked(after).astype(np.int64) - low, 3] += _from_planes(preceded)
-            put_array(_file(folder, "wf", part), facts.astype(np.uint32))
+                facts[key // 4 - low, (key % 4 - 1) % 4] += _from_planes(followers)  # keys are distinct within a blob
+            put_array(_file(folder, "wf", part), facts.astype(np.uint32 if facts.max(initial=0) < 2**32 else np.uint64))
             inside = facts[: offsets[part + 1] - low, 3]
             start = facts[-1, :3].tolist() if part == n - 1 else [0, 0, 0]
-            sums = [sum(x) for x in zip(*(r[4:] for r in rows))] + [int((inside == k).sum()) for k in (1, 2, 3, 4)] + [int((inside >= 3).sum())] + start
+            sums = [*totals.tolist(), *(int((inside == k).sum()) for k in (1, 2, 3, 4)), int((inside >= 3).sum()), *start]
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in sums], names=[f"x{k}" for k in range(len(sums))])
 
-    rows = _dealt(_dealt(texts.mapInArrow(bigrams, "part int, keys binary, counts binary"), n).mapInArrow(write_bigrams, facts_schema), n)
+    rows = _dealt(_dealt(texts.mapInArrow(count, "part int, keys binary, counts binary"), n).mapInArrow(write, "part int, before binary, followers binary"), n)
     sums = rows.mapInArrow(write_facts, ", ".join(f"x{k} long" for k in range(13))).groupBy().sum().first()  # a row a range
-    n1, n2, n3, n4, pairs, m1, m2, m3, m4, more, *start = sums
+    pairs, n1, n2, n3, n4, m1, m2, m3, m4, more, *start = sums
     d2, d1 = discounts([n1, n2, n3, n4]), discounts([m1, m2, m3, m4])
-    return model | {"d1": d1, "d2": d2, "pairs": pairs, "rest": float((d1[1] * m1 + d1[2] * m2 + d1[3] * more) / pairs), "start": float(d2[1:] @ np.array(start) / documents)}
+    return {"d1": d1, "d2": d2, "pairs": pairs, "rest": float((d1[1] * m1 + d1[2] * m2 + d1[3] * more) / pairs), "start": float(d2[1:] @ np.array(start) / documents)}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -381,12 +458,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         d1, d2, rest = model["d1"], model["d2"], model["rest"]
 
         def tokens_of(group):
-            h, doc = sequences(group)
+            found = Tokens(group, model["seed"])
+            doc, at = found.doc, found.at
             if not v:
-                zero = np.zeros(len(h))
-                return doc, zero, np.zeros(len(h), dtype=bool), zero
-            distinct, at = np.unique(h, return_inverse=True)
-            ids, counts, facts = vocabulary.find(distinct)
+                zero = np.zeros(len(at))
+                return doc, zero, np.zeros(len(at), dtype=bool), zero
+            ids, counts, facts = vocabulary.find(found.distinct)
             preceded = facts[:, 3]
             low = (preceded - d1[np.minimum(preceded, 3)]) / model["pairs"] + rest / (v + 1)
             low = np.where(ids >= 0, low, rest / (v + 1))
@@ -426,7 +503,7 @@ def perplexities(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty (its only token is the end).  Unknown words share one word's
     probability.  A row with a null doc_id is in the training fold; rows with equal ids are scored one
-    by one.  Texts of any length are read whole.  Without training rows every probability is 1.  An
+    by one.  Texts of any length are read whole; a task sends what it has counted once that exceeds SPILL keys.  Without training rows every probability is 1.  An
     empty table gives no rows.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
