@@ -8,14 +8,28 @@ from pyspark.sql import functions as F
 from driftline.llm.common import spool
 
 
-def _hook(pairs: DataFrame) -> DataFrame:
-    """Each u with its smallest neighbour or itself, joined back onto u's pairs.
+#: A node with more pairs than this, and than its share of HUBS, is a hub.
+HUB = 64
+#: Hubs at most: their table is broadcast.
+HUBS = 1 << 16
+
+
+def with_least(pairs: DataFrame, value: str) -> DataFrame:
+    """``pairs(u, ...)`` with m, the smallest value among u's pairs.
 
-    The minimum is a partial aggregate and the join splits skewed keys, so a hub with a third of all
-    links does not gather in one task.
+    The minimum is a partial aggregate.  Of n pairs at most HUBS nodes have more than n / HUBS each, so the table
+    of these hubs is bounded, and their pairs meet it where they are; the pairs of all others are joined by u.
     """
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return pairs.join(least, "u")
+    least = spool(pairs.groupBy("u").agg(F.min(value).alias("m"), F.count("*").alias("n")), "least")
+    limit = max(HUB, -(-(least.agg(F.sum("n")).first()[0] or 0) // HUBS))
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select("u", "m"))  # HUBS rows at most
+    rest = least.filter(F.col("n") <= limit).select("u", "m")
+    return pairs.join(hubs, "u").unionByName(pairs.join(hubs.select("u"), "u", "left_anti").join(rest, "u"))
+
+
+def _hook(pairs: DataFrame) -> DataFrame:
+    """Each u with its smallest neighbour or itself, joined back onto u's pairs."""
+    return with_least(pairs, "v").withColumn("m", F.least("m", "u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
