@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only.
 
-Lines with a licence term are compared with one-sentence templates by sparse TF-IDF cosine, and
+Lines that can reach the threshold are compared with one-sentence templates by sparse TF-IDF cosine, and
 paragraphs, leading comments and whole texts with the licences' usual headers, SPDX tags and full
 texts; each distinct one is scored once.  A file has the licence of its best match.  Licence files speak for their directory, and
 a file without a licence of its own inherits that of the nearest ancestor directory, found by a join
@@ -19,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.common import spool
+
 #: Fixed texts: usual notices of common licences.
 TEMPLATES = (
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -55,7 +57,7 @@ HEADERS = (
 )
 #: Tags besides the licences' own names.
 TAGS = tuple((f"{n}", f"{n}-{k}") for n in ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0") for k in ("only", "or-later"))
-#: Lines without any of these are not compared.
+#: Paragraphs, comments and texts without any of these are not compared with headers, tags and full texts, which all hold some.
 TERMS = r"(?i)licen[cs]|copyright|spdx|permission|redistribution|public domain"
 #: Lines of a leading comment, and blank ones.
 COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--|\.\.|dnl\b|REM\b)"
@@ -74,6 +76,29 @@ def weights() -> list[tuple[int, str, str, float, float]]:
     return out
 
 
+@cache
+def line_gate(threshold: float) -> str:
+    """A pattern that every line at ``threshold`` or above matches, as a cosine allows no other.
+
+    Of each template's tokens the pattern holds so many that the rest's norm stays below the threshold: a line
+    without any of them can't reach it.  Long tokens are taken first, so that few other lines match.
+    """
+    vectors: dict[int, list[tuple[str, float]]] = {}
+    for k, _, token, _, w in weights():
+        vectors.setdefault(k, []).append((token, w))
+    held = set()
+    for vector in vectors.values():
+        left = 1.0
+        for token, w in sorted(vector, key=lambda x: (x[0] in COMMON, -x[1], -len(x[0]), x[0])):
+            if left < (threshold - 1e-6) ** 2:
+                break
+            held.add(token)
+            left -= w * w
+    return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(held)) + r")(?![a-z0-9])"
+
+
+#: Tokens that other lines are full of; they are taken last.
+COMMON = frozenset("this is of the in under and a by any or with to it at".split())
 #: Of tokens that no template has.
 UNSEEN = math.log(1 + len(TEMPLATES)) + 1
 
@@ -163,42 +188,47 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     directory's licence files likewise.
 
     ``is_licence_file`` may be null: then a file speaks for its directory if it has a licence and at
-    most five lines.  A null text is empty; a null path is in no directory and inherits nothing.  Equal
-    rows are scanned one by one, ties are settled as said, and very long lines and texts are read
-    whole.  An empty table gives no rows.  Other columns are not read.
+    most five lines.  A null text is empty; a null path is in no directory and inherits nothing.  Rows that
+    share file_id and path are told apart by their texts, equal rows have equal results; ties are settled as said, and
+    very long lines and texts are read whole.  An empty table gives no rows.  Other columns are not read.
+
+    Files are read once; what follows works on those parts that can match.
     """
-    files = files.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"), "is_licence_file")
-    lines = files.filter(F.col("text").rlike(TERMS)).select("file_id", "path", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line").rlike(TERMS))
+    gate = line_gate(threshold)
+    text = F.coalesce("text", F.lit(""))
+    files = spool(files.select("file_id", "path", F.sha2(text, 256).alias("name"), F.coalesce("is_licence_file", F.size(F.split(text, "\n")) <= 5).alias("speaks"), F.when(text.rlike(gate) | text.rlike(TERMS), text).alias("body")), "files")
+    bodies = files.filter("body is not null").groupBy("name").agg(F.any_value("body").alias("body"))  # equal texts once
+    lines = bodies.select("name", F.explode(F.split("body", "\n")).alias("line")).filter(F.col("line").rlike(gate))
     best = score_lines(lines.select("line").distinct(), threshold)
-    parts = files.filter(F.col("text").rlike(TERMS)).select("file_id", "path", F.explode(blocks(F.col("text"))).alias("block")).withColumn("key", F.sha2("block", 256))
+    parts = bodies.filter(F.col("body").rlike(TERMS)).select("name", F.explode(blocks(F.col("body"))).alias("block")).withColumn("key", F.sha2("block", 256))
     whole = score_blocks(parts.groupBy("key").agg(F.any_value("block").alias("block")), threshold)
     matches = lines.join(best, "line").drop("line").unionByName(parts.drop("block").join(whole, "key").drop("key"))
-    own = matches.groupBy("file_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("file_id", "path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
-    marked = files.select("file_id", "path", F.coalesce("is_licence_file", F.size(F.split("text", "\n")) <= 5).alias("speaks"))
+    own = matches.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("name", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
     steps = F.split("path", "/")
-    known = marked.join(own.withColumnRenamed("file_id", "o").withColumnRenamed("path", "p"), F.col("file_id").eqNullSafe(F.col("o")) & F.col("path").eqNullSafe(F.col("p")), "left").drop("o", "p")
+    directory = F.array_join(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), "/")
+    known = files.drop("body").join(own, "name", "left").withColumn("directory", directory)
     # per directory one row: (minus score, licence) of its best licence file
-    directory = F.array_join(F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))), "/")
-    parents = known.filter("licence is not null and speaks and path is not null").groupBy(directory.alias("directory")).agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("given"))
-    depths = F.sequence(F.lit(0), F.size(steps) - 1)
-    above = known.filter("licence is null and path is not null").select("file_id", "path", F.explode(depths).alias("depth"))
-    above = above.withColumn("directory", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(parents, "directory").groupBy("file_id", "path").agg(F.max_by(F.struct("directory", "given"), "depth").alias("n"))
-    nearest = nearest.select(F.col("file_id").alias("o"), F.col("path").alias("p"), "n")
-    joined = known.join(nearest, F.col("file_id").eqNullSafe(F.col("o")) & F.col("path").eqNullSafe(F.col("p")), "left")
+    parents = known.filter("licence is not null and speaks and path is not null").groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("given"))
+    # directories, not files, look their ancestors up: however many files one holds, it is one row
+    inner = F.split("directory", "/")
+    depth = F.when(F.col("directory") == "", 0).otherwise(F.size(inner))
+    above = known.filter("licence is null and path is not null").select("directory").distinct().select("directory", F.explode(F.sequence(F.lit(0), depth)).alias("depth"))
+    above = above.withColumn("ancestor", F.array_join(F.slice(inner, F.lit(1), F.col("depth")), "/"))
+    nearest = above.join(parents.withColumnRenamed("directory", "ancestor"), "ancestor").groupBy("directory").agg(F.max_by(F.struct("ancestor", "given"), "depth").alias("n"))
+    joined = known.join(nearest, "directory", "left").withColumn("n", F.when(F.col("licence").isNull(), F.col("n")))
     how = F.when(F.col("licence").isNotNull(), "header").when(F.col("n").isNotNull(), "inherited").otherwise("none")
-    return joined.select("file_id", "path", F.coalesce("licence", "n.given.licence").alias("licence"), F.coalesce(F.col("score"), -F.col("n.given.s")).alias("score"), how.alias("how"), F.col("n.directory").alias("from_directory"))
+    return joined.select("file_id", "path", F.coalesce("licence", "n.given.licence").alias("licence"), F.coalesce(F.col("score"), -F.col("n.given.s")).alias("score"), how.alias("how"), F.col("n.ancestor").alias("from_directory"))
 
 
 def oracle(threshold: float = 0.6) -> str:
     """DuckDB SQL of the query op4 over ``documents``, written for whole tables by itself."""
     table = weights()
-    terms, token = TERMS.replace("'", "''"), TOKEN.replace("'", "''")
+    token = TOKEN.replace("'", "''")
     return f"""
 WITH f AS (
   SELECT doc_id, coalesce(source, 'unknown') AS a, coalesce(lang, 'unknown') AS b, coalesce(text, '') AS text FROM documents
 ), l AS (
-  SELECT * FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f) WHERE regexp_matches(line, '{terms}')
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM f
 ), v(template, licence, token, w) AS (VALUES {_values((k, n, t, w) for k, n, t, _, w in table)}
 ), i(token, idf) AS (VALUES {_values(sorted({(t, i) for _, _, t, i, _ in table}))}
 ), c AS (
