@@ -67,35 +67,36 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _hits(sample: DataFrame, index: dict[str, int]) -> list:
-    """Per sampled text: its number of words, and the occurrences of features with hashes of the word and the one before."""
+    """Per sampled text: its number of words, and its features with hashes of the word and the one before, and how often they stand there so."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            words_, ids_, before_, which_ = [], [], [], []
+            words_, ids_, before_, which_, times_ = [], [], [], [], []
             labels = batch.column("toxic")
             for text in batch.column("text"):
                 words = _words(text.as_py())
-                ids, before, which = [], [], []
-                known: dict[str, list[int]] = {}
+                found: Counter = Counter()
+                known: dict[str, list[tuple[int, int]]] = {}
                 last = ""
                 for w in words:
-                    found = known.get(w)
-                    if found is None:
-                        found = known[w] = [index[x] for x in _features({w}) if x in index]
-                    if found:
-                        ids += found
-                        which += [zlib.crc32(w.encode())] * len(found)
-                        before += [zlib.crc32(last.encode())] * len(found)
+                    here = known.get(w)
+                    if here is None:
+                        code = zlib.crc32(w.encode())
+                        here = known[w] = [(index[x], code) for x in _features({w}) if x in index]
+                    if here:
+                        code = zlib.crc32(last.encode())
+                        found.update([(i, code, c) for i, c in here])
                     last = w
                 words_.append(len(words))
-                ids_.append(ids)
-                before_.append(before)
-                which_.append(which)
-            yield pa.RecordBatch.from_arrays([labels, pa.array(words_, pa.int64()), pa.array(ids_, pa.list_(pa.int32())), pa.array(before_, pa.list_(pa.int64())), pa.array(which_, pa.list_(pa.int64()))], names=["toxic", "words", "ids", "before", "which"])
+                for col, values in zip((ids_, before_, which_), zip(*found) if found else ((), (), ())):
+                    col.append(list(values))
+                times_.append(list(found.values()))
+            columns = [pa.array(x, pa.list_(pa.int64())) for x in (ids_, before_, which_, times_)]
+            yield pa.RecordBatch.from_arrays([labels, pa.array(words_, pa.int64()), *columns], names=["toxic", "words", "ids", "before", "which", "times"])
 
-    return sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, ids array<int>, before array<long>, which array<long>").collect()
+    return sample.select("text", "toxic").mapInArrow(run, "toxic int, words long, ids array<long>, before array<long>, which array<long>, times array<long>").collect()  # a bounded sample's entries
 
 
 def label_model(votes: np.ndarray, rounds: int = 60, same: float = 0.9) -> tuple[np.ndarray, dict]:
@@ -150,18 +151,18 @@ def fit_linear(rows: list[np.ndarray], size: int, target: np.ndarray, rounds: in
     return w, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 20_000, purity: float = 0.5) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, support: int = 3, purity: float = 0.5) -> dict:
     """Fit on ``labels(doc_id, toxic)`` rows that ``docs`` has; at most about ``max_labelled`` of them.
 
-    The sample is the rows whose hashed id lies below a share, so it is spread over all documents.
-    Returns the classifier: weights by feature, and a bias.
+    The sample is the rows whose hashed id lies below a share, so it is spread over all documents.  An entry
+    occurs in ``support`` toxic texts of the sample or more.  Returns the classifier: weights by feature, and a bias.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, max_labelled / max(1, known.count()))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) < F.lit(int(share * (1 << 52))))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(F.broadcast(known), "doc_id")  # max_labelled rows at most
     sample = spool(sample.select("text", "toxic"), "labelled")
-    counts = spool(_counts(sample).filter("toxic >= 3"), "features")
+    counts = spool(_counts(sample).filter(F.col("toxic") >= support), "features")
     total, toxic, tried = sample.agg(F.count("*"), F.sum("toxic")).first() + counts.agg(F.count("*")).first()
     base = {"weights": dict.fromkeys(INSULTS, 2.5), "bias": -4.0, "again": 0.0, "several": [0.0] * SEVERAL}
     if not tried:
@@ -169,26 +170,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
     # so much likelier than by chance that, of all features tried, hardly one passes by luck
     rate, share = (toxic + 0.5) / (total + 1), F.col("toxic") / F.col("n")
     gain = F.col("toxic") * F.log(share / rate) + F.when(share < 1, (F.col("n") - F.col("toxic")) * F.log((1 - share) / (1 - rate))).otherwise(0)
-    strong = counts.filter((share >= purity) & (gain >= np.log(tried) + 2)).orderBy(F.desc("toxic"), "feature").limit(max_features).collect()
+    strong = counts.filter((share >= purity) & (gain >= np.log(tried) + 2)).select("feature").collect()  # entries of a bounded sample
     if not strong:
         return base
     names = sorted({r["feature"] for r in strong} | set(INSULTS))
     index = {x: k for k, x in enumerate(names)}
     hits = _hits(sample, index)
     # a true entry turns up after many different words of toxic texts; the words of one much-copied text do not
-    ids, before, which, bad = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*((r["ids"], r["before"], r["which"], np.full(len(r["ids"]), r["toxic"])) for r in hits)))
-    ids, before, which, bad = (x.astype(np.int64) for x in (ids, before, which, bad))
+    ids, before, which, count, bad = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in zip(*((r["ids"], r["before"], r["which"], r["times"], np.full(len(r["ids"]), r["toxic"])) for r in hits)))
+    ids, before, which, count, bad = (x.astype(np.int64) for x in (ids, before, which, count, bad))
     times = np.bincount(ids, minlength=len(names))
     harmful, harmless = (np.bincount(np.unique((ids << 32 | before)[bad == k]) >> 32, minlength=len(names)) for k in (1, 0))
-    keep = (harmful >= 3) & (harmful >= 0.5 * np.bincount(ids[bad == 1], minlength=len(names))) & (harmful >= purity * (harmful + harmless))
+    keep = (harmful >= support) & (harmful >= 0.5 * np.bincount(ids, weights=count * bad, minlength=len(names))) & (harmful >= purity * (harmful + harmless))
     # a true pattern holds for several words, and still does without its commonest one
     is_prefix = np.array([x.endswith("*") for x in names])
-    forms, at, count = np.unique(ids << 32 | which, return_inverse=True, return_counts=True)
-    harm = np.bincount(at, weights=bad, minlength=len(forms))
+    forms, at = np.unique(ids << 32 | which, return_inverse=True)
+    harm, every = (np.bincount(at, weights=x, minlength=len(forms)) for x in (count * bad, count))
     for k in np.nonzero(is_prefix & keep)[0]:
         own = slice(*np.searchsorted(forms, [k << 32, (k + 1) << 32]))
         rest = np.delete(np.arange(own.start, own.stop), np.argmax(harm[own]))
-        keep[k] = len(rest) >= 2 and harm[rest].sum() >= purity * count[rest].sum()
+        keep[k] = len(rest) >= 2 and harm[rest].sum() >= purity * every[rest].sum()
     fixed = np.array([x in INSULTS for x in names])
     keep |= fixed & (times == 0)
     # how many different words of a text have an entry, up to SEVERAL
@@ -211,9 +212,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_fe
 def _occurrences(row, keep: np.ndarray) -> int:
     """How many words of a text have an entry, repeats included; a word's entries count once."""
     times: dict[int, Counter] = {}
-    for i, x in zip(row["ids"], row["which"]):
+    for i, x, n in zip(row["ids"], row["which"], row["times"]):
         if keep[i]:
-            times.setdefault(x, Counter())[i] += 1
+            times.setdefault(x, Counter())[i] += n
     return sum(max(c.values()) for c in times.values())
 
 
