@@ -25,6 +25,8 @@ ANCHORS = frozenset(
     "al como con de del el ella en es esta este ha hay la las le lo los más me mi no nos o para pero por que se si sin son su sus un una y ya".split()
 )
 SPARSE = np.uint64(4)
+#: Blocks that the documents' order is cut into at most.
+BLOCKS = 1 << 14
 _WORD = re.compile(r"[^\W_]+")
 _KNOWN: dict[str, int] = {}
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
@@ -97,15 +99,21 @@ def in_order(docs: DataFrame, per_block: int = 4096) -> DataFrame:
 
     Blocks are ranges of doc_id.  Each block's highest document also visits, as a guest at the end, the
     next block above, whose lowest document it follows; the very highest visits the lowest block.
-    Boundaries and visits are as many as blocks, a number that the caller bounds by ``per_block``.
+    There is a block per ``per_block`` rows, but no more than BLOCKS: they bound the boundaries and visits, which
+    stand in the plan.  A block is sorted on disk and read row by row, so it may be of any size.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
-    blocks = max(64, -(-rows.count() // per_block))
+    blocks = min(BLOCKS, max(64, -(-rows.count() // per_block)))
     cuts = rows.agg(F.percentile_approx("key", [k / blocks for k in range(1, blocks)], 20 * blocks).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    bounds = F.array(*map(F.lit, cuts)).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("block", F.aggregate(bounds, F.lit(0), lambda n, x: n + (x < F.col("key")).cast("int")))
+    below = lambda values: F.size(F.filter(values, lambda x: x < F.col("key")))
+    lit = lambda values: F.array(*map(F.lit, values)).cast("array<bigint>")
+    step = max(1, int(len(cuts) ** 0.5))  # two levels, so that a row meets a few cuts only
+    groups = [cuts[k : k + step] for k in range(0, len(cuts), step)]
+    place = F.greatest(below(lit([g[0] for g in groups])) - 1, F.lit(0)) if groups else F.lit(0)
+    rows = rows.withColumn("_g", place.cast("int"))
+    rows = rows.withColumn("block", F.col("_g") * step + below(F.get(F.array(*map(lit, groups)), F.col("_g")))).drop("_g") if groups else rows.withColumn("block", F.lit(0)).drop("_g")
     tops = sorted(map(tuple, rows.groupBy("block").agg(F.max("key")).collect()))
     visit = {top: tops[(k + 1) % len(tops)][0] for k, (_, top) in enumerate(tops)}
     guests = spark.createDataFrame([], "key long, block int") if not visit else spark.sql("SELECT CAST(key AS BIGINT) AS key, CAST(block AS INT) AS block FROM VALUES " + ", ".join(f"({k}{'L' if k > -(2**63) else ''}, {b})" if k > -(2**63) else f"(bigint('{k}'), {b})" for k, b in visit.items()) + " AS t(key, block)")
