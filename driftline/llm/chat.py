@@ -60,6 +60,27 @@ def fold(events: DataFrame) -> DataFrame:
     return cut.select("conv_id", "turn", "place", F.col("e")[0]["role"].alias("role"), F.array_join(F.transform(kept, lambda x: x["text"]), "").alias("text"))
 
 
+def as_log(messages: DataFrame) -> DataFrame:
+    """An event log ``(conv_id, turn, seq, kind, role, text)`` whose folding gives ``messages(conv_id, turn, role, text)`` back.
+
+    It is what a chat server would have written: assistants' texts are regenerated once and then stream in three
+    deltas, the others' are drafts that an edit replaces.  Messages at one position follow each other by role and
+    text.  Null roles and texts count as empty.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    order = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    rows = messages.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("first", F.row_number().over(order).cast("long") * 8)
+    third = F.floor(F.length("text") / 3).cast("int")
+    piece = lambda start, n: F.substr(F.col("text"), start, n)
+    event = lambda k, kind, text: F.struct((F.col("first") + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(
+        event(0, "message", F.lit("")), event(1, "delta", F.lit("a first attempt")), event(2, "regenerate", F.lit("")),
+        event(3, "delta", piece(F.lit(1), third)), event(4, "delta", piece(third + 1, third)), event(5, "delta", piece(2 * third + 1, F.length("text"))),
+    )
+    edited = F.array(event(0, "message", F.lit("a draft")), event(1, "edit", F.col("text")))
+    return rows.select("conv_id", "turn", "role", F.inline(F.when(F.col("role") == LOSS_ROLE, streamed).otherwise(edited)))
+
+
 def render(messages: DataFrame) -> DataFrame:
     """(conv_id, formatted, loss): the rendered conversation and its loss mask, spans (start, length) in code points."""
     body = escape(F.col("text"))
@@ -76,7 +97,7 @@ def format_chats(events: DataFrame) -> DataFrame:
     """Fold and render an event log ``(conv_id, turn, seq, kind, role, text, ...)``: conv_id, formatted, loss.
 
     Null roles and texts count as empty; rows without conv_id form one conversation of their own, and
-    null turns come first.  Equal rows are separate events and are all kept.  An empty log gives an
+    null turns come first.  A log must be whole: what was lost from it can't be told.  Equal rows are separate events and are all kept.  An empty log gives an
     empty table.  Texts are used whole.  Other columns are not read.
     """
     return render(fold(events))

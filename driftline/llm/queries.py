@@ -56,14 +56,15 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as the event log of a chat server (drafts, edits, regenerations, deltas), folded, rendered and read back."""
     probe = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(k AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(k, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    chats = chat.format_chats(rows.select("*", F.col("turn").alias("seq"), F.lit("message").alias("kind")))
+    chats = chat.format_chats(chat.as_log(rows))
     back = chat.read_back(chats)
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
-        F.size("turns").alias("n_turns"),
+        F.size("turns").cast("long").alias("n_turns"),
         F.sha2(text, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
@@ -99,7 +100,7 @@ WITH c AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 )
-SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
