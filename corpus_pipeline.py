@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+
+In every stage null texts count as empty, rows with null or repeated ids are judged row by row (but for near
+copies, where equal ids share their fate), texts of any length are read whole, ties go to smaller ids, an empty
+table gives an empty one, and columns that are not named here are passed on as they are.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from driftline.llm import packing, simhash, suffix, toxicity
 from driftline.llm.common import spool, table
 from driftline.llm.queries import tokenizer_file
 
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier does not reject."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~toxicity.held_out()))
@@ -20,10 +25,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash class: the one with the smallest doc_id (of equal ids, all)."""
-    classes = simhash.near_duplicates(docs)
-    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One document of each class of near copies (five-word shingles, similarity of 0.8 or more): the one with the smallest doc_id (of equal ids, all).
+
+    The ids that go are fewer than those that stay, so texts are shuffled only where their table is too large to broadcast.
+    """
+    classes = simhash.similar_texts(docs)
+    kept = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    gone = spool(classes.select("doc_id").distinct().join(kept.distinct().withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_anti"), "gone")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
