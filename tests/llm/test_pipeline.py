@@ -3,7 +3,8 @@
 import corpus_pipeline as pipeline
 from driftline.llm import packing, queries, toxicity
 from driftline.llm.common import spool
-from tests.llm.test_corpus_operators import brute_fingerprint, brute_repeats, classes
+from tests.llm.test_corpus_operators import brute_repeats
+from tests.llm.test_near_copies import similar_classes
 
 D = "/root/testdata/sf0.001"
 
@@ -19,11 +20,9 @@ def test_stages_by_brute_force(spark):
     assert docs.columns == columns and {r.doc_id: r.text for r in docs.collect()} == want and 0 < len(want) < len(given)
 
     ids = sorted(want)
-    fps = [brute_fingerprint(want[i]) for i in ids]
-    root = classes(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
     first = {}
-    for i, r in zip(ids, root):
-        first.setdefault(r, i)
+    for i, c in zip(ids, similar_classes([(i, want[i]) for i in ids])):
+        first.setdefault(c, i)
     want = {i: want[i] for i in first.values()}
     docs = spool(pipeline.STAGES[1][1](spark, docs, D), "b")
     assert docs.columns == columns and {r.doc_id: r.text for r in docs.collect()} == want and len(want) < len(ids)
@@ -41,3 +40,19 @@ def test_stages_by_brute_force(spark):
 
 def test_run_gives_the_stages_result(spark):
     assert pipeline.run(spark, D).count() > 0
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls in every column, repeated rows and ids, empty texts and columns of clashing names pass every stage."""
+    long = "a passage of more than a hundred bytes that stands in several documents of this table and is therefore cut from all but one. "
+    rows = [(1, long * 3, "en", None, 5, "x"), (1, long * 3, "en", None, 5, "x"), (2, None, None, None, None, None), (None, "words of a row without an id", "en", "web", 1, "y"), (None, None, None, None, None, None), (3, "", "en", "web", 0, "y"), (4, "you stupid idiot moron loser", "en", "web", 1, "z"), (5, "another text " * 50 + long, "de", "web", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = spool(stage(spark, docs, D), name)
+        assert docs.columns == columns
+    left = docs.collect()
+    assert {r.doc_id for r in left} >= {1, 5} and sum(r.doc_id == 1 for r in left) == 2 and not any(r.doc_id == 4 for r in left)
+    pieces = pipeline.STAGES[-1][1](spark, docs, D)
+    assert pieces.select("doc_id").distinct().count() == len({r.doc_id for r in left})
+    assert pipeline.STAGES[-1][1](spark, docs.limit(0), D).count() == 0 and all(stage(spark, docs.limit(0), D).count() == 0 for _, stage in pipeline.STAGES[:-1])
