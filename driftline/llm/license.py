@@ -1,6 +1,6 @@
 """Licence scans with DataFrame functions only.
 
-Lines that can reach the threshold are compared with one-sentence templates by sparse TF-IDF cosine, and
+Lines with a telling word are compared with one-sentence templates by sparse TF-IDF cosine, and
 paragraphs, leading comments and whole texts with the licences' usual headers, SPDX tags and full
 texts; each distinct one is scored once.  A file has the licence of its best match.  Licence files speak for their directory, and
 a file without a licence of its own inherits that of the nearest ancestor directory, found by a join
@@ -13,7 +13,7 @@ import json
 import math
 import re
 from collections import Counter
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -77,28 +77,58 @@ def weights() -> list[tuple[int, str, str, float, float]]:
 
 
 @cache
-def line_gate(threshold: float) -> str:
-    """A pattern that every line at ``threshold`` or above matches, as a cosine allows no other.
-
-    Of each template's tokens the pattern holds so many that the rest's norm stays below the threshold: a line
-    without any of them can't reach it.  Long tokens are taken first, so that few other lines match.
-    """
-    vectors: dict[int, list[tuple[str, float]]] = {}
+def _vectors() -> list[dict[str, float]]:
+    """Per template its tokens' weights."""
+    out: dict[int, dict[str, float]] = {}
     for k, _, token, _, w in weights():
-        vectors.setdefault(k, []).append((token, w))
-    held = set()
-    for vector in vectors.values():
-        left = 1.0
-        for token, w in sorted(vector, key=lambda x: (x[0] in COMMON, -x[1], -len(x[0]), x[0])):
-            if left < (threshold - 1e-6) ** 2:
-                break
-            held.add(token)
-            left -= w * w
+        out.setdefault(k, {})[token] = w
+    return list(out.values())
+
+
+@cache
+def line_gate() -> str:
+    """A pattern of the templates' telling words: all but those that other lines are full of too."""
+    held = {t for v in _vectors() for t in v} - COMMON
     return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in sorted(held)) + r")(?![a-z0-9])"
 
 
-#: Tokens that other lines are full of; they are taken last.
-COMMON = frozenset("this is of the in under and a by any or with to it at".split())
+@cache
+def needed(threshold: float) -> list[tuple[list[str], int]]:
+    """Per template its tokens and how many of them a line at ``threshold`` must hold: no cosine exceeds the norm of the shared ones."""
+    out = []
+    for vector in _vectors():
+        mass, least = 0.0, 0
+        for w in sorted(vector.values(), reverse=True):
+            if mass >= (threshold - 1e-6) ** 2:
+                break
+            mass += w * w
+            least += 1
+        out.append((sorted(vector), least))
+    return out
+
+
+def may_match(line: Column, threshold: float) -> Column:
+    """Whether a line may be at ``threshold`` or above.
+
+    It has a telling word; of some template, as many words as :func:`needed`; and enough mass in words that templates
+    have (each weighed as the rarest is) against those that none has, as no cosine exceeds the former's share.
+    """
+    every = sorted({t for names, _ in needed(threshold) for t in names})
+    most, share = max(i for *_, i, _ in weights()), (threshold - 1e-6) ** 2
+
+    def enough(tokens: Column) -> Column:
+        known = F.array_intersect(tokens, F.array(*map(F.lit, every)))
+        times = F.aggregate(known, F.lit(0), lambda acc, t: acc + F.pow(F.size(F.filter(tokens, lambda x: x == t)), F.lit(2)).cast("int"))
+        strange = F.size(F.array_distinct(tokens)) - F.size(known)
+        shared = [F.size(F.array_intersect(known, F.array(*map(F.lit, names)))) >= least for names, least in needed(threshold)]
+        return (times * most**2 * (1 - share) >= strange * UNSEEN**2 * share) & reduce(lambda x, y: x | y, shared)
+
+    tokens = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
+    return F.when(line.rlike(line_gate()), F.exists(F.array(tokens), enough)).otherwise(False)
+
+
+#: A fixed list: the templates' words that other lines are full of.  A line of these alone names no licence and is not compared.
+COMMON = frozenset("this is of the in under and a by any or with to it at are into all for without use 1.0 2.0 4.0 2 3 v free work person code source public program files form forms copy charge purpose general version terms subject fee possible extent law library international domain binary software documentation associated".split())
 #: Of tokens that no template has.
 UNSEEN = math.log(1 + len(TEMPLATES)) + 1
 
@@ -194,19 +224,21 @@ def scan(files: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     Files are read once; what follows works on those parts that can match.
     """
-    gate = line_gate(threshold)
     text = F.coalesce("text", F.lit(""))
-    files = spool(files.select("file_id", "path", F.sha2(text, 256).alias("name"), F.coalesce("is_licence_file", F.size(F.split(text, "\n")) <= 5).alias("speaks"), F.when(text.rlike(gate) | text.rlike(TERMS), text).alias("body")), "files")
-    bodies = files.filter("body is not null").groupBy("name").agg(F.any_value("body").alias("body"))  # equal texts once
-    lines = bodies.select("name", F.explode(F.split("body", "\n")).alias("line")).filter(F.col("line").rlike(gate))
+    none = F.array().cast("array<string>")
+    lines = F.when(text.rlike(line_gate()), F.array_distinct(F.filter(F.split(text, "\n"), lambda x: may_match(x, threshold)))).otherwise(none)
+    parts = F.when(text.rlike(TERMS), blocks(text)).otherwise(none)
+    files = files.select("file_id", "path", F.sha2(text, 256).alias("name"), F.coalesce("is_licence_file", F.size(F.split(text, "\n")) <= 5).alias("speaks"), lines.alias("lines"), parts.alias("parts"))
+    files = spool(files, "files")
+    lines = files.select("name", F.explode("lines").alias("line"))
     best = score_lines(lines.select("line").distinct(), threshold)
-    parts = bodies.filter(F.col("body").rlike(TERMS)).select("name", F.explode(blocks(F.col("body"))).alias("block")).withColumn("key", F.sha2("block", 256))
-    whole = score_blocks(parts.groupBy("key").agg(F.any_value("block").alias("block")), threshold)
+    parts = files.select("name", F.explode("parts").alias("block")).withColumn("key", F.sha2("block", 256))
+    whole = score_blocks(parts.select("key", "block").distinct(), threshold)
     matches = lines.join(best, "line").drop("line").unionByName(parts.drop("block").join(whole, "key").drop("key"))
     own = matches.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).select("name", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
     steps = F.split("path", "/")
     directory = F.array_join(F.slice(steps, F.lit(1), F.greatest(F.size(steps) - 1, F.lit(0))), "/")
-    known = files.drop("body").join(own, "name", "left").withColumn("directory", directory)
+    known = files.drop("lines", "parts").join(own, "name", "left").withColumn("directory", directory)
     # per directory one row: (minus score, licence) of its best licence file
     parents = known.filter("licence is not null and speaks and path is not null").groupBy("directory").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("given"))
     # directories, not files, look their ancestors up: however many files one holds, it is one row
