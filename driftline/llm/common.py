@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import hashlib
 import io
 import os
@@ -126,6 +127,34 @@ def map_array(path: str):
         return np.load(p, allow_pickle=False)
 
 
+def release() -> None:
+    """Hand freed memory back to the system, as far as the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A task's function that releases memory at its end: workers are reused, and so would be all they once took."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it again."""
     spark = df.sparkSession

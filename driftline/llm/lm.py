@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import exists, map_array, partitions_for, put_array, remove, scratch, whole_text
+from driftline.llm.common import exists, map_array, partitions_for, put_array, remove, scratch, tidy, whole_text
 
 GROUP_BYTES = 1 << 21
 FLUSH = 1 << 22
@@ -342,6 +342,7 @@ def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[list[i
     """Write each range's words and counts; the ranges' first ids, the tokens and the hashes that two words share."""
     names = ["part", "keys", "counts", "checks"]
 
+    @tidy
     def count(batches):
         counter = Counter()
 
@@ -357,6 +358,7 @@ def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[list[i
                     yield from send()
         yield from send()
 
+    @tidy
     def write(batches):
         import pyarrow as pa
 
@@ -382,6 +384,7 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
     v = offsets[-1]
     names = ["part", "keys", "counts"]
 
+    @tidy
     def count(batches):
         vocabulary, counter = Words(folder, offsets, False), Counter()
 
@@ -401,6 +404,7 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
     ends = np.array(offsets[1:])
     facts_names = ["part", "before", "followers"]
 
+    @tidy
     def write(batches):
         """Write a range's pairs; send on how often a word stands first (by count 1, 2, 3 and more) and last (0) in a pair."""
         import pyarrow as pa
@@ -420,6 +424,7 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
             total = np.array([len(keys), *((counts == k).sum() for k in (1, 2, 3, 4))], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([n - 1], pa.int32()), pa.array([b""], pa.binary()), pa.array([_planes(total)], pa.binary())], names=facts_names)  # without keys: the totals
 
+    @tidy
     def write_facts(batches):
         import pyarrow as pa
 
@@ -451,6 +456,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     v, tokens = model["words"], model["tokens"]
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 

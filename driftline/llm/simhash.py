@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import partitions_for, spool, whole_text
+from driftline.llm.common import map_array, partitions_for, put_array, scratch, spool, tidy, whole_text
 from driftline.llm.graph import components, with_least
 
 BITS = 64
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp): each whole text's fingerprint as a signed long; rows stay where they are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 
@@ -330,6 +331,7 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, seed:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
+    @tidy
     def mark(batches):
         import pyarrow as pa
 
@@ -346,6 +348,9 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, seed:
     # the sets of nodes that meet another, from one text each
     asked = spool(meeting.select("node").distinct().join(nodes.select("node", "name", "first"), "node"), "asked")
 
+    folder, n = scratch(spark, "sets"), partitions_for(spark, asked.count(), 1 << 12)
+
+    @tidy
     def gather(batches):
         import pyarrow as pa
 
@@ -358,40 +363,67 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, width: int = 5, seed:
                 if xxh3_128_digest(data) == name:  # rows that share the id may hold other texts
                     out[0].append(node)
                     out[1].append(data)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array([x % n for x in out[0]], pa.int32()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["part", "node", "set"])
+
+    @tidy
+    def write(batches):
+        """Each part's sets as one array beside their nodes and ends, to be memory-mapped."""
+        import pyarrow as pa
+
+        parts: dict[int, dict[int, bytes]] = {}
+        for batch in batches:
+            for part, node, data in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                parts.setdefault(part, {})[node] = data
+        for part, sets in parts.items():
+            nodes = sorted(sets)
+            put_array(f"{folder}/nodes-{part:06d}.npy", np.array(nodes, dtype=np.int64))
+            put_array(f"{folder}/ends-{part:06d}.npy", np.cumsum([len(sets[x]) // 8 for x in nodes]))
+            put_array(f"{folder}/sets-{part:06d}.npy", np.frombuffer(b"".join(sets[x] for x in nodes), dtype=np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int32())], names=["parts"])
 
     texts = rows.join(asked.select("node", "name", "first"), F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "node", "name")
-    sets = spool(texts.mapInArrow(gather, "node long, set binary").dropDuplicates(["node"]), "sets")
-    parts = partitions_for(spark, meeting.count(), 1 << 14)
+    texts.mapInArrow(gather, "part int, node long, set binary").repartitionById(n, "part").mapInArrow(write, "parts int").agg(F.sum("parts")).first()
+    cells_at_once = partitions_for(spark, meeting.count(), 1 << 16)
 
+    @tidy
     def compare(batches):
         import pyarrow as pa
 
+        opened: dict[int, tuple] = {}
+
+        def set_of(node):
+            part = node % n
+            if part not in opened:
+                opened[part] = tuple(map_array(f"{folder}/{k}-{part:06d}.npy") for k in ("nodes", "ends", "sets"))
+            nodes, ends, values = opened[part]
+            at = int(np.searchsorted(nodes, node))
+            return values[int(ends[at - 1]) if at else 0 : int(ends[at])]
+
         def edges(held):
-            unique = list({r[0]: r for r in held}.values())
-            fps = np.array([r[1] for r in unique], dtype=np.int64).view(np.uint64)
-            found = list(alike_links([np.frombuffer(r[2], dtype=np.uint64) for r in unique], fps, threshold))
+            unique = sorted(held.items())
+            fps = np.array([f for _, f in unique], dtype=np.int64).view(np.uint64)
+            found = list(alike_links([set_of(x) for x, _ in unique], fps, threshold))
             return [unique[a][0] for a, _ in found], [unique[b][0] for _, b in found]
 
-        now, held = None, []
+        now, held = None, {}
         u: list[int] = []
         v: list[int] = []
         for batch in batches:
-            for *cell, node, fp, data in zip(*(batch.column(c).to_pylist() for c in (*CELL, "node", "fp", "set"))):
+            for *cell, node, fp in zip(*(batch.column(c).to_pylist() for c in (*CELL, "node", "fp"))):
                 if cell != now:
                     if len(held) > 1:
                         a, b = edges(held)
                         u += a
                         v += b
-                    now, held = cell, []
-                held.append((node, fp, data))
+                    now, held = cell, {}
+                held[node] = fp
         if len(held) > 1:
             a, b = edges(held)
             u += a
             v += b
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    found = meeting.join(sets, "node").select(*CELL, "node", "fp", "set").repartition(parts, *CELL).sortWithinPartitions(*CELL).mapInArrow(compare, "u long, v long")
+    found = meeting.select(*CELL, "node", "fp").repartition(cells_at_once, *CELL).sortWithinPartitions(*CELL).mapInArrow(compare, "u long, v long")
     roots = spool(components(found).withColumnRenamed("node", "fp"), "roots")
     distinct = nodes.select(F.col("node").alias("fp"), "first")
     named = distinct.join(named_roots(distinct, roots), "fp", "left").select(F.col("fp").alias("node"), F.coalesce("component_id", "first").alias("component_id"))

@@ -23,13 +23,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import map_array, partitions_for, put_array, scratch, whole_text
+from driftline.llm.common import map_array, partitions_for, put_array, scratch, tidy, whole_text
 from driftline.llm.lm import _by_part, _dealt, _file, _from_planes, _packed, _planes, _range, _unpacked, mix
 
 GRAM = 32
-GROUP = 1 << 20
+GROUP = 1 << 19
 SEGMENT = 1 << 22
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 _SEED = np.random.default_rng(10)
 _VALUES = _SEED.integers(0, 2**64, (3, 256), dtype=np.uint64)
 _ODD = [np.uint64(int(x) | 1) for x in _SEED.integers(0, 2**63, 8)]
@@ -231,6 +231,7 @@ def _samples(rows: DataFrame, samples: Table, whole: Table, width: int) -> None:
     """Write the samples whose runs must be taken apart, and the contents of whole runs that repeat."""
     n = samples.parts
 
+    @tidy
     def collect(batches):
         import pyarrow as pa
 
@@ -266,6 +267,7 @@ def _samples(rows: DataFrame, samples: Table, whole: Table, width: int) -> None:
                 names=["part", "samples", "contents", "flags"],
             )
 
+    @tidy
     def write(batches):
         import pyarrow as pa
 
@@ -309,6 +311,7 @@ def _units(runs: Runs, docs: np.ndarray, places: np.ndarray, samples: Table, who
 def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width: int) -> None:
     n = places.parts
 
+    @tidy
     def collect(batches):
         import pyarrow as pa
 
@@ -327,6 +330,7 @@ def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width:
                 names=["part", "keys", "docs", "at", "several"],
             )
 
+    @tidy
     def write(batches):
         import pyarrow as pa
 
@@ -386,6 +390,7 @@ def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096)
     rows = _documents(docs)
     find = _finder(rows, width, docs_per_part)
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 
@@ -430,6 +435,7 @@ def without_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096
     """
     find = _finder(_documents(docs), width, docs_per_part)
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 

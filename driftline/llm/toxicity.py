@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.common import spool, whole_text
+from driftline.llm.common import spool, tidy, whole_text
 
 #: A fixed lexicon: common English insults.
 INSULTS = ("asshole", "bastard", "bitch", "clown", "coward", "creep", "cretin", "crap", "damn", "disgusting", "dumb", "fool", "freak", "garbage", "hate", "idiot", "idiotic", "imbecile", "jerk", "kill", "liar", "loser", "lunatic", "moron", "moronic", "pathetic", "pig", "scum", "shit", "stupid", "trash", "ugly", "vermin", "worthless")
@@ -248,6 +248,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, score): the classifier's probability for every row of ``docs(doc_id, text, ...)``, in place."""
     probabilities = scorer(model)
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 
@@ -262,6 +263,7 @@ def keep_clean(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFram
     """The rows of ``docs(text, ...)`` scored below ``threshold``, with all their columns, in place."""
     probabilities = scorer(model)
 
+    @tidy
     def run(batches):
         import pyarrow as pa
 
