@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.operators import metric
-from driftline.operators.normalise import average_rank
+from driftline.operators.ranks import with_ranks
 
 
 def z_match(scores: DataFrame, member: str, reference: str) -> DataFrame:
@@ -23,17 +23,9 @@ def frozen(scores: DataFrame, member: str, mean: float, sd: float) -> DataFrame:
 
 
 def spearman(scores: DataFrame, a: str, b: str) -> DataFrame:
-    """Correlation of average ranks, and of ranks with ties by position (id, t).
-
-    Average ranks come from counts of equal values, so the global order is over distinct values.
-    """
-    def ranks(c):
-        counts = scores.groupBy(c).agg(F.count("*").alias("n"))
-        below = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(c, (F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)).alias(f"r_{c}"))
-
-    rows = scores.join(ranks(a), a).join(ranks(b), b)
-    return rows.agg(F.corr(f"r_{a}", f"r_{b}").alias("spearman"), F.corr(a, b).alias("pearson"))
+    """Correlation of average ranks over the whole table, and of the values themselves."""
+    rows = with_ranks(scores, {"_ra": a, "_rb": b})
+    return rows.agg(F.corr("_ra", "_rb").alias("spearman"), F.corr(a, b).alias("pearson"))
 
 
 def fill_missing(scores: DataFrame, member: DataFrame, column: str) -> DataFrame:
@@ -93,10 +85,8 @@ def ridge(scores: DataFrame, members: list[str], target: str, l2: float = 1.0) -
 
 
 def rank_mean(scores: DataFrame, members: list[str]) -> DataFrame:
-    """Mean of the members' average ranks within the step."""
-    ranked = scores
-    for m in members:
-        ranked = ranked.withColumn(f"_r_{m}", average_rank(["t"], m))
+    """Mean of the members' average ranks over the whole table."""
+    ranked = with_ranks(scores, {f"_r_{m}": m for m in members})
     return ranked.withColumn("rank_mean", sum((F.col(f"_r_{m}") for m in members[1:]), F.col(f"_r_{members[0]}")) / len(members)).drop(*(f"_r_{m}" for m in members))
 
 

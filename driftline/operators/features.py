@@ -6,8 +6,10 @@ number of online rows so far and ``min(n, W)`` a trailing window's fill.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +19,35 @@ from driftline.operators.calibration import EDGES, GRID
 from driftline.sources.series import history, online
 
 WINDOWS = (25, 50, 100, 200, 400)
+LAGS = (1, 2, 3, 4, 5)
+
+
+def _array(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def defaults() -> dict[str, Column]:
+    """What a series without any history is calibrated with; null tables are those of independent normal values."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    out = {"n_hist": F.lit(0).cast("long"), "edges": _array([-1 + 2 * k / 18 for k in range(19)]), "knots": _array([-3 + 6 * k / 255 for k in range(256)]), "zcr_h": F.lit(0.5), "cross_rate_h": F.lit(0.5), "acf1_h_abs": zero}
+    out |= {c: zero for c in ("mu", "skew", "kurt", "med", "x_last", "phi", *(f"acf{k}_h" for k in LAGS))} | {c: one for c in ("sd", "dvar_h", "dabs_h", "lrv")}
+    flat = {"mz": (0, 1, 0), "lv": (-1, 2**0.5, 1), "acf": (0, 1, 1), "ks": (0.86, 0.35, 1), "l1": (0.4, 0.2, 1), "skew": (0, 6**0.5, 1), "kurt": (0, 24**0.5, 1)}
+    for name, (loc, scale, shrinks) in (flat | {f"{s}_{c}": (0, 1, 1) for s in ("a", "d", "xs") for c in ("mean", "acf")}).items():
+        out[f"null_{name}_loc"] = _array([loc / (g if name == "lv" else g**0.5) for g in GRID])
+        out[f"null_{name}_scale"] = _array([scale / g**0.5 if shrinks else scale for g in GRID])
+    return out
+
+
+def _beside(df: DataFrame, per_series: DataFrame) -> DataFrame:
+    """Rows beside their series' table; a series that has no row there gets the defaults."""
+    known = defaults()
+    return df.join(per_series, "id", "left").withColumns({c: F.coalesce(c, known[c]) for c in per_series.columns if c in known})
 
 
 def prepared(series: DataFrame, cal: DataFrame | None = None) -> DataFrame:
-    """Online rows with their series' calibration and z-scores."""
+    """Online rows with their series' calibration and z-scores; a series without history is measured against a standard normal one."""
     cal = calibration.full(history(series)) if cal is None else cal
-    return online(series).join(cal, "id").withColumns({"n": F.col("t") + 1, "z": (F.col("x") - F.col("mu")) / F.col("sd")})
+    return _beside(online(series), cal).withColumns({"n": F.col("t") + 1, "z": (F.col("x") - F.col("mu")) / F.col("sd")})
 
 
 def _central(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> tuple[Column, Column, Column, Column]:
@@ -48,7 +73,8 @@ def cumulative_moments(df: DataFrame) -> DataFrame:
 
 
 def time_features(df: DataFrame) -> DataFrame:
-    return df.withColumns({"log_t": F.log("n"), "log_n_hist": F.log("n_hist"), "t_over_nhist": F.col("n") / F.col("n_hist")})
+    some = F.col("n_hist") > 0
+    return df.withColumns({"log_t": F.log("n"), "log_n_hist": F.when(some, F.log("n_hist")).otherwise(0.0), "t_over_nhist": F.when(some, F.col("n") / F.greatest("n_hist", F.lit(1))).otherwise(0.0)})
 
 
 def ewma(df: DataFrame, alpha: float, name: str, c: str = "z") -> DataFrame:
@@ -140,7 +166,7 @@ def cumulative_shape(df: DataFrame) -> DataFrame:
 
 def _with(df: DataFrame, per_series: DataFrame | None) -> DataFrame:
     """Rows beside their series' table; without one they carry its columns already."""
-    return df if per_series is None else df.join(per_series, "id")
+    return df if per_series is None else _beside(df, per_series)
 
 
 def fill(width: int) -> Column:
@@ -181,63 +207,144 @@ def window_shape(df: DataFrame, widths=WINDOWS) -> DataFrame:
     return df.drop("bin", *(f"{p}{j}" for p in ("b", "_b") for j in range(19)))
 
 
-# null tables: what the same statistics do on the break-free history
+# null tables: what the same statistics do on the break-free history.  A series' history is one array and each scale a
+# few operations on its running sums, so the tables are made a series at a time in NumPy: as column expressions seven
+# scales of windows outgrow what the JVM compiles.
+
+
+class History:
+    """One series' history in order: values, z-scores, and its calibration."""
+
+    def __init__(self, x: np.ndarray, cal: dict):
+        self.x, self.n, self.cal = x, len(x), cal
+        self.z = (x - cal["mu"]) / cal["sd"]
+
+    def table(self, values: dict[int, tuple[float, float]], loc, scale, floor: float) -> tuple[list, list]:
+        """Location and scale over the grid: measured where the history holds two windows, else the last measured one; the defaults for fewer than 64 rows."""
+        out, last = ([], []), None
+        for g in GRID:
+            if self.n >= 64 and g in values:
+                last = values[g][0], max(values[g][1], floor)
+            use = last if self.n >= 64 and last else (loc(g), scale(g))
+            out[0].append(float(use[0]))
+            out[1].append(float(use[1]))
+        return out
+
+    def scales(self, parts: int):
+        """(scale, last rows of its windows): windows start at multiples of a fraction of the scale."""
+        for g in GRID:
+            if self.n >= 64 and self.n >= 2 * g:
+                yield g, np.arange(g - 1, self.n, max(1, g // parts))
+
+
+def _sums(v: np.ndarray) -> np.ndarray:
+    """Running sums with a zero before them."""
+    return np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
+
+
+def _over(sums: np.ndarray, ends: np.ndarray, g: int) -> np.ndarray:
+    """Sums of the ``g`` rows up to each end."""
+    return sums[ends + 1] - sums[ends + 1 - g]
 
-def _strided(hist: DataFrame, g: int, stride: int) -> Column:
-    """Rows that end a window of g whose start is a multiple of the stride."""
-    return (F.col("t") >= g - 1) & ((F.col("t") - (g - 1)) % stride == 0)
 
+def _mean_sd(v: np.ndarray) -> tuple[float, float]:
+    return float(v.mean()), float(v.std())
 
-def _usable(n: Column, g: int) -> Column:
-    return (n >= 64) & (n >= 2 * g)
 
+def _lag_products(v: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], v[1:] * v[:-1]])
 
-def _carried(values: list[tuple[Column, Column]], defaults: list[float]) -> Column:
-    """Per scale the measured value, the last measured one where a scale is too long, the defaults where none is."""
-    out, last = [], None
-    for (ok, value), default in zip(values, defaults):
-        last = F.coalesce(F.when(ok, value), last if last is not None else F.lit(float(default)))
-        out.append(last)
-    any_ = values[0][0]
-    return F.array(*[F.when(any_, v).otherwise(F.lit(float(d))) for v, d in zip(out, defaults)])
+
+def _moment_nulls(h: History) -> dict:
+    c1, c2, cl = _sums(h.z), _sums(h.z**2), _sums(_lag_products(h.z))
+    mz, lv, acf = {}, {}, {}
+    for g, e in h.scales(8):
+        m = _over(c1, e, g) / g
+        v = _over(c2, e, g) / g - m * m
+        mz[g], lv[g] = _mean_sd(m * g**0.5), _mean_sd(np.log(np.maximum(v, 1e-12)))
+        acf[g] = _mean_sd(np.clip((_over(cl, e, g - 1) / (g - 1) - m * m) / np.maximum(v, 1e-12), -1, 1) - h.cal["acf1_h"])
+    return {"mz": h.table(mz, lambda g: 0.0, lambda g: 1.0, 0.05), "lv": h.table(lv, lambda g: -1.0 / g, lambda g: (2.0 / g) ** 0.5, 0.01), "acf": h.table(acf, lambda g: 0.0, lambda g: g**-0.5, 0.01)}
+
+
+def _shape_nulls(h: History) -> dict:
+    bins = np.searchsorted(np.asarray(h.cal["edges"]), h.x, side="right")
+    below = _sums((bins[:, None] <= np.arange(19)[None]).astype(float))
+    ks, l1 = {}, {}
+    for g, e in h.scales(4):
+        gaps = np.abs(_over(below, e, g) / g - np.array(EDGES))
+        for out, v in ((ks, gaps.max(axis=1)), (l1, gaps.sum(axis=1) / 19.0)):
+            middle, high = np.percentile(v, [50, 90])
+            out[g] = float(middle), float(high - middle)
+    return {"ks": h.table(ks, lambda g: 0.86 / g**0.5, lambda g: 0.35 / g**0.5, 0.005), "l1": h.table(l1, lambda g: 0.4 / g**0.5, lambda g: 0.2 / g**0.5, 0.003)}
+
+
+def _stream_nulls(h: History, stream: str) -> dict:
+    if stream == "a":
+        v = np.abs(h.z)
+    elif stream == "d":
+        v = np.diff(h.z, prepend=h.z[:1])
+    else:
+        side = h.x < h.cal["med"]
+        v = np.concatenate([[0.0], (side[1:] != side[:-1]).astype(float)])
+    c1, c2, cl = _sums(v), _sums(v**2), _sums(_lag_products(v))
+    mean, acf = {}, {}
+    for g, e in h.scales(8):
+        m = _over(c1, e, g) / g
+        mean[g] = _mean_sd(m)
+        acf[g] = _mean_sd(np.clip((_over(cl, e, g - 1) / (g - 1) - m * m) / np.maximum(_over(c2, e, g) / g - m * m, 1e-12), -1, 1))
+    return {f"{stream}_mean": h.table(mean, lambda g: 0.0, lambda g: g**-0.5, 1e-4), f"{stream}_acf": h.table(acf, lambda g: 0.0, lambda g: g**-0.5, 1e-3)}
+
+
+def _shape_moment_nulls(h: History) -> dict:
+    sums = [_sums(h.z**k) for k in (1, 2, 3, 4)]
+    skew, kurt = {}, {}
+    for g, e in h.scales(8):
+        s1, s2, s3, s4 = (_over(s, e, g) / g for s in sums)
+        v = np.maximum(s2 - s1 * s1, 0.0)
+        live, v_ = v > 1e-12, np.maximum(v, 1e-12)
+        skew[g] = _mean_sd(np.where(live, (s3 - 3 * s1 * s2 + 2 * s1**3) / v_**1.5, 0.0))
+        kurt[g] = _mean_sd(np.where(live, (s4 - 4 * s1 * s3 + 6 * s1 * s1 * s2 - 3 * s1**4) / v_**2 - 3, 0.0))
+    return {"skew": h.table(skew, lambda g: 0.0, lambda g: (6.0 / g) ** 0.5, 1e-3), "kurt": h.table(kurt, lambda g: 0.0, lambda g: (24.0 / g) ** 0.5, 1e-3)}
+
+
+_NULLS = {"moments": (_moment_nulls, ("mz", "lv", "acf")), "shape": (_shape_nulls, ("ks", "l1")), "shape_moments": (_shape_moment_nulls, ("skew", "kurt"))}
+_NULLS |= {s: (partial(_stream_nulls, stream=s), (f"{s}_mean", f"{s}_acf")) for s in ("a", "d", "xs")}
+
+
+def null_tables(hist: DataFrame, cal: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """One row a series with null_{name}_loc and null_{name}_scale, arrays over the scale grid, for each statistic of the kinds; one exchange for all."""
+    names = [f"null_{n}_{part}" for k in kinds for n in _NULLS[k][1] for part in ("loc", "scale")]
+    needs = [c for c in ("mu", "sd", "med", "acf1_h", "edges") if c in cal.columns]
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("t")
+        h = History(g.x.values.astype(float), {c: g[c].values[0] for c in needs})
+        found = {}
+        for k in kinds:
+            found |= _NULLS[k][0](h)
+        return pd.DataFrame({"id": g.id.values[:1]} | {n: [found[n[5:].rsplit("_", 1)[0]][n.endswith("scale")]] for n in names})
+
+    return hist.join(cal.select("id", *needs), "id").groupBy("id").applyInPandas(one, "id long, " + ", ".join(f"{n} array<double>" for n in names))
 
 
 def null_moments(hist: DataFrame, cal: DataFrame) -> DataFrame:
     """Arrays over the scale grid: null_mz_{loc,scale}, null_lv_{loc,scale}, null_acf_{loc,scale}."""
-    rows = calibration.centred(hist, cal.select("id", "n_hist", "mu", "sd", "acf1_h"))
-    rows = rows.withColumn("_l", F.coalesce(F.col("z") * previous("z"), F.lit(0.0)))
-    rows = with_running(rows, c1=F.col("z"), c2=F.col("z") ** 2, cl=F.col("_l"))
-    cols, aggs = {}, []
-    for g in GRID:
-        m = trailing("c1", g) / g
-        v = trailing("c2", g) / g - m * m
-        keep = _strided(hist, g, max(1, g // 8))
-        acf = clip((trailing("cl", g - 1) / float(g - 1) - m * m) / at_least(v, 1e-12), -1.0, 1.0) - F.col("acf1_h")
-        cols |= {f"mz{g}": F.when(keep, m * g**0.5), f"lv{g}": F.when(keep, safe_log(v)), f"acf{g}": F.when(keep, acf)}
-        aggs += [f(f"{s}{g}").alias(f"{s}{g}_{tag}") for s in ("mz", "lv", "acf") for f, tag in ((F.avg, "a"), (F.stddev_pop, "s"))]
-    sums = rows.withColumns(cols).groupBy("id").agg(F.max("n_hist").alias("n"), *aggs)
-    table = lambda s, tag, floor, default: _carried([(_usable(F.col("n"), g), at_least(f"{s}{g}_{tag}", floor) if floor else F.col(f"{s}{g}_{tag}")) for g in GRID], [default(g) for g in GRID])
-    return sums.select(
-        "id",
-        table("mz", "a", None, lambda g: 0.0).alias("null_mz_loc"), table("mz", "s", 0.05, lambda g: 1.0).alias("null_mz_scale"),
-        table("lv", "a", None, lambda g: -1.0 / g).alias("null_lv_loc"), table("lv", "s", 0.01, lambda g: (2.0 / g) ** 0.5).alias("null_lv_scale"),
-        table("acf", "a", None, lambda g: 0.0).alias("null_acf_loc"), table("acf", "s", 0.01, lambda g: g**-0.5).alias("null_acf_scale"),
-    )
+    return null_tables(hist, cal, ("moments",))
 
 
 def null_shape(hist: DataFrame, cal: DataFrame) -> DataFrame:
     """Arrays over the scale grid: null_ks_{loc,scale} and null_l1_{loc,scale}, the median and the spread up to the 0.9 quantile."""
-    rows = with_bins(hist.join(cal.select("id", "n_hist", "edges"), "id"))
-    cols, aggs = {}, []
-    for g in GRID:
-        ks, l1, _ = _shape([trailing(f"b{j}", g) for j in range(19)], F.lit(float(g)))
-        keep = _strided(hist, g, max(1, g // 4))
-        cols |= {f"ks{g}": F.when(keep, ks), f"l1{g}": F.when(keep, l1 / 19.0)}
-        aggs += [F.percentile(f"{s}{g}", F.array(F.lit(0.5), F.lit(0.9))).alias(f"{s}{g}") for s in ("ks", "l1")]
-    sums = rows.withColumns(cols).groupBy("id").agg(F.max("n_hist").alias("n"), *aggs)
-    loc = lambda s, f: _carried([(_usable(F.col("n"), g), F.col(f"{s}{g}")[0]) for g in GRID], [f / g**0.5 for g in GRID])
-    scale = lambda s, floor, f: _carried([(_usable(F.col("n"), g), at_least(F.col(f"{s}{g}")[1] - F.col(f"{s}{g}")[0], floor)) for g in GRID], [f / g**0.5 for g in GRID])
-    return sums.select("id", loc("ks", 0.86).alias("null_ks_loc"), scale("ks", 0.005, 0.35).alias("null_ks_scale"), loc("l1", 0.4).alias("null_l1_loc"), scale("l1", 0.003, 0.2).alias("null_l1_scale"))
+    return null_tables(hist, cal, ("shape",))
+
+
+def null_stream(hist: DataFrame, cal: DataFrame, stream: str) -> DataFrame:
+    """Arrays over the scale grid for a derived stream: null_{stream}_mean_{loc,scale} and null_{stream}_acf_{loc,scale}."""
+    return null_tables(hist, cal, (stream,))
+
+
+def null_shape_moments(hist: DataFrame, cal: DataFrame) -> DataFrame:
+    """Arrays over the scale grid: null_skew_{loc,scale} and null_kurt_{loc,scale}."""
+    return null_tables(hist, cal, ("shape_moments",))
 
 
 def interpolated(table: str, width: int) -> Column:
@@ -292,28 +399,6 @@ def derived_streams(df: DataFrame) -> DataFrame:
     return df.withColumns({"a": F.abs("z"), "d": (F.col("x") - before) / F.col("sd"), "xs": ((F.col("x") < F.col("med")) != (before < F.col("med"))).cast("double")})
 
 
-def null_stream(hist: DataFrame, cal: DataFrame, stream: str) -> DataFrame:
-    """Arrays over the scale grid for a derived stream: null_{stream}_mean_{loc,scale} and null_{stream}_acf_{loc,scale}."""
-    rows = calibration.centred(hist, cal.select("id", "n_hist", "mu", "sd", "med"))
-    value = {"a": F.abs("z"), "d": F.coalesce(F.col("z") - previous("z"), F.lit(0.0)), "xs": F.coalesce(((F.col("x") < F.col("med")) != (previous("x") < F.col("med"))).cast("double"), F.lit(0.0))}[stream]
-    rows = rows.withColumn("v", value).withColumn("_l", F.coalesce(F.col("v") * previous("v"), F.lit(0.0)))
-    rows = with_running(rows, c1=F.col("v"), c2=F.col("v") ** 2, cl=F.col("_l"))
-    cols, aggs = {}, []
-    for g in GRID:
-        m = trailing("c1", g) / g
-        keep = _strided(hist, g, max(1, g // 8))
-        acf = clip((trailing("cl", g - 1) / float(g - 1) - m * m) / at_least(trailing("c2", g) / g - m * m, 1e-12), -1.0, 1.0)
-        cols |= {f"m{g}": F.when(keep, m), f"r{g}": F.when(keep, acf)}
-        aggs += [f(f"{s}{g}").alias(f"{s}{g}_{tag}") for s in ("m", "r") for f, tag in ((F.avg, "a"), (F.stddev_pop, "s"))]
-    sums = rows.withColumns(cols).groupBy("id").agg(F.max("n_hist").alias("n"), *aggs)
-    table = lambda s, tag, floor, default: _carried([(_usable(F.col("n"), g), at_least(f"{s}{g}_{tag}", floor) if floor else F.col(f"{s}{g}_{tag}")) for g in GRID], [default(g) for g in GRID])
-    return sums.select(
-        "id",
-        table("m", "a", None, lambda g: 0.0).alias(f"null_{stream}_mean_loc"), table("m", "s", 1e-4, lambda g: g**-0.5).alias(f"null_{stream}_mean_scale"),
-        table("r", "a", None, lambda g: 0.0).alias(f"null_{stream}_acf_loc"), table("r", "s", 1e-3, lambda g: g**-0.5).alias(f"null_{stream}_acf_scale"),
-    )
-
-
 def derived_windows(df: DataFrame, nulls: DataFrame | None, stream: str, widths=(50, 200)) -> DataFrame:
     """{stream}_nmz_w{W}, {stream}_nacf_w{W}, their scans and running maxima."""
     df = derived_streams(_with(df, nulls))
@@ -326,20 +411,6 @@ def derived_windows(df: DataFrame, nulls: DataFrame | None, stream: str, widths=
     return df.withColumns({f"rm_{stream}_scan_{s}": running_max(f"{stream}_scan_{s}") for s in ("mz", "acf")}).drop("_sum", *(f"_acf_w{w}" for w in widths))
 
 
-def null_shape_moments(hist: DataFrame, cal: DataFrame) -> DataFrame:
-    """Arrays over the scale grid: null_skew_{loc,scale} and null_kurt_{loc,scale}."""
-    rows = with_powers(calibration.centred(hist, cal.select("id", "n_hist", "mu", "sd")))
-    cols, aggs = {}, []
-    for g in GRID:
-        _, _, skew, kurt = _central(F.lit(float(g)), *(trailing(f"s{k}", g) for k in (1, 2, 3, 4)))
-        keep = _strided(hist, g, max(1, g // 8))
-        cols |= {f"sk{g}": F.when(keep, skew), f"ku{g}": F.when(keep, kurt)}
-        aggs += [f(f"{s}{g}").alias(f"{s}{g}_{tag}") for s in ("sk", "ku") for f, tag in ((F.avg, "a"), (F.stddev_pop, "s"))]
-    sums = rows.withColumns(cols).groupBy("id").agg(F.max("n_hist").alias("n"), *aggs)
-    table = lambda s, tag, floor, f: _carried([(_usable(F.col("n"), g), at_least(f"{s}{g}_{tag}", floor) if floor else F.col(f"{s}{g}_{tag}")) for g in GRID], [(f / g) ** 0.5 for g in GRID])
-    return sums.select("id", table("sk", "a", None, 0).alias("null_skew_loc"), table("sk", "s", 1e-3, 6).alias("null_skew_scale"), table("ku", "a", None, 0).alias("null_kurt_loc"), table("ku", "s", 1e-3, 24).alias("null_kurt_scale"))
-
-
 def shape_moment_windows(df: DataFrame, nulls: DataFrame | None, widths=(100, 200, 400, 800)) -> DataFrame:
     """hm{W}_nskew and hm{W}_nkurt in units of their null (0 below a fill of 8), scans and running maxima."""
     df = window_moments(_with(df, nulls), widths, ("skew", "kurt"))
@@ -352,14 +423,14 @@ def shape_moment_windows(df: DataFrame, nulls: DataFrame | None, widths=(100, 20
 
 def lrv_scaled(df: DataFrame, lrv: DataFrame) -> DataFrame:
     """cum_mean_z, ph_mean and the CUSUM maxima over the square root of the long-run variance, and its log."""
-    df = cusum_bank(page_hinkley(cumulative_moments(df.join(lrv, "id"))))
+    df = cusum_bank(page_hinkley(cumulative_moments(_beside(df, lrv))))
     named = {f"{c}_lrv": F.col(c) / F.sqrt("lrv") for c in ("cum_mean_z", "ph_mean", "cusum_absmax_k025", "cusum_absmax_k05", "cusum_absmax_k10")}
     return df.withColumns(named | {"log_lrv": F.log("lrv")})
 
 
 def with_pit(df: DataFrame, knots: DataFrame) -> DataFrame:
     """p: the value's place among the history's knots, (number at most x + 0.5) / (number + 1)."""
-    df = df.join(knots, "id")
+    df = _beside(df, knots)
     return df.withColumn("p", (F.size(F.filter("knots", lambda k: k <= F.col("x"))) + 0.5) / (F.size("knots") + 1.0))
 
 
@@ -383,6 +454,39 @@ def pit_windows(df: DataFrame, widths=(120, 480)) -> DataFrame:
     return df.withColumns({"xc_pit_mean_z": mean, "xc_pit_logvar": logvar, "xc_pit_skew": skew, "xc_pit_below": F.col("_bl") / F.col("n") - 0.5})
 
 
+def robust_windows(df: DataFrame, widths=(120, 480), lags=LAGS) -> DataFrame:
+    """On rz, the distance from the median in halves of the knots' middle 68 %: xw{W}_acf{k} less the history's, and xw{W}_cumslope, the window's mean.
+
+    Zero below a fill of 8; a lag needs more than two pairs.  Takes rows with ``knots`` and acf1_h to acf5_h.
+    """
+    m = F.size("knots")
+    low, high = F.get("knots", F.floor(0.159 * m).cast("int")), F.get("knots", F.least(m - 1, F.floor(0.841 * m).cast("int")))
+    df = df.withColumn("rz", (F.col("x") - F.col("med")) / at_least((high - low) / 2.0, 1e-9))
+    df = with_running(df, _a1=F.col("rz"), _a2=F.col("rz") ** 2)
+    df = df.withColumns({f"_l{k}": F.coalesce(F.col("rz") * previous("rz", k), F.lit(0.0)) for k in lags})
+    df = with_running(df, **{f"_q{k}": F.col(f"_l{k}") for k in lags})
+    for w in widths:
+        df = df.withColumns({"_m": trailing("_a1", w) / fill(w), "_s": trailing("_a2", w) / fill(w)} | {f"_w{k}": trailing(f"_q{k}", w - k) for k in lags})
+        v = at_least(F.col("_s") - F.col("_m") ** 2, 1e-12)
+        pairs = lambda k: fill(w) - k  # noqa: B023, E731
+        acf = lambda k: F.when(pairs(k) > 2, clip((F.col(f"_w{k}") / F.greatest(pairs(k), F.lit(1)) - F.col("_m") ** 2) / v, -1.0, 1.0)).otherwise(0.0)  # noqa: B023, E731
+        ready = lambda c: F.when(fill(w) >= 8, c).otherwise(0.0)  # noqa: B023, E731
+        df = df.withColumns({f"xw{w}_acf{k}": ready(acf(k) - F.col(f"acf{k}_h")) for k in lags} | {f"xw{w}_cumslope": ready(F.col("_m"))})
+    return df.drop("_a1", "_a2", "_m", "_s", *(f"{p}{k}" for p in ("_l", "_q", "_w") for k in lags))
+
+
+def constants(df: DataFrame) -> DataFrame:
+    """What stays the same for a series: null_smz64, null_slv64, null_sacf64, null_mem_slope, null_skurt128 (of the null tables) and kurt_h."""
+    at = lambda c, g: F.get(c, F.lit(GRID.index(g)))
+    slope = F.log(at_least(at("null_mz_scale", 256), 1e-6) / at_least(at("null_mz_scale", 16), 1e-6))
+    return df.withColumns({"null_smz64": at("null_mz_scale", 64), "null_slv64": at("null_lv_scale", 64), "null_sacf64": at("null_acf_scale", 64), "null_mem_slope": slope, "null_skurt128": at("null_kurt_scale", 128), "kurt_h": F.col("kurt")})
+
+
+def squashed_ewma(df: DataFrame, alpha: float = 0.05, kappa: float = 3.0) -> DataFrame:
+    """baseline: tanh of the size of the EWMA z-score over kappa, the plainest score there is."""
+    return ewma(df, alpha, "_e").withColumn("baseline", F.tanh(F.abs("_e") / kappa)).drop("_e")
+
+
 def turning_difference(df: DataFrame, rates: DataFrame | None) -> DataFrame:
     """zcr_d: the running share of sign changes among nonzero differences, less the history's.  It never forgets."""
     df = _with(df, rates).withColumn("_s", F.signum(F.col("x") - previous("x"))).withColumn("_s", F.when(F.col("_s") != 0, F.col("_s")))

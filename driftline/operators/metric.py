@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.operators.ranks import with_cell
+
 
 def step_auc(scores: DataFrame, *by: str) -> DataFrame:
     """Per step t (and ``by``): n_pos, n_neg, auc, weight of ``scores(t, score, y)``.
 
-    The Mann-Whitney statistic from average ranks, so pairs are never formed.  Steps with one class
-    have no row.
+    The Mann-Whitney statistic from average ranks, so pairs are never formed.  A step is ranked in cells of its
+    scores, each by itself; a positive is above all rows of the lower cells, so the cells' sums add up and no task
+    holds a whole step.  Steps with one class have no row.
     """
     keys = [*by, "t"]
-    step, tie = Window.partitionBy(*keys).orderBy("score"), Window.partitionBy(*keys, "score")
-    rank = F.rank().over(step) + (F.count("*").over(tie) - 1) / F.lit(2.0)
+    cells = with_cell(scores, "score")
+    order, tie = Window.partitionBy(*keys, "_cell").orderBy("score"), Window.partitionBy(*keys, "_cell", "score")
+    rank = F.rank().over(order) + (F.count("*").over(tie) - 1) / F.lit(2.0)
     pos = F.col("y") == 1
-    sums = scores.withColumn("r", rank).groupBy(*keys).agg(F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"), F.sum(F.when(pos, F.col("r"))).alias("r"))
-    sums = sums.filter("n_pos > 0 and n_neg > 0")
+    sums = cells.withColumn("r", rank).groupBy(*keys, "_cell").agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"), F.coalesce(F.sum(F.when(pos, F.col("r"))), F.lit(0.0)).alias("r"))
+    lower = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("r", F.col("r") + F.col("p") * F.coalesce(F.sum(F.col("p") + F.col("n")).over(lower), F.lit(0)))
+    sums = sums.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum("r").alias("r")).filter("n_pos > 0 and n_neg > 0")
     auc = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * F.col("n_neg"))
     return sums.select(*keys, "n_pos", "n_neg", auc.alias("auc"), (F.col("n_pos") * F.col("n_neg")).alias("weight"))
 

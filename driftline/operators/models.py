@@ -27,6 +27,43 @@ def boosted(train: DataFrame, rows: DataFrame, columns: list[str], rounds: int =
     return _scored(gbt.fit(assembled(train, columns)), assembled(rows, columns))
 
 
+def boosted_until(train: DataFrame, valid: DataFrame, rows: DataFrame, columns: list[str], rounds: int = 12, patience: int = 4, depth: int = 3, seed: int = 42) -> tuple[DataFrame, dict[int, float]]:
+    """(id, t, p) by the number of rounds with the best TS-AUC on ``valid``, and the TS-AUC by rounds.
+
+    All rounds are fitted once; every prefix of the trees is evaluated in one plan.  The search ends ``patience``
+    rounds after the last gain, so a late and lucky prefix isn't taken.
+    """
+    from driftline.operators import gates
+
+    gbt = GBTClassifier(labelCol="target", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed)
+    model = gbt.fit(assembled(train, columns))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        out, total = assembled(df, columns), F.lit(0.0)
+        for k, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+            out = tree.setPredictionCol(f"_tree{k}").transform(out)
+        for k, weight in enumerate(model.treeWeights):
+            total = total + weight * F.col(f"_tree{k}")
+            out = out.withColumn(f"_sum{k + 1}", total)
+        return out
+
+    auc = gates.evaluated(prefixes(valid).withColumn("y", F.col("target")), {str(k): F.col(f"_sum{k}") for k in range(1, rounds + 1)}, "rounds").collect()  # a row a round
+    by = {int(r["rounds"]): round(r["ts_auc"], 9) for r in auc}
+    best = 1
+    for k in range(2, rounds + 1):
+        if by.get(k, 0.5) > by.get(best, 0.5):
+            best = k
+        elif k - best >= patience:
+            break
+    return prefixes(rows).select("id", "t", (1 / (1 + F.exp(-2 * F.col(f"_sum{best}")))).alias("p")), by
+
+
+def regularised(train: DataFrame, rows: DataFrame, columns: list[str], rounds: int = 5, seed: int = 42) -> DataFrame:
+    """(id, t, p) of trees for wide banks: large leaves, a share of rows and of columns a tree."""
+    gbt = GBTClassifier(labelCol="target", weightCol="weight", maxIter=rounds, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.6", minInstancesPerNode=50, seed=seed)
+    return _scored(gbt.fit(assembled(train, columns)), assembled(rows, columns))
+
+
 def forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 20, seed: int = 42) -> DataFrame:
     rf = RandomForestClassifier(labelCol="target", weightCol="weight", numTrees=trees, maxDepth=6, seed=seed)
     return _scored(rf.fit(assembled(train, columns)), assembled(rows, columns))

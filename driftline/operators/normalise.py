@@ -59,7 +59,7 @@ def by_zscore(scores: DataFrame) -> DataFrame:
 
 
 def by_normal_quantile(scores: DataFrame) -> DataFrame:
-    return by_rank(scores).withColumn("gauss", normal_quantile("rank_norm"))
+    return by_rank(scores).withColumn("gauss", normal_quantile(F.col("rank_norm")))
 
 
 def by_sigmoid(scores: DataFrame) -> DataFrame:

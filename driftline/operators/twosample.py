@@ -75,7 +75,7 @@ def permutation_entropy(rows: DataFrame) -> DataFrame:
     return counts.withColumn("s", share).groupBy("id").agg((-F.sum(F.col("s") * F.log("s")) / float(np.log(6))).alias("perm_entropy"))
 
 
-def matched_filters(df: DataFrame, lengths=(20, 40)) -> DataFrame:
+def matched_filters(df: DataFrame, lengths=(20, 40, 80, 160)) -> DataFrame:
     """Per length L at each online row: edge (later half's mean less the earlier's, scaled), var_env (log variance ratio of the halves), block (window sum over sqrt L) and ramp (correlation with a rising line); 0 until L rows are there."""
     df = with_running(df, c0=F.col("z"), c2=F.col("z") ** 2, ct=F.col("z") * F.col("t"))
     for length in lengths:

@@ -10,15 +10,12 @@ from driftline.operators.features import WINDOWS
 from driftline.sources.series import history
 
 #: Columns of the calibration and of intermediate steps that are no features.
-HELPERS = frozenset("x z n n_hist mu sd med skew kurt acf2_h phi dvar_h dabs_h edges x_last e a d xs p u lo hi bl knots lrv zcr_h zc".split())
+HELPERS = frozenset("x z n n_hist mu sd med skew kurt phi dvar_h dabs_h edges x_last e a d xs p u lo hi bl knots lrv zc rz".split())
 
 
 def nulls(hist: DataFrame, cal: DataFrame) -> DataFrame:
     """All null tables of a series in one row."""
-    out = features.null_moments(hist, cal).join(features.null_shape(hist, cal), "id").join(features.null_shape_moments(hist, cal), "id")
-    for stream in ("a", "d", "xs"):
-        out = out.join(features.null_stream(hist, cal, stream), "id")
-    return out
+    return features.null_tables(hist, cal, ("moments", "shape", "shape_moments", "a", "d", "xs"))
 
 
 def feature_bank(series: DataFrame, widths=WINDOWS) -> DataFrame:
@@ -29,7 +26,7 @@ def feature_bank(series: DataFrame, widths=WINDOWS) -> DataFrame:
     """
     hist = history(series)
     cal = calibration.full(hist)
-    scalars = cal.join(calibration.crossing_rate(hist, cal), "id").join(calibration.turning_rate(hist), "id").join(calibration.long_run_variance(hist, cal), "id").join(calibration.knots(hist), "id").join(nulls(hist, cal), "id")
+    scalars = cal.drop("acf1_h", "acf2_h").join(calibration.autocorrelation(hist, 5), "id").join(calibration.crossing_rate(hist, cal), "id").join(calibration.turning_rate(hist), "id").join(calibration.long_run_variance(hist, cal), "id").join(calibration.knots(hist), "id").join(nulls(hist, cal), "id")
     df = features.prepared(series, scalars)
     df = features.cumulative_moments(features.time_features(df)).drop("s1", "s2", "s3", "s4")
     df = features.ewma(features.ewma(df, 0.05, "ewma_z_fast"), 0.2, "ewma_z_slow")
@@ -42,6 +39,6 @@ def feature_bank(series: DataFrame, widths=WINDOWS) -> DataFrame:
     df = features.shape_moment_windows(df, None)
     df = df.withColumns({f"{c}_lrv": F.col(c) / F.sqrt("lrv") for c in ("cum_mean_z", "ph_mean", "cusum_absmax_k025", "cusum_absmax_k05", "cusum_absmax_k10")} | {"log_lrv": F.log("lrv")})
     df = features.pit_windows(df.withColumn("p", (F.size(F.filter("knots", lambda k: k <= F.col("x"))) + 0.5) / (F.size("knots") + 1.0)))
-    df = features.turning_difference(features.window_acf(df, (120, 480), (1, 2, 3, 4, 5), name="xw{w}_acf{k}"), None)
-    keep = [c for c in df.columns if c not in HELPERS and not c.startswith(("_", "null_"))]
+    df = features.constants(features.squashed_ewma(features.turning_difference(features.robust_windows(df), None)))
+    keep = [c for c in df.columns if c not in HELPERS and not c.startswith("_") and not c.endswith(("_loc", "_scale"))]
     return df.select("id", "t", *[c for c in keep if c not in ("id", "t")])

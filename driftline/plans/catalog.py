@@ -81,7 +81,7 @@ add("kfold_by_series", lambda spark, d: metric.fold(src.series_q(spark, d)).grou
 add("first_positive_step", lambda spark, d: metric.first_positive(labelled(spark, d)).withColumn("tau", F.col("tau").cast("double")), f"WITH {SERIES} SELECT id, t, CAST(min(CASE WHEN target = 1 THEN t END) OVER (PARTITION BY id) AS DOUBLE) AS tau FROM lab")
 add("shard_counts", lambda spark, d: src.series_q(spark, d).groupBy(F.pmod("id", F.lit(4)).alias("shard")).agg(F.count("*").alias("rows")), f"WITH {SERIES} SELECT id % 4 AS shard, count(*) AS rows FROM s GROUP BY 1")
 add("id_subset_scan", lambda spark, d: src.scan(spark, d, "lineitem", ["l_suppkey", "l_quantity"], ("l_suppkey", [1, 3, 5])).groupBy("l_suppkey").agg(F.count("*").alias("rows"), F.sum("l_quantity").alias("total")), "SELECT l_suppkey, count(*) AS rows, sum(l_quantity) AS total FROM lineitem WHERE l_suppkey IN (1, 3, 5) GROUP BY 1")
-add("table_shape", lambda spark, d: src.describe_file(src.scan(spark, d, "lineitem")), "SELECT count(*) AS rows, 11 AS columns FROM lineitem")
+add("table_shape", lambda spark, d: src.describe_file(src.scan(spark, d, "lineitem")), "SELECT count(*) AS rows, CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS INTEGER) AS columns FROM lineitem")
 # ---- calibration
 
 series_query("calib_moments", lambda s: calibration.moments(src.history(s)), ["id", "n_hist"], ["mu", "sd", "med", "skew", "kurt"], rounded("SELECT * FROM c0 JOIN c1 USING (id)", "id, n_hist", ["mu", "sd", "med", "skew", "kurt"], CAL))
@@ -170,25 +170,19 @@ null_query("null_ks_table", lambda h: features.null_shape(h, calibration.full(h)
 def nulls_of(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     h = src.history(s)
     cal = calibration.full(h)
-    return features.prepared(s, cal), features.null_moments(h, cal).join(features.null_shape(h, cal), "id")
+    return features.prepared(s, cal), features.null_tables(h, cal, ("moments", "shape"))
 
 
 series_query(
     "null_interp", lambda s: (lambda df, n: df.join(n, "id").withColumns({f"mz_scale_{w}": features.interpolated("null_mz_scale", w) for w in WINDOWS}))(*nulls_of(s)), ["id", "t"], [f"mz_scale_{w}" for w in WINDOWS],
     rounded("SELECT id, t, " + ", ".join(f"{sql.interp('null_mz_scale', w)} AS mz_scale_{w}" for w in WINDOWS) + " FROM z JOIN nm USING (id)", "id, t", [f"mz_scale_{w}" for w in WINDOWS], f"{CAL}, {sql.HZ}, nm AS ({sql.NULL_MOMENTS})"),
 )
-_small = (25, 100)
-_cw, _cn = sql.calibrated(_small)
-series_query("calibrated_windows", lambda s: features.calibrated_windows(*nulls_of(s), _small), ["id", "t"], _cn, rounded("SELECT * FROM cw", "id, t", _cn, _cw))
-_picks = {s: "greatest(0, " + ", ".join((f"abs(w{w}_{s})" if s in ("nmz", "nlv", "nacf") else f"w{w}_{s}") for w in _small) + ")" for s in ("nmz", "nlv", "nacf", "nks", "nl1")}
-_scans = lambda s: features.scans(features.calibrated_windows(*nulls_of(s), _small), _small)
+_cw, _cn = sql.calibrated()
+series_query("calibrated_windows", lambda s: features.calibrated_windows(*nulls_of(s)), ["id", "t"], _cn, rounded("SELECT * FROM cw", "id, t", _cn, _cw))
+_picks = {s: "greatest(0, " + ", ".join((f"abs(w{w}_{s})" if s in ("nmz", "nlv", "nacf") else f"w{w}_{s}") for w in WINDOWS) + ")" for s in ("nmz", "nlv", "nacf", "nks", "nl1")}
+_scans = lambda s: features.scans(features.calibrated_windows(*nulls_of(s)))
 series_query("scan_max", _scans, ["id", "t"], [f"scan_{s}" for s in _picks], rounded("SELECT id, t, " + ", ".join(f"{e} AS scan_{s}" for s, e in _picks.items()) + " FROM cw", "id, t", [f"scan_{s}" for s in _picks], _cw))
 series_query("scan_running_max", _scans, ["id", "t"], [f"rm_scan_{s}" for s in _picks], rounded("SELECT id, t, " + ", ".join(f"max({e}) OVER {CUM} AS rm_scan_{s}" for s, e in _picks.items()) + " FROM cw", "id, t", [f"rm_scan_{s}" for s in _picks], _cw))
-# the same over every window, where DuckDB is too slow
-_every = lambda s: features.calibrated_windows(*nulls_of(s))
-series_query("calibrated_windows_all", _every, ["id", "t"], sql.calibrated()[1])
-series_query("scan_max_all", lambda s: features.scans(_every(s)), ["id", "t"], [f"scan_{s}" for s in _picks])
-series_query("scan_running_max_all", lambda s: features.scans(_every(s)), ["id", "t"], [f"rm_scan_{s}" for s in _picks])
 
 # ---- prewhitened, derived, shape-moment, long-run-variance, distribution-free blocks
 
@@ -217,18 +211,17 @@ for _name, _st in (("derived_abs_z", "a"), ("derived_dz", "d"), ("derived_crossi
                 f"{CAL}, hv AS (SELECT *, v * lag(v) OVER ({W}) AS lv FROM (SELECT id, t, n_hist, {_hi} AS v FROM cz)), nv AS ({_null}), dv AS (SELECT *, v * lag(v) OVER ({W}) AS l1 FROM (SELECT z.*, nv.* EXCLUDE (id), {_on} AS v FROM z JOIN nv USING (id)))"),
     )
 
-_hm = (100, 200)
-_hnull = sql.nulls("cz", {"skew": (lambda g: sql.moment_columns(sql.Z, str(g), win(g))["skew"], 8, sql._avg, sql._std, 1e-3, lambda g: 0.0, lambda g: (6 / g) ** 0.5), "kurt": (lambda g: sql.moment_columns(sql.Z, str(g), win(g))["kurt"], 8, sql._avg, sql._std, 1e-3, lambda g: 0.0, lambda g: (24 / g) ** 0.5)})
+_hm = (100, 200, 400, 800)
+HNULL = sql.nulls("cz", {"skew": (lambda g: sql.moment_columns(sql.Z, str(g), win(g))["skew"], 8, sql._avg, sql._std, 1e-3, lambda g: 0.0, lambda g: (6 / g) ** 0.5), "kurt": (lambda g: sql.moment_columns(sql.Z, str(g), win(g))["kurt"], 8, sql._avg, sql._std, 1e-3, lambda g: 0.0, lambda g: (24 / g) ** 0.5)})
 _hcols = {}
 for _w in _hm:
     _mm = sql.moment_columns(sql.Z, f"least(n, {_w})", win(_w))
     _hcols |= {f"hm{_w}_n{k}": f"CASE WHEN least(n, {_w}) >= 8 THEN (({_mm[k]}) - {sql.interp(f'null_{k}_loc', _w)}) / {sql.interp(f'null_{k}_scale', _w)} ELSE 0 END" for k in ("skew", "kurt")}
-_hscan = {f"hm_scan_{k}": f"greatest(abs(hm100_n{k}), abs(hm200_n{k}))" for k in ("skew", "kurt")}
+_hscan = {f"hm_scan_{k}": "greatest(" + ", ".join(f"abs(hm{w}_n{k})" for w in _hm) + ")" for k in ("skew", "kurt")}
 series_query(
     "hm_skew_kurt", lambda s: (lambda h: (lambda cal: features.shape_moment_windows(features.prepared(s, cal), features.null_shape_moments(h, cal), _hm))(calibration.full(h)))(src.history(s)), ["id", "t"], [*_hcols, *_hscan],
-    rounded("SELECT id, t, " + ", ".join([*_hcols, *(f"{e} AS {c}" for c, e in _hscan.items())]) + " FROM (SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _hcols.items()) + " FROM (SELECT z.* EXCLUDE (skew, kurt), nh.* EXCLUDE (id) FROM z JOIN nh USING (id)))", "id, t", [*_hcols, *_hscan], f"{CAL}, nh AS ({_hnull})", 5), 5,
+    rounded("SELECT id, t, " + ", ".join([*_hcols, *(f"{e} AS {c}" for c, e in _hscan.items())]) + " FROM (SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _hcols.items()) + " FROM (SELECT z.* EXCLUDE (skew, kurt), nh.* EXCLUDE (id) FROM z JOIN nh USING (id)))", "id, t", [*_hcols, *_hscan], f"{CAL}, nh AS ({HNULL})", 5), 5,
 )
-series_query("hm_skew_kurt_all", lambda s: (lambda h: (lambda cal: features.shape_moment_windows(features.prepared(s, cal), features.null_shape_moments(h, cal)))(calibration.full(h)))(src.history(s)), ["id", "t"], [*(f"hm{w}_n{k}" for w in (100, 200, 400, 800) for k in ("skew", "kurt")), *_hscan], digits=5)
 _lrv = ["cum_mean_z_lrv", "ph_mean_lrv", "log_lrv", "cusum_absmax_k05_lrv"]
 series_query(
     "lrv_scaled", lambda s: (lambda h: (lambda cal: features.lrv_scaled(features.prepared(s, cal), calibration.long_run_variance(h, cal)))(calibration.full(h)))(src.history(s)), ["id", "t"], _lrv,
@@ -237,21 +230,19 @@ series_query(
 KNOTS = "kn AS (SELECT id, CASE WHEN len(xs) > 256 THEN list_transform(range(0, 256), lambda k: xs[1 + CAST(floor(k * (len(xs) - 1) / 255.0::DOUBLE) AS BIGINT)]) ELSE xs END AS knots FROM (SELECT id, list(x ORDER BY x) AS xs FROM hist GROUP BY id))"
 PIT = "pt AS (SELECT z.*, (len(list_filter(knots, lambda k: k <= x)) + 0.5::DOUBLE) / (len(knots) + 1) - 0.5::DOUBLE AS u FROM z JOIN kn USING (id))"
 _pcols = {}
-for _w, _p in ((120, "xw120_pit"), (None, "xc_pit")):
+for _w, _p in ((120, "xw120_pit"), (480, "xw480_pit"), (None, "xc_pit")):
     _o, _f = (win(_w), f"least(n, {_w})") if _w else (CUM, "n")
     _a1, _v = f"avg(u) OVER {_o}", f"greatest(avg(u * u) OVER {_o} - (avg(u) OVER {_o}) ** 2, 1e-12)"
     _ready = (lambda e: f"CASE WHEN n >= 8 THEN {e} ELSE 0 END") if _w else (lambda e: e)
     _pcols |= {f"{_p}_mean_z": _ready(f"{_a1} * sqrt(12.0::DOUBLE * {_f})"), f"{_p}_logvar": _ready(f"ln({_v} * 12)"), f"{_p}_skew": _ready(f"CASE WHEN {_v} > 1e-12 THEN (avg(u ** 3) OVER {_o} - 3 * {_a1} * (avg(u * u) OVER {_o}) + 2 * ({_a1}) ** 3) / ({_v}) ** 1.5 ELSE 0 END"), f"{_p}_below": _ready(f"avg(CASE WHEN u < 0 THEN 1.0::DOUBLE ELSE 0 END) OVER {_o} - 0.5")}
     if _w:
         _pcols |= {f"{_p}_tail_lo": _ready(f"avg(CASE WHEN u < -0.25 THEN 1.0::DOUBLE ELSE 0 END) OVER {_o} - 0.25"), f"{_p}_tail_hi": _ready(f"avg(CASE WHEN u > 0.25 THEN 1.0::DOUBLE ELSE 0 END) OVER {_o} - 0.25")}
-series_query("pit_knots_windows", lambda s: features.pit_windows(features.with_pit(features.prepared(s), calibration.knots(src.history(s))), (120,)), ["id", "t"], list(_pcols), rounded("SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _pcols.items()) + " FROM pt", "id, t", list(_pcols), f"{CAL}, {KNOTS}, {PIT}", 5), 5)
-series_query("pit_knots_windows_all", lambda s: features.pit_windows(features.with_pit(features.prepared(s), calibration.knots(src.history(s)))), ["id", "t"], [*_pcols, *(c.replace("xw120", "xw480") for c in _pcols if "xw120" in c)], digits=5)
+series_query("pit_knots_windows", lambda s: features.pit_windows(features.with_pit(features.prepared(s), calibration.knots(src.history(s)))), ["id", "t"], list(_pcols), rounded("SELECT id, t, " + ", ".join(f"{e} AS {c}" for c, e in _pcols.items()) + " FROM pt", "id, t", list(_pcols), f"{CAL}, {KNOTS}, {PIT}", 5), 5)
 series_query(
     "pit_midrank_stream", features.midrank_stream, ["id", "t"], ["pit", "pit_c", "surprise"],
     rounded("SELECT id, t, p AS pit, 2 * p - 1 AS pit_c, -ln(2 * least(p, 1 - p) + 1 / nh) AS surprise FROM (SELECT id, t, nh, least(greatest((le + lt) / 2.0::DOUBLE / nh, 0.5 / nh), 1 - 0.5 / nh) AS p FROM (SELECT o.id, o.t, count(*)::DOUBLE AS nh, count(*) FILTER (h.x <= o.x) AS le, count(*) FILTER (h.x < o.x) AS lt FROM onl o JOIN hist h USING (id) GROUP BY o.id, o.t))", "id, t", ["pit", "pit_c", "surprise"], SERIES),
 )
-online_query("multilag_acf", lambda df: features.window_acf(df, (120,), (1, 2, 3, 4, 5)), [f"w120_acf{k}" for k in range(1, 6)], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', 120, k)} AS w120_acf{k}" for k in range(1, 6)) + f" FROM {LAGGED}")
-online_query("multilag_acf_all", lambda df: features.window_acf(df, (120, 480), (1, 2, 3, 4, 5)), [f"w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', w, k)} AS w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)) + f" FROM {LAGGED}")
+online_query("multilag_acf", lambda df: features.window_acf(df, (120, 480), (1, 2, 3, 4, 5)), [f"w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)], "SELECT id, t, " + ", ".join(f"{sql.acf_expr('z', w, k)} AS w{w}_acf{k}" for w in (120, 480) for k in range(1, 6)) + f" FROM {LAGGED}")
 TURNS = f"""SELECT id, t, CASE WHEN sum(pair) OVER {CUM} > 0 THEN sum(pair * turn) OVER {CUM} / (sum(pair) OVER {CUM}) - zcr_h ELSE 0 END AS zcr_d FROM (
   SELECT id, t, CASE WHEN s <> 0 AND b IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END AS pair, CASE WHEN s <> b THEN 1 ELSE 0 END AS turn FROM (
     SELECT id, t, s, last_value(nullif(s, 0) IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT id, t, sign(x - lag(x) OVER ({W})) AS s FROM z))) JOIN tr USING (id)"""
@@ -286,7 +277,7 @@ series_query("iqr_log_ratio", twosample.iqr_log_ratio, ["id"], ["iqr_log_ratio"]
 series_query("hurst_slope", lambda s: twosample.hurst(src.history(s)), ["id"], ["hurst"], rounded("SELECT id, regr_slope(ly, lx) AS hurst FROM (" + " UNION ALL ".join(f"SELECT id, ln({k}) AS lx, ln(greatest(stddev_pop(d), 1e-12)) AS ly FROM (SELECT id, x - lag(x, {k}) OVER ({W}) AS d FROM hist) GROUP BY id" for k in (2, 4, 8, 16, 32)) + ") GROUP BY id", "id", ["hurst"], SERIES))
 series_query("perm_entropy", lambda s: twosample.permutation_entropy(src.history(s)), ["id"], ["perm_entropy"], rounded(f"SELECT id, -sum(p * ln(p)) / {sql.LOG6!r} AS perm_entropy FROM (SELECT id, count(*) / sum(count(*)) OVER (PARTITION BY id) AS p FROM (SELECT id, lag(x, 2) OVER ({W}) AS a, lag(x) OVER ({W}) AS b, x FROM hist) WHERE a IS NOT NULL GROUP BY id, a <= b, b <= x, a <= x) GROUP BY id", "id", ["perm_entropy"], SERIES))
 _mf = {}
-for _L in (20, 40):
+for _L in (20, 40, 80, 160):
     _h = _L // 2
     _early = f"({W} ROWS BETWEEN {_L - 1} PRECEDING AND {_h} PRECEDING)"
     _rdy = lambda e, L=_L: f"CASE WHEN n >= {L} THEN {e} ELSE 0 END"
@@ -319,10 +310,8 @@ add("embedding_mean_pool", lambda spark, d: twosample.pooled_mean(src.scan(spark
 online_query("cum_llr", detectors.cumulative_ratio, ["llr"], f"SELECT id, t, sum(-((z - 1) ** 2) / 2 + z * z / 2) OVER {CUM} AS llr FROM z")
 add("hazard_cumprob", lambda spark, d: rounding(detectors.hazard_probability(features.prepared(src.series_q(spark, d)).withColumn("h", F.lit(0.02) / (1 + F.exp(-F.abs("z"))))), ["id", "t"], ["p_break"]), rounded(f"SELECT id, t, 1 - exp(sum(ln(1 - 0.02 / (1 + exp(-abs(z))))) OVER {CUM}) AS p_break FROM z", "id, t", ["p_break"], CAL))
 KDE = """hk AS (SELECT id, greatest(-8, least(8, z)) AS z FROM cz), ka AS (SELECT id, zs, len(zs) AS m, greatest(0.05, 1.06 * sp * len(zs) ** -0.2) AS bw FROM (SELECT id, list(z ORDER BY z) AS zs, stddev_pop(z) AS sp FROM hk GROUP BY id)
-), kt AS (SELECT id, bw, unnest(CASE WHEN m > 64 THEN list_transform(range(0, 64), lambda k: zs[1 + CAST(floor(k * (m - 1) / 63.0::DOUBLE) AS BIGINT)]) ELSE zs END) AS a FROM ka)"""
+), kt AS (SELECT id, bw, unnest(CASE WHEN m > 512 THEN list_transform(range(0, 512), lambda k: zs[1 + CAST(floor(k * (m - 1) / 511.0::DOUBLE) AS BIGINT)]) ELSE zs END) AS a FROM ka)"""
 series_query("kde_logp", lambda s: detectors.kernel_density(features.prepared(s), src.history(s)), ["id", "t"], ["kde_logp", "kde_cum", "kde_trail"], rounded(f"SELECT id, t, l AS kde_logp, avg(l) OVER {CUM} AS kde_cum, avg(l) OVER {win(128)} AS kde_trail FROM (SELECT z.id, z.t, mx + ln(sum(exp(g - mx))) - ln(count(*) * any_value(bw) * sqrt(2 * pi())) AS l FROM (SELECT *, max(g) OVER (PARTITION BY id, t) AS mx FROM (SELECT z.id, z.t, -0.5 * ((greatest(-8, least(8, z)) - a) / bw) ** 2 AS g, bw FROM z JOIN kt USING (id))) z GROUP BY id, t, mx)", "id, t", ["kde_logp", "kde_cum", "kde_trail"], f"{CAL}, {KDE}"))
-KDE512 = KDE.replace("m > 64", "m > 512").replace("range(0, 64)", "range(0, 512)").replace("/ 63.0", "/ 511.0")
-series_query("kde_logp_512", lambda s: detectors.kernel_density(features.prepared(s), src.history(s), most=512), ["id", "t"], ["kde_logp", "kde_cum", "kde_trail"], rounded(f"SELECT id, t, l AS kde_logp, avg(l) OVER {CUM} AS kde_cum, avg(l) OVER {win(128)} AS kde_trail FROM (SELECT z.id, z.t, mx + ln(sum(exp(g - mx))) - ln(count(*) * any_value(bw) * sqrt(2 * pi())) AS l FROM (SELECT *, max(g) OVER (PARTITION BY id, t) AS mx FROM (SELECT z.id, z.t, -0.5 * ((greatest(-8, least(8, z)) - a) / bw) ** 2 AS g, bw FROM z JOIN kt USING (id))) z GROUP BY id, t, mx)", "id, t", ["kde_logp", "kde_cum", "kde_trail"], f"{CAL}, {KDE512}"))
 _alts = ", ".join(f"({k}, {a}::DOUBLE, {r}::DOUBLE)" for k, (a, r) in enumerate(detectors.ALTERNATIVES))
 SR = f"""WITH RECURSIVE {CAL}, al(k, dl, rh) AS (VALUES {_alts}), lr AS MATERIALIZED (SELECT id, t, k, -ln(rh) - (z - dl) ** 2 / (2 * rh * rh) + z * z / 2 AS l FROM z, al),
 r AS (SELECT id, CAST(-1 AS BIGINT) AS t, k, -50.0::DOUBLE AS o FROM (SELECT DISTINCT id, k FROM lr)
@@ -378,7 +367,7 @@ _gr = [("1", "1"), ("1", "a"), ("1", "b"), ("a", "a"), ("a", "b"), ("b", "b")]
 _gn = ["g00", "g01", "g02", "g11", "g12", "g22", "y0", "y1", "y2"]
 add("ridge_gram", lambda spark, d: rounding(blend.gram(members(spark, d), ["a", "b"], "y"), [], _gn, 2), f"WITH {MEMBERS} SELECT " + ", ".join(f"round(sum({p} * {q})::DOUBLE, 2) AS {n}" for (p, q), n in zip(_gr, _gn)) + ", " + ", ".join(f"round(sum({p} * (2 * y - 1))::DOUBLE, 2) AS {n}" for p, n in (("1", "y0"), ("a", "y1"), ("b", "y2"))) + " FROM mb")
 add("missing_fill_median", lambda spark, d: (lambda m: blend.fill_missing(m.select("id", "t", "a"), m.filter("t % 3 != 0").select("id", "t", "b"), "b"))(members(spark, d)), f"WITH {MEMBERS}, k AS (SELECT id, t, b FROM mb WHERE t % 3 <> 0) SELECT mb.id, mb.t, a, coalesce(k.b, (SELECT median(b) FROM k)) AS b FROM mb LEFT JOIN k USING (id, t)")
-add("rank_mean_blend", lambda spark, d: rounding(blend.rank_mean(members(spark, d), ["a", "b"]), ["id", "t"], ["rank_mean"]), f"WITH {MEMBERS} SELECT id, t, round((rank() OVER (PARTITION BY t ORDER BY a) + (count(*) OVER (PARTITION BY t, a) - 1) / 2.0::DOUBLE + rank() OVER (PARTITION BY t ORDER BY b) + (count(*) OVER (PARTITION BY t, b) - 1) / 2.0::DOUBLE) / 2, 6) AS rank_mean FROM mb")
+add("rank_mean_blend", lambda spark, d: rounding(blend.rank_mean(members(spark, d), ["a", "b"]), ["id", "t"], ["rank_mean"]), f"WITH {MEMBERS} SELECT id, t, round((rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE + rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE) / 2, 6) AS rank_mean FROM mb")
 
 # ---- models and nets: rows only, held against NumPy and by their quality in tests
 
@@ -401,12 +390,16 @@ add("synthetic_series", lambda spark, d: synthesis.generate(spark, 50))
 add("feature_bank", lambda spark, d: feature_bank(src.series_q(spark, d)))
 
 
-def stream_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The online detector as a streaming query over the event file."""
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The event file as a stream of (id, seq, x)."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: a stream's plain path has to be a folder
-    rows = rows.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("bigint").cast("double").alias("x"))
-    return rounding(online.run_available(online.detect(rows, src.EVENT_HISTORY)), ["id", "t"], ["score"])
+    return rows.select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), F.round(F.col("value") * 100).cast("bigint").cast("double").alias("x"))
+
+
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The online detector as a streaming query over the event file."""
+    return rounding(online.run_available(online.detect(event_stream(spark, d), src.EVENT_HISTORY)), ["id", "t"], ["score"])
 
 
 EVENTS = """ev AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS time, CAST(round(value * 100) AS DOUBLE) AS x FROM events

@@ -100,3 +100,9 @@ def write_report(df: DataFrame, path: str) -> None:
 def describe_file(df: DataFrame) -> DataFrame:
     """Rows and columns of a table, from Parquet's metadata where that suffices."""
     return df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"))
+
+
+def describe_columns(df: DataFrame) -> DataFrame:
+    """(position, name, type) of a table's columns, from its metadata."""
+    rows = [(k, f.name, f.dataType.simpleString()) for k, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "position int, name string, type string")

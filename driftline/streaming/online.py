@@ -31,8 +31,11 @@ def step(state: tuple, x: float, history: int, k: float) -> tuple[tuple, float |
     return (n + 1, s1, s2, up, down, top), 1 - math.exp(-top / math.sqrt(n - history + 1))
 
 
-def detect(stream: DataFrame, history: int = 32, k: float = 0.5) -> DataFrame:
-    """(id, t, score) of a streaming ``(id, seq, x)``; rows of one trigger are taken in order of seq."""
+def detect(stream: DataFrame, history: int = 32, k: float = 0.5, announce: bool = False) -> DataFrame:
+    """(id, t, score) of a streaming ``(id, seq, x)``; rows of one trigger are taken in order of seq.
+
+    With ``announce`` a series yields a record with t -1 and no score once its history is complete.
+    """
 
     def run(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else (0, 0.0, 0.0, 0.0, 0.0, 0.0)
@@ -41,12 +44,33 @@ def detect(stream: DataFrame, history: int = 32, k: float = 0.5) -> DataFrame:
             now, score = step(now, float(x), history, k)
             if score is not None:
                 rows.append((key[0], now[0] - 1 - history, score))
+            elif announce and now[0] == history:
+                rows.append((key[0], -1, None))
         state.update(now)
-        yield pd.DataFrame(rows, columns=["id", "t", "score"])
+        yield pd.DataFrame(rows, columns=["id", "t", "score"]).astype({"score": "float64"})
 
     return stream.groupBy("id").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def trailing_means(stream: DataFrame, width: int) -> DataFrame:
+    """(id, t, mean) over the last ``width`` values of a streaming ``(id, seq, x)``: a window by count, which time windows can't be.
+
+    State per series is the window's values, so it does not grow with the stream.
+    """
+
+    def run(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        rows = []
+        for x in pd.concat(list(chunks)).sort_values("seq").x:
+            held = (held + [float(x)])[-width:]
+            rows.append((key[0], n, sum(held) / len(held)))
+            n += 1
+        state.update((held, n))
+        yield pd.DataFrame(rows, columns=["id", "t", "mean"])
+
+    return stream.groupBy("id").applyInPandasWithState(run, "id long, t long, mean double", "held array<double>, n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_available(scores: DataFrame) -> DataFrame:
     """Run a streaming query over all that its source has now, and read its output table."""
     import tempfile

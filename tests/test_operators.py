@@ -163,7 +163,7 @@ def test_shiryaev_roberts_and_hmm(table, data):
 
 
 def test_kernel_density(table, data):
-    df = detectors.kernel_density(features.prepared(table), src.history(table)).toPandas()
+    df = detectors.kernel_density(features.prepared(table), src.history(table), most=64).toPandas()
     h, o = parts(data, 0)
     z = np.sort(np.clip((h - h.mean()) / h.std(ddof=1), -8, 8))
     bw = max(0.05, 1.06 * z.std() * len(z) ** -0.2)
@@ -356,7 +356,7 @@ def test_the_kernel_density_query_takes_the_whole_history(spark):
     z, v = np.clip((h - h.mean()) / h.std(ddof=1), -8, 8), np.clip((o - h.mean()) / h.std(ddof=1), -8, 8)
     bw = max(0.05, 1.06 * z.std() * len(z) ** -0.2)
     want = np.log(np.exp(-0.5 * ((v[:, None] - z[None]) / bw) ** 2).sum(axis=1) / (len(z) * bw * math.sqrt(2 * math.pi)))
-    got = catalog.QUERIES["kde_logp_512"](spark, d).filter("id = 1").orderBy("t").toPandas().kde_logp
+    got = catalog.QUERIES["kde_logp"](spark, d).filter("id = 1").orderBy("t").toPandas().kde_logp
     assert 64 < len(h) <= 512 and np.allclose(got, want, atol=2e-6)
 
 
