@@ -64,6 +64,22 @@ class DiskQueue:
         return heapq.heappop(self.heap)
 
 
+class _Writer:
+    """Rows of two integers, written a block at a time."""
+
+    def __init__(self, out, block: int = 1 << 14):
+        self.out, self.block, self.rows = out, block, []
+
+    def put(self, row: tuple[int, int]) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.block:
+            self.flush()
+
+    def flush(self) -> None:
+        np.array(self.rows, dtype=np.int64).tofile(self.out)
+        self.rows = []
+
+
 class _Prefixes:
     """Smallest common prefix since the last entry queued for each character."""
 
@@ -109,6 +125,7 @@ def _induce(text, small: np.ndarray, sampled, folder: str, room: int, limit: int
     near, count, last = _Prefixes(limit, unique), 0, None
     spill = os.path.join(folder, f"left-{id(lefts)}")
     with open(spill, "wb") as out:
+        written = _Writer(out)
         sampled = iter(sampled)
         star = next(sampled, None)
         while star is not None or lefts.peek() is not None:
@@ -117,7 +134,7 @@ def _induce(text, small: np.ndarray, sampled, folder: str, room: int, limit: int
                 c, _, i, lcp = lefts.pop()
                 if last is not None and (text[last] != c or small[last]):
                     lcp = _common(text, last, i, limit)
-                np.array([i, lcp], dtype=np.int64).tofile(out)
+                written.put((i, lcp))
             else:
                 i, star = star, next(sampled, None)
                 lcp = 0 if last is None else _common(text, last, i, limit)
@@ -126,6 +143,7 @@ def _induce(text, small: np.ndarray, sampled, folder: str, room: int, limit: int
             if i and not small[i - 1]:
                 lefts.push((int(text[i - 1]), count, i - 1, near.queued(int(text[i - 1]))))
                 count += 1
+        written.flush()
     left = np.memmap(spill, dtype=np.int64, mode="r").reshape(-1, 2) if os.path.getsize(spill) else np.zeros((0, 2), dtype=np.int64)
     rights, near, count, last, at = DiskQueue(folder, 4, room), _Prefixes(limit, unique), 0, None, len(left)
     rights.push((-int(text[-1]), -1, len(text) - 1, 0))  # the last character's suffix follows from no other
@@ -197,8 +215,10 @@ def suffix_order(texts: list[bytes], limit: int = 100, room: int = 1 << 18):
         text = np.memmap(path, dtype=np.int32, mode="r")
         out = os.path.join(folder, "order")
         with open(out, "wb") as f:
-            for i, lcp in _sorted(text, folder, room, limit, n):
-                np.array([i, lcp], dtype=np.int64).tofile(f)
+            written = _Writer(f)
+            for row in _sorted(text, folder, room, limit, n):
+                written.put(row)
+            written.flush()
         rows = np.memmap(out, dtype=np.int64, mode="r").reshape(-1, 2)
         ends = np.cumsum([len(t) + 1 for t in texts])
         lcp = 0
@@ -227,8 +247,8 @@ def order_shards(docs, shards: int, limit: int = 100):
         import pyarrow as pa
 
         names = group.column("doc_id").to_numpy()
-        found = list(suffix_order([t.as_py().encode() for t in group.column("text")], limit))
-        doc, at, lcp = (np.array(x, dtype=np.int64) for x in zip(*found)) if found else (np.zeros(0, dtype=np.int64),) * 3
+        found = np.fromiter(suffix_order([t.as_py().encode() for t in group.column("text")], limit), dtype=[("doc", "i8"), ("at", "i8"), ("lcp", "i8")])
+        doc, at, lcp = (np.ascontiguousarray(found[k]) for k in ("doc", "at", "lcp"))
         shard = group.column("shard")[0].as_py()
         return pa.table([pa.array(np.full(len(at), shard)), pa.array(np.arange(len(at))), pa.array(names[doc]), pa.array(at), pa.array(lcp)], names=["shard", "rank", "doc_id", "position", "lcp"])
 

@@ -243,11 +243,16 @@ def _file(folder: str, kind: str, part: int) -> str:
     return f"{folder}/{kind}-{part:06d}.npy"
 
 
+def _offsets(folder: str) -> np.ndarray:
+    """The ranges' first ids, and the number of words; a file, as it grows with the ranges."""
+    return map_array(f"{folder}/offsets.npy")
+
+
 class Words:
     """The memory-mapped words: hash -> id, count and what was gathered about it."""
 
-    def __init__(self, folder: str, offsets: list[int], facts: bool):
-        self.folder, self.offsets, self.facts, self.open = folder, np.array(offsets), facts, {}
+    def __init__(self, folder: str, facts: bool):
+        self.folder, self.offsets, self.facts, self.open = folder, _offsets(folder), facts, {}
 
     def _part(self, part: int):
         if part not in self.open:
@@ -323,23 +328,22 @@ def fit(texts: DataFrame, docs_per_part: int = 8192) -> dict:
     n = partitions_for(spark, documents, docs_per_part)
     for seed in range(0, 16, 2):
         folder = scratch(spark, "lm")
-        offsets, tokens, clashes = _fit_words(texts, folder, n, seed)
+        v, tokens, clashes = _fit_words(texts, folder, n, seed)
         if not clashes:
             break
         remove(folder)
     else:
         raise ValueError("words with equal 64-bit hashes under every seed tried")
-    v = offsets[-1]
-    model = {"folder": folder, "parts": n, "offsets": offsets, "words": v, "tokens": tokens, "documents": documents, "seed": seed}
+    model = {"folder": folder, "parts": n, "words": v, "tokens": tokens, "documents": documents, "seed": seed}
     if v >= 2**32 - 1:
         raise ValueError("pairs of ids are packed in 64 bits: at most 2**32 - 2 distinct words")
     if not v:
         return model | {"d1": discounts([0] * 4), "d2": discounts([0] * 4), "pairs": 0, "rest": 1.0}
-    return model | _fit_bigrams(texts, folder, n, offsets, seed, documents)
+    return model | _fit_bigrams(texts, folder, n, v, seed, documents)
 
 
-def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[list[int], int, int]:
-    """Write each range's words and counts; the ranges' first ids, the tokens and the hashes that two words share."""
+def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[int, int, int]:
+    """Write each range's words and counts, and the ranges' first ids; the words, the tokens and the hashes that two words share."""
     names = ["part", "keys", "counts", "checks"]
 
     @tidy
@@ -376,17 +380,17 @@ def _fit_words(texts: DataFrame, folder: str, n: int, seed: int) -> tuple[list[i
     distinct = np.zeros(n, dtype=np.int64)
     for r in found:
         distinct[r["part"]] = r["distinct"]
-    return [0, *np.cumsum(distinct).tolist()], sum(r["tokens"] for r in found), sum(r["clashes"] for r in found)
+    put_array(f"{folder}/offsets.npy", np.concatenate([[0], np.cumsum(distinct)]))
+    return int(distinct.sum()), sum(r["tokens"] for r in found), sum(r["clashes"] for r in found)
 
 
-def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed: int, documents: int) -> dict:
+def _fit_bigrams(texts: DataFrame, folder: str, n: int, v: int, seed: int, documents: int) -> dict:
     """Write each range's pairs and each word's facts; returns discounts and totals."""
-    v = offsets[-1]
     names = ["part", "keys", "counts"]
 
     @tidy
     def count(batches):
-        vocabulary, counter = Words(folder, offsets, False), Counter()
+        vocabulary, counter = Words(folder, False), Counter()
 
         def send():
             keys, counts = counter.take()
@@ -401,7 +405,6 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
                     yield from send()
         yield from send()
 
-    ends = np.array(offsets[1:])
     facts_names = ["part", "before", "followers"]
 
     @tidy
@@ -409,6 +412,7 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
         """Write a range's pairs; send on how often a word stands first (by count 1, 2, 3 and more) and last (0) in a pair."""
         import pyarrow as pa
 
+        ends = _offsets(folder)[1:]
         for part, blobs in _by_part(batches):
             counter = Counter()
             for keys, counts in blobs:
@@ -428,8 +432,9 @@ def _fit_bigrams(texts: DataFrame, folder: str, n: int, offsets: list[int], seed
     def write_facts(batches):
         import pyarrow as pa
 
+        offsets = _offsets(folder)
         for part, rows in _by_part(batches):
-            low = offsets[part]
+            low = int(offsets[part])
             size = offsets[part + 1] - low + (part == n - 1)
             facts, totals = np.zeros((size, 4), dtype=np.int64), np.zeros(5, dtype=np.int64)
             for before, followers in rows:
@@ -460,7 +465,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        vocabulary, pairs = Words(model["folder"], model["offsets"], True), Bigrams(model["folder"], model["parts"])
+        vocabulary, pairs = Words(model["folder"], True), Bigrams(model["folder"], model["parts"])
         d1, d2, rest = model["d1"], model["d2"], model["rest"]
 
         def tokens_of(group):
