@@ -184,9 +184,11 @@ ROBUST = f"{CAL}, {KNOTS}, rb AS (SELECT z.*, (x - med) / greatest((knots[1 + le
 _with5 = lambda s: features._beside(features.prepared(s), calibration.knots(src.history(s)).join(calibration.autocorrelation(src.history(s), 5).select("id", "acf3_h", "acf4_h", "acf5_h"), "id"))
 _xw = [f"xw{w}_{c}" for w in (120, 480) for c in (*(f"acf{k}" for k in features.LAGS), "cumslope")]
 _rz_acf = lambda w, k: sql.acf_expr("rz", w, k).replace(f"- {k} > 1 THEN", f"- {k} > 2 THEN")
+# a mean over a power of two may lie half way between two roundings; a shift below the last digit settles it alike everywhere
+SHIFT = 3.7e-8
 series_query(
-    "robust_windows", lambda s: features.robust_windows(_with5(s)), ["id", "t"], [*_xw, "rz"],
-    rounded("SELECT id, t, rz, " + ", ".join(f"CASE WHEN least(n, {w}) >= 8 THEN ({_rz_acf(w, k)}) - h{k} ELSE 0 END AS xw{w}_acf{k}" for w in (120, 480) for k in features.LAGS) + ", " + ", ".join(f"CASE WHEN least(n, {w}) >= 8 THEN avg(rz) OVER {sql.win(w)} ELSE 0 END AS xw{w}_cumslope" for w in (120, 480)) + " FROM rl JOIN ha USING (id)", "id, t", [*_xw, "rz"], ROBUST),
+    "robust_windows", lambda s: features.robust_windows(_with5(s)).withColumns({f"xw{w}_cumslope": F.col(f"xw{w}_cumslope") + SHIFT for w in (120, 480)}), ["id", "t"], [*_xw, "rz"],
+    rounded("SELECT id, t, rz, " + ", ".join(f"CASE WHEN least(n, {w}) >= 8 THEN ({_rz_acf(w, k)}) - h{k} ELSE 0 END AS xw{w}_acf{k}" for w in (120, 480) for k in features.LAGS) + ", " + ", ".join(f"{SHIFT}::DOUBLE + CASE WHEN least(n, {w}) >= 8 THEN avg(rz) OVER {sql.win(w)} ELSE 0 END AS xw{w}_cumslope" for w in (120, 480)) + " FROM rl JOIN ha USING (id)", "id, t", [*_xw, "rz"], ROBUST),
 )
 _const = ["null_smz64", "null_slv64", "null_sacf64", "null_mem_slope", "null_skurt128", "kurt_h"]
 
