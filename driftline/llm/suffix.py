@@ -30,6 +30,10 @@ GRAM = 32
 GROUP = 1 << 19
 SEGMENT = 1 << 22
 FLUSH = 1 << 20
+#: What a map task gathers before it merges; what is left is sent if it is over half of that.
+HELD = 1 << 19
+#: Documents whose results are made at a time.
+SLICE = 1024
 _SEED = np.random.default_rng(10)
 _VALUES = _SEED.integers(0, 2**64, (3, 256), dtype=np.uint64)
 _ODD = [np.uint64(int(x) | 1) for x in _SEED.integers(0, 2**63, 8)]
@@ -195,15 +199,15 @@ class Table:
 class Places:
     """Content hashes with their first place (document, position) and whether there are several places."""
 
-    def __init__(self):
-        self.parts, self.size, self.least = [], 0, FLUSH
+    def __init__(self, least: int = FLUSH):
+        self.parts, self.size, self.least = [], 0, least
 
     def add(self, keys, docs, at, several=None) -> None:
         self.parts.append((keys, docs, at, np.zeros(len(keys), dtype=bool) if several is None else several))
         self.size += len(keys)
         if self.size > self.least:
             self.merge()
-            self.least = max(FLUSH, 2 * self.size)
+            self.least = max(self.least, 2 * self.size)
 
     def merge(self):
         if not self.parts:
@@ -218,6 +222,12 @@ class Places:
         self.size = len(first)
         return self.parts[0]
 
+    def take(self):
+        """What :meth:`merge` gives; nothing is held afterwards."""
+        out = self.merge()
+        self.parts, self.size = [], 0
+        return out
+
 
 def _documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
@@ -246,26 +256,29 @@ def _samples(rows: DataFrame, samples: Table, whole: Table, width: int) -> None:
             count = np.diff(np.append(first, len(s)))
             return s[first], c[first], np.logical_or.reduceat(odd, first), np.logical_or.reduceat(again, first) | (count > 1)
 
-        least = FLUSH
+        def sent():
+            s, c, odd, again = merged()
+            edges = np.searchsorted(_range(s, n), np.arange(n + 1))
+            flags = odd.astype(np.uint8) | again.astype(np.uint8) << 1
+            for lo in range(0, n, 64):
+                some = [(r, slice(edges[r], edges[r + 1])) for r in range(lo, min(n, lo + 64)) if edges[r] < edges[r + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r for r, _ in some], pa.int32()), pa.array([_packed(s[q]) for _, q in some], pa.binary()), pa.array([c[q].tobytes() for _, q in some], pa.binary()), pa.array([flags[q].tobytes() for _, q in some], pa.binary())],
+                    names=["part", "samples", "contents", "flags"],
+                )
+
         for batch in batches:
             for runs, _, _ in stretches([], batch.column(1), width):
                 parts.append((runs.sample, runs.contents(), runs.may_repeat(), np.zeros(len(runs.sample), dtype=bool)))
                 size += len(runs.sample)
-                if size > least:
+                if size > HELD:
                     parts = [merged()]
                     size = len(parts[0][0])
-                    least = max(FLUSH, 2 * size)
-        if not parts:
-            return
-        s, c, odd, again = merged()
-        edges = np.searchsorted(_range(s, n), np.arange(n + 1))
-        for lo in range(0, n, 64):
-            some = [(r, slice(edges[r], edges[r + 1])) for r in range(lo, min(n, lo + 64)) if edges[r] < edges[r + 1]]
-            flags = odd.astype(np.uint8) | again.astype(np.uint8) << 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _ in some], pa.int32()), pa.array([_packed(s[q]) for _, q in some], pa.binary()), pa.array([c[q].tobytes() for _, q in some], pa.binary()), pa.array([flags[q].tobytes() for _, q in some], pa.binary())],
-                names=["part", "samples", "contents", "flags"],
-            )
+                    if size > HELD // 2:
+                        yield from sent()
+                        parts, size = [], 0
+        if parts:
+            yield from sent()
 
     @tidy
     def write(batches):
@@ -315,20 +328,26 @@ def _firsts(rows: DataFrame, samples: Table, whole: Table, places: Table, width:
     def collect(batches):
         import pyarrow as pa
 
-        found = Places()
+        def sent():
+            keys, docs, at, several = found.take()
+            edges = np.searchsorted(_range(keys, n), np.arange(n + 1))
+            for lo in range(0, n, 64):
+                some = [(r, slice(edges[r], edges[r + 1])) for r in range(lo, min(n, lo + 64)) if edges[r] < edges[r + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r for r, _ in some], pa.int32()), *(pa.array([pack(x[q]) for _, q in some], pa.binary()) for pack, x in ((_packed, keys), (_planes, docs), (_planes, at), (lambda f: np.packbits(f).tobytes(), several)))],
+                    names=["part", "keys", "docs", "at", "several"],
+                )
+
+        found = Places(HELD)
         for batch in batches:
             names = _order_keys(batch.column("doc_id"))
             for runs, docs, places_ in stretches(names, batch.column("text"), width):
                 keys, docs, places_, _ = _units(runs, docs, places_, samples, whole)
                 found.add(keys, names[docs], places_)
-        keys, docs, at, several = found.merge()
-        edges = np.searchsorted(_range(keys, n), np.arange(n + 1))
-        for lo in range(0, n, 64):
-            some = [(r, slice(edges[r], edges[r + 1])) for r in range(lo, min(n, lo + 64)) if edges[r] < edges[r + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _ in some], pa.int32()), *(pa.array([pack(x[q]) for _, q in some], pa.binary()) for pack, x in ((_packed, keys), (_planes, docs), (_planes, at), (lambda f: np.packbits(f).tobytes(), several)))],
-                names=["part", "keys", "docs", "at", "several"],
-            )
+                if found.least > HELD:  # merging left more than half
+                    yield from sent()
+                    found = Places(HELD)
+        yield from sent()
 
     @tidy
     def write(batches):
@@ -396,8 +415,8 @@ def remove_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096)
 
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
                 out: list[list] = [[], [], [], []]
                 for spans, text in zip(find(part.column(0), part.column(1)), part.column(1)):
                     data = text.as_py().encode()
