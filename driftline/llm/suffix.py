@@ -460,13 +460,15 @@ def without_repeats(docs: DataFrame, width: int = 100, docs_per_part: int = 4096
 
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts, keep = [], []
-            for spans, text in zip(find(batch.column("doc_id"), batch.column(at)), batch.column(at)):
-                text = text.as_py()
-                if spans:
-                    text = "".join(b.decode("utf-8", "ignore") for b in _rest(text.encode(), spans))
-                texts.append(text)
-                keep.append(not spans or bool(text))
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                texts, keep = [], []
+                for spans, text in zip(find(part.column("doc_id"), part.column(at)), part.column(at)):
+                    text = text.as_py()
+                    if spans:
+                        text = "".join(b.decode("utf-8", "ignore") for b in _rest(text.encode(), spans))
+                    texts.append(text)
+                    keep.append(not spans or bool(text))
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type)).filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
