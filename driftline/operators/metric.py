@@ -54,10 +54,10 @@ def step_balance(labels: DataFrame) -> DataFrame:
     return out.select("t", "alive", "n_pos", (F.col("alive") - F.col("n_pos")).alias("n_neg"), (F.col("n_pos") * (F.col("alive") - F.col("n_pos"))).alias("weight"))
 
 
-def ramp_weight(labels: DataFrame, ramp: int = 50, floor: float = 0.2) -> DataFrame:
-    """Training weights: positives rise from ``floor`` to 1 within ``ramp`` steps after the break."""
+def ramp_weight(labels: DataFrame, ramp: int = 50, floor: float = 0.2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Training weights: positives rise from ``floor`` to 1 within ``ramp`` steps after the break; columns named in ``keep`` stay."""
     rise = F.least(F.lit(1.0), F.greatest(F.lit(floor), (F.col("t") - F.col("tau_index")) / F.lit(float(ramp))))
-    return labels.select("id", "t", "target", F.when(F.col("target") == 1, rise).otherwise(1.0).alias("weight"))
+    return labels.select("id", "t", *keep, "target", F.when(F.col("target") == 1, rise).otherwise(1.0).alias("weight"))
 
 
 def metric_weight(labels: DataFrame) -> DataFrame:

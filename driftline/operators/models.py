@@ -10,15 +10,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.sources.store import stored
+
 
 def assembled(rows: DataFrame, columns: list[str]) -> DataFrame:
     clean = rows.withColumns({c: F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(c) == float("inf")), 0.0).otherwise(F.col(c)) for c in columns})
     return VectorAssembler(inputCols=columns, outputCol="features").transform(clean)
 
 
-def _scored(model, rows: DataFrame) -> DataFrame:
+def _scored(model, rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     p = vector_to_array("probability")[1]
-    return model.transform(rows).select("id", "t", p.alias("p"))
+    return model.transform(rows).select("id", "t", *keep, p.alias("p"))
 
 
 def boosted(train: DataFrame, rows: DataFrame, columns: list[str], rounds: int = 10, depth: int = 4, seed: int = 42) -> DataFrame:
@@ -69,15 +71,19 @@ def forest(train: DataFrame, rows: DataFrame, columns: list[str], trees: int = 2
     return _scored(rf.fit(assembled(train, columns)), assembled(rows, columns))
 
 
-def logistic(train: DataFrame, rows: DataFrame, columns: list[str], l2: float = 1e-3) -> DataFrame:
-    """Logistic regression on z-scored columns."""
+def logistic(train: DataFrame, rows: DataFrame, columns: list[str], l2: float = 1e-3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Logistic regression on z-scored columns; columns of ``rows`` named in ``keep`` stay beside the scores."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True).fit(assembled(train, columns))
     model = LogisticRegression(featuresCol="scaled", labelCol="target", weightCol="weight", regParam=l2).fit(scaler.transform(assembled(train, columns)))
-    return _scored(model, scaler.transform(assembled(rows, columns)))
+    return _scored(model, scaler.transform(assembled(rows, columns)), keep)
 
 
 def out_of_fold(fit, rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
-    """(id, t, p) of all rows, each series scored by the model that is fitted on the other folds."""
+    """(id, t, p) of all rows, each series scored by the model that is fitted on the other folds.
+
+    Every fit reads the rows several times, so they are stored once instead of being made anew from their series.
+    """
+    rows = stored(rows.select("id", "t", *columns, *[c for c in ("target", "weight") if c in rows.columns]), "rows")
     fold = F.pmod("id", F.lit(folds))
     parts = [fit(rows.filter(fold != k), rows.filter(fold == k), columns) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)

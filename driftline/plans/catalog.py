@@ -14,6 +14,7 @@ from driftline.plans import sql
 from driftline.plans.bank import feature_bank
 from driftline.plans.sql import CAL, CUM, LAGGED, SCORES, SERIES, W, rounded, win
 from driftline.sources import series as src
+from driftline.sources.store import stored
 from driftline.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -374,16 +375,18 @@ add("rank_mean_blend", lambda spark, d: rounding(blend.rank_mean(members(spark,
 FEATURES = ["cum_mean_z", "cum_logvar_ratio", "c", "c_n"]
 
 
-def training_rows(spark: SparkSession, d: str) -> DataFrame:
+def training_rows(spark: SparkSession, d: str, store: bool = False) -> DataFrame:
+    """Rows of four features, target and weight.  With ``store`` the numbered series are written first, as history and online rows would each shuffle the whole table."""
     s = src.series_q(spark, d)
-    rows = features.cusum(features.cumulative_moments(features.prepared(s)), 0.5, "c").select("id", "t", *FEATURES)
-    return rows.join(metric.ramp_weight(src.labelled(s)), ["id", "t"])
+    s = stored(s, "series") if store else s
+    rows = features.cusum(features.cumulative_moments(features.prepared(s)), 0.5, "c").filter("id is not null")
+    return metric.ramp_weight(src.with_labels(rows), keep=tuple(FEATURES))
 
 
 for _k in ("gru", "lstm", "cnn", "attention"):
     add(f"{_k}_forward", lambda spark, d, k=_k: rounding(nets.forward(training_rows(spark, d), k, FEATURES, nets.random_weights(k, len(FEATURES))), ["id", "t"], ["logit"]))
 for _k, _f in (("gbt_member", models.boosted), ("logistic_member", models.logistic), ("forest_member", models.forest), ("pairwise_member", models.pairwise)):
-    add(_k, lambda spark, d, f=_f: models.out_of_fold(f, training_rows(spark, d), FEATURES))
+    add(_k, lambda spark, d, f=_f: models.out_of_fold(f, training_rows(spark, d, store=True), FEATURES))
 add("synthetic_series", lambda spark, d: synthesis.generate(spark, 50))
 
 

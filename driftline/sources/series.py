@@ -61,9 +61,13 @@ def breaks(series: DataFrame) -> DataFrame:
 
 def labelled(series: DataFrame) -> DataFrame:
     """Online rows ``(id, t, x, tau_index, target)``; target is 1 from the break on."""
+    return with_labels(online(series))
+
+
+def with_labels(rows: DataFrame) -> DataFrame:
+    """Rows ``(id, t, ...)`` with their tau_index and target, which follow from id and t: nothing is joined."""
     tau = F.when(F.col("id") % 2 == 0, F.lit(60) + F.pmod(F.col("id") * 37, F.lit(120))).cast("bigint")
-    rows = online(series).withColumn("tau_index", tau)
-    return rows.withColumn("target", F.coalesce(F.col("t") >= F.col("tau_index"), F.lit(False)).cast("int"))
+    return rows.withColumn("tau_index", tau).withColumn("target", F.coalesce(F.col("t") >= F.col("tau_index"), F.lit(False)).cast("int"))
 
 
 def scores_e(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+import atexit
 import base64
+import gc
 import io
 import json
+import shutil
+import tempfile
+import uuid
 from collections.abc import Iterable
+from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read more than once, written to the shared folder (``spark.checkpoint.dir``) and read again.
+
+    The shuffles it took are dropped at once, so that they don't lie beside those of its readers.  It is
+    deleted when the driver's Python ends.  Where the folder is unset (one process, no cluster) it's a temporary one.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="driftline-")
+    path = f"{root.rstrip('/')}/driftline-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files once nothing refers to it
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    except Exception:  # the session may have ended, and a local folder goes without it
+        shutil.rmtree(urlparse(path).path, ignore_errors=True)
+
+
 def load_index(spark: SparkSession, root: str, split: str) -> DataFrame:
     """(id, tau_index) of ``{root}/y_{split}_index.parquet``; no break (-1 or null) is null."""
     df = spark.read.parquet(f"{root}/y_{split}_index.parquet")
