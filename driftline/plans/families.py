@@ -427,4 +427,4 @@ add("gbt_early_stopping", early_stopped)
 add("bank_member", bank_member)
 add("realism_gaps", lambda spark, d: augment.gaps(src.series_q(spark, d), _synthetic(spark)))
 add("realism_discriminator", lambda spark, d: augment.discriminator(src.series_q(spark, d), _synthetic(spark)))
-add("augmentation", lambda spark, d: augment.augmentation(training_rows(spark, d), synthetic_rows(spark), FEATURES))
+add("augmentation", lambda spark, d: augment.augmentation(training_rows(spark, d, store=True), synthetic_rows(spark), FEATURES))
