@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 def stored(df: DataFrame, name: str) -> DataFrame:
     """A table that is read more than once, written to the shared folder (``spark.checkpoint.dir``) and read again.
 
-    The shuffles it took are dropped at once, so that they don't lie beside those of its readers.  It is
-    deleted when the driver's Python ends.  Where the folder is unset (one process, no cluster) it's a temporary one.
+    Spark is asked to collect its garbage, and may then drop the shuffles it took; measured at size they stayed
+    (README).  The table is deleted when the driver's Python ends.  Where the folder is unset (one process, no cluster) it's a temporary one.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -34,7 +34,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_delete, spark, path)
     df.write.parquet(path)
     gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark deletes a shuffle's files once nothing refers to it
+    spark.sparkContext._jvm.System.gc()  # a shuffle's files go some time after nothing refers to it
     return spark.read.schema(df.schema).parquet(path)
 
 
