@@ -26,18 +26,22 @@ def _array(values) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def defaults() -> dict[str, Column]:
+def default_values() -> dict[str, float | list[float]]:
     """What a series without any history is calibrated with; null tables are those of independent normal values."""
-    zero, one = F.lit(0.0), F.lit(1.0)
-    out = {"n_hist": F.lit(0).cast("long"), "edges": _array([-1 + 2 * k / 18 for k in range(19)]), "knots": _array([-3 + 6 * k / 255 for k in range(256)]), "zcr_h": F.lit(0.5), "cross_rate_h": F.lit(0.5), "acf1_h_abs": zero}
-    out |= {c: zero for c in ("mu", "skew", "kurt", "med", "x_last", "phi", *(f"acf{k}_h" for k in LAGS))} | {c: one for c in ("sd", "dvar_h", "dabs_h", "lrv")}
+    out = {"n_hist": 0, "edges": [-1 + 2 * k / 18 for k in range(19)], "knots": [-3 + 6 * k / 255 for k in range(256)], "zcr_h": 0.5, "cross_rate_h": 0.5, "acf1_h_abs": 0.0}
+    out |= {c: 0.0 for c in ("mu", "skew", "kurt", "med", "x_last", "phi", *(f"acf{k}_h" for k in LAGS))} | {c: 1.0 for c in ("sd", "dvar_h", "dabs_h", "lrv")}
     flat = {"mz": (0, 1, 0), "lv": (-1, 2**0.5, 1), "acf": (0, 1, 1), "ks": (0.86, 0.35, 1), "l1": (0.4, 0.2, 1), "skew": (0, 6**0.5, 1), "kurt": (0, 24**0.5, 1)}
     for name, (loc, scale, shrinks) in (flat | {f"{s}_{c}": (0, 1, 1) for s in ("a", "d", "xs") for c in ("mean", "acf")}).items():
-        out[f"null_{name}_loc"] = _array([loc / (g if name == "lv" else g**0.5) for g in GRID])
-        out[f"null_{name}_scale"] = _array([scale / g**0.5 if shrinks else scale for g in GRID])
+        out[f"null_{name}_loc"] = [loc / (g if name == "lv" else g**0.5) for g in GRID]
+        out[f"null_{name}_scale"] = [scale / g**0.5 if shrinks else float(scale) for g in GRID]
     return out
 
 
+def defaults() -> dict[str, Column]:
+    """The default values as columns."""
+    return {c: _array(v) if isinstance(v, list) else F.lit(v).cast("long") if c == "n_hist" else F.lit(v) for c, v in default_values().items()}
+
+
 def _beside(df: DataFrame, per_series: DataFrame) -> DataFrame:
     """Rows beside their series' table; a series that has no row there gets the defaults."""
     known = defaults()
@@ -208,27 +212,25 @@ def window_shape(df: DataFrame, widths=WINDOWS) -> DataFrame:
 
 
 # null tables: what the same statistics do on the break-free history.  A series' history is one array and each scale a
-# few operations on its running sums, so the tables are made a series at a time in NumPy: as column expressions seven
-# scales of windows outgrow what the JVM compiles.
+# few operations on its running sums, so the tables are made in NumPy, for all series of one length at once: as column
+# expressions seven scales of windows outgrow what the JVM compiles.
 
 
 class History:
-    """One series' history in order: values, z-scores, and its calibration."""
+    """Histories of one length in order, a row each: values, z-scores, and their calibration."""
 
     def __init__(self, x: np.ndarray, cal: dict):
-        self.x, self.n, self.cal = x, len(x), cal
-        self.z = (x - cal["mu"]) / cal["sd"]
+        self.x, self.n, self.cal = x, x.shape[1], cal
+        self.z = (x - cal["mu"][:, None]) / cal["sd"][:, None]
 
-    def table(self, values: dict[int, tuple[float, float]], loc, scale, floor: float) -> tuple[list, list]:
-        """Location and scale over the grid: measured where the history holds two windows, else the last measured one; the defaults for fewer than 64 rows."""
-        out, last = ([], []), None
-        for g in GRID:
+    def table(self, values: dict[int, tuple[np.ndarray, np.ndarray]], loc, scale, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Location and scale by series over the grid: measured where the history holds two windows, else the last measured one; the defaults for fewer than 64 rows."""
+        out, last = np.empty((2, len(self.x), len(GRID))), None
+        for k, g in enumerate(GRID):
             if self.n >= 64 and g in values:
-                last = values[g][0], max(values[g][1], floor)
-            use = last if self.n >= 64 and last else (loc(g), scale(g))
-            out[0].append(float(use[0]))
-            out[1].append(float(use[1]))
-        return out
+                last = values[g][0], np.maximum(values[g][1], floor)
+            out[0, :, k], out[1, :, k] = last if self.n >= 64 and last else (loc(g), scale(g))
+        return out[0], out[1]
 
     def scales(self, parts: int):
         """(scale, last rows of its windows): windows start at multiples of a fraction of the scale."""
@@ -239,20 +241,21 @@ class History:
 
 def _sums(v: np.ndarray) -> np.ndarray:
     """Running sums with a zero before them."""
-    return np.concatenate([np.zeros((1, *v.shape[1:])), np.cumsum(v, axis=0)])
+    return np.concatenate([np.zeros((*v.shape[:-1], 1)), np.cumsum(v, axis=-1)], axis=-1)
 
 
 def _over(sums: np.ndarray, ends: np.ndarray, g: int) -> np.ndarray:
     """Sums of the ``g`` rows up to each end."""
-    return sums[ends + 1] - sums[ends + 1 - g]
+    return sums[..., ends + 1] - sums[..., ends + 1 - g]
 
 
-def _mean_sd(v: np.ndarray) -> tuple[float, float]:
-    return float(v.mean()), float(v.std())
+def _mean_sd(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = np.ascontiguousarray(v)
+    return v.mean(axis=1), v.std(axis=1)
 
 
 def _lag_products(v: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0.0], v[1:] * v[:-1]])
+    return np.concatenate([np.zeros((len(v), 1)), v[:, 1:] * v[:, :-1]], axis=1)
 
 
 def _moment_nulls(h: History) -> dict:
@@ -262,19 +265,18 @@ def _moment_nulls(h: History) -> dict:
         m = _over(c1, e, g) / g
         v = _over(c2, e, g) / g - m * m
         mz[g], lv[g] = _mean_sd(m * g**0.5), _mean_sd(np.log(np.maximum(v, 1e-12)))
-        acf[g] = _mean_sd(np.clip((_over(cl, e, g - 1) / (g - 1) - m * m) / np.maximum(v, 1e-12), -1, 1) - h.cal["acf1_h"])
+        acf[g] = _mean_sd(np.clip((_over(cl, e, g - 1) / (g - 1) - m * m) / np.maximum(v, 1e-12), -1, 1) - h.cal["acf1_h"][:, None])
     return {"mz": h.table(mz, lambda g: 0.0, lambda g: 1.0, 0.05), "lv": h.table(lv, lambda g: -1.0 / g, lambda g: (2.0 / g) ** 0.5, 0.01), "acf": h.table(acf, lambda g: 0.0, lambda g: g**-0.5, 0.01)}
 
 
 def _shape_nulls(h: History) -> dict:
-    bins = np.searchsorted(np.asarray(h.cal["edges"]), h.x, side="right")
-    below = _sums((bins[:, None] <= np.arange(19)[None]).astype(float))
+    below = _sums((h.x[:, None] < h.cal["edges"][:, :, None]).astype(float))
     ks, l1 = {}, {}
     for g, e in h.scales(4):
-        gaps = np.abs(_over(below, e, g) / g - np.array(EDGES))
+        gaps = np.abs(_over(below, e, g) / g - np.array(EDGES)[:, None])
         for out, v in ((ks, gaps.max(axis=1)), (l1, gaps.sum(axis=1) / 19.0)):
-            middle, high = np.percentile(v, [50, 90])
-            out[g] = float(middle), float(high - middle)
+            middle, high = np.percentile(v, [50, 90], axis=1)
+            out[g] = middle, high - middle
     return {"ks": h.table(ks, lambda g: 0.86 / g**0.5, lambda g: 0.35 / g**0.5, 0.005), "l1": h.table(l1, lambda g: 0.4 / g**0.5, lambda g: 0.2 / g**0.5, 0.003)}
 
 
@@ -282,10 +284,10 @@ def _stream_nulls(h: History, stream: str) -> dict:
     if stream == "a":
         v = np.abs(h.z)
     elif stream == "d":
-        v = np.diff(h.z, prepend=h.z[:1])
+        v = np.diff(h.z, axis=1, prepend=h.z[:, :1])
     else:
-        side = h.x < h.cal["med"]
-        v = np.concatenate([[0.0], (side[1:] != side[:-1]).astype(float)])
+        side = h.x < h.cal["med"][:, None]
+        v = np.concatenate([np.zeros((len(side), 1)), (side[:, 1:] != side[:, :-1]).astype(float)], axis=1)
     c1, c2, cl = _sums(v), _sums(v**2), _sums(_lag_products(v))
     mean, acf = {}, {}
     for g, e in h.scales(8):
@@ -296,7 +298,8 @@ def _stream_nulls(h: History, stream: str) -> dict:
 
 
 def _shape_moment_nulls(h: History) -> dict:
-    sums = [_sums(h.z**k) for k in (1, 2, 3, 4)]
+    z2 = h.z * h.z
+    sums = [_sums(v) for v in (h.z, z2, z2 * h.z, z2 * z2)]
     skew, kurt = {}, {}
     for g, e in h.scales(8):
         s1, s2, s3, s4 = (_over(s, e, g) / g for s in sums)
@@ -311,6 +314,14 @@ _NULLS = {"moments": (_moment_nulls, ("mz", "lv", "acf")), "shape": (_shape_null
 _NULLS |= {s: (partial(_stream_nulls, stream=s), (f"{s}_mean", f"{s}_acf")) for s in ("a", "d", "xs")}
 
 
+def null_arrays(h: History, kinds) -> dict[str, np.ndarray]:
+    """null_{name}_loc and null_{name}_scale of the kinds, (series, scale)."""
+    found = {}
+    for k in kinds:
+        found |= _NULLS[k][0](h)
+    return {f"null_{n}_{part}": v for n, table in found.items() for part, v in zip(("loc", "scale"), table)}
+
+
 def null_tables(hist: DataFrame, cal: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """One row a series with null_{name}_loc and null_{name}_scale, arrays over the scale grid, for each statistic of the kinds; one exchange for all."""
     names = [f"null_{n}_{part}" for k in kinds for n in _NULLS[k][1] for part in ("loc", "scale")]
@@ -318,11 +329,8 @@ def null_tables(hist: DataFrame, cal: DataFrame, kinds: tuple[str, ...]) -> Data
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("t")
-        h = History(g.x.values.astype(float), {c: g[c].values[0] for c in needs})
-        found = {}
-        for k in kinds:
-            found |= _NULLS[k][0](h)
-        return pd.DataFrame({"id": g.id.values[:1]} | {n: [found[n[5:].rsplit("_", 1)[0]][n.endswith("scale")]] for n in names})
+        found = null_arrays(History(g.x.values.astype(float)[None], {c: np.array([g[c].values[0]]) for c in needs}), kinds)
+        return pd.DataFrame({"id": g.id.values[:1]} | {n: [found[n][0].tolist()] for n in names})
 
     return hist.join(cal.select("id", *needs), "id").groupBy("id").applyInPandas(one, "id long, " + ", ".join(f"{n} array<double>" for n in names))
 

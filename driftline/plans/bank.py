@@ -2,43 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.operators import calibration, features
+from driftline.operators import blocks
 from driftline.operators.features import WINDOWS
-from driftline.sources.series import history
-
-#: Columns of the calibration and of intermediate steps that are no features.
-HELPERS = frozenset("x z n n_hist mu sd med skew kurt phi dvar_h dabs_h edges x_last e a d xs p u lo hi bl knots lrv zc rz".split())
-
-
-def nulls(hist: DataFrame, cal: DataFrame) -> DataFrame:
-    """All null tables of a series in one row."""
-    return features.null_tables(hist, cal, ("moments", "shape", "shape_moments", "a", "d", "xs"))
 
 
 def feature_bank(series: DataFrame, widths=WINDOWS) -> DataFrame:
     """(id, t, features...) for every online row.
 
-    Calibration and null tables have a row per series and are joined before the windows, so that all
-    blocks run on one partitioning and sort order.
+    As column expressions the 200 features were one plan that took minutes to compile; ``blocks`` makes them in NumPy,
+    many series at once. The window by id puts a series' rows together and in order, history first, on the partitioning
+    the series were numbered on, so nothing is shuffled for it; its number is what keeps it in the plan.
     """
-    hist = history(series)
-    cal = calibration.full(hist)
-    scalars = cal.drop("acf1_h", "acf2_h").join(calibration.autocorrelation(hist, 5), "id").join(calibration.crossing_rate(hist, cal), "id").join(calibration.turning_rate(hist), "id").join(calibration.long_run_variance(hist, cal), "id").join(calibration.knots(hist), "id").join(nulls(hist, cal), "id")
-    df = features.prepared(series, scalars)
-    df = features.cumulative_moments(features.time_features(df)).drop("s1", "s2", "s3", "s4")
-    df = features.ewma(features.ewma(df, 0.05, "ewma_z_fast"), 0.2, "ewma_z_slow")
-    for block in (features.tail_excess, features.cumulative_acf, features.difference_features, features.cumulative_shape, features.cusum_bank, features.cusum_variance, features.page_hinkley):
-        df = block(df)
-    df = features.scans(features.calibrated_windows(df, None, widths), widths)
-    df = features.prewhitened(df)
-    for stream in ("a", "d", "xs"):
-        df = features.derived_windows(df, None, stream)
-    df = features.shape_moment_windows(df, None)
-    df = df.withColumns({f"{c}_lrv": F.col(c) / F.sqrt("lrv") for c in ("cum_mean_z", "ph_mean", "cusum_absmax_k025", "cusum_absmax_k05", "cusum_absmax_k10")} | {"log_lrv": F.log("lrv")})
-    df = features.pit_windows(df.withColumn("p", (F.size(F.filter("knots", lambda k: k <= F.col("x"))) + 0.5) / (F.size("knots") + 1.0)))
-    df = features.constants(features.squashed_ewma(features.turning_difference(features.robust_windows(df), None)))
-    keep = [c for c in df.columns if c not in HELPERS and not c.startswith("_") and not c.endswith(("_loc", "_scale"))]
-    return df.select("id", "t", *[c for c in keep if c not in ("id", "t")])
+    at = F.when(F.col("period") == 1, F.col("time") - 1).otherwise(F.col("t")).cast("long")
+    rows = series.filter("period in (1, 2)").select(F.col("id").cast("long").alias("id"), F.col("period").cast("int").alias("period"), at.alias("t"), F.col("x").cast("double").alias("x"))
+    ordered = rows.withColumn("number", F.row_number().over(Window.partitionBy("id").orderBy("period", "t")))
+    names = blocks.columns(widths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return blocks.bank(batches, widths, names)
+
+    return ordered.mapInArrow(run, "id long, t long, " + ", ".join(f"{c} double" for c in names))

@@ -28,8 +28,9 @@ def split(df: DataFrame, history: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, id_: str, order: tuple[str, ...], x: Column) -> DataFrame:
-    w = Window.partitionBy(id_).orderBy(*order)
-    return df.select(F.col(id_).alias("id"), F.row_number().over(w).cast("bigint").alias("time"), x.alias("x"))
+    """Rows in order by series; the id has its name before the window, else Spark takes what is grouped by it later for another partitioning."""
+    w = Window.partitionBy("id").orderBy(*order)
+    return df.withColumn("id", F.col(id_)).select("id", F.row_number().over(w).cast("bigint").alias("time"), x.alias("x"))
 
 
 def series_q(spark: SparkSession, sf_dir: str, history: int = QUANTITY_HISTORY) -> DataFrame:
